@@ -7,6 +7,7 @@ def load() -> ModuleType:
     """The registry with every query module imported."""
     from jostle.catalog import (  # noqa: F401
         neighborhood,
+        runs,
         registry,
     )
 

@@ -76,6 +76,12 @@ class Fixture:
 
     @property
     def moves(self) -> DataFrame:
+        """Candidates with outcome, without score arrays."""
+        return SC.score_moves(self.cells, self.sources, SCORER, keep_scores=False)
+
+    @property
+    def scored(self) -> DataFrame:
+        """Candidates with the score arrays of neighbor and source."""
         return SC.score_moves(self.cells, self.sources, SCORER)
 
     @cached_property
@@ -96,6 +102,10 @@ class Fixture:
 
     @property
     def moves_b(self) -> DataFrame:
+        return SC.score_moves(self.cells, self.sources_b, SCORER_B, keep_scores=False)
+
+    @property
+    def scored_b(self) -> DataFrame:
         return SC.score_moves(self.cells, self.sources_b, SCORER_B)
 
     @property

@@ -107,7 +107,7 @@ def _(x):
 def _fingerprint_sql() -> str:
     return f"""SELECT source_id, horizon, sha256(concat_ws('|', CAST(horizon AS VARCHAR), string_agg(digest, '|' ORDER BY block))) AS fingerprint
       FROM (SELECT source_id, horizon, t // {E.BLOCK_BINS} AS block,
-              sha256(string_agg(concat_ws(',', t, f, n), '|' ORDER BY t, f)) AS digest FROM cells GROUP BY ALL) GROUP BY ALL"""
+              sha256(string_agg(concat_ws(',', t, f, n), '|' ORDER BY t, f)) AS digest FROM cells GROUP BY source_id, horizon, t // {E.BLOCK_BINS}) GROUP BY source_id, horizon"""
 
 
 @query("content_fingerprint", ("cells",), _fingerprint_sql())
@@ -360,7 +360,7 @@ def _geometry_sql() -> str:
 @query("source_geometry", ("moves", "pair_counts"), _geometry_sql())
 def _(x):
     ranked = running(x.sources, [], [F.col("source_id").asc()], out="audit_rank").withColumn("audit_rank", F.col("audit_rank") - 1)
-    wide = C.source_geometry(x.moves, ranked, W)
+    wide = C.source_geometry(x.scored, ranked, W)
     return wide.select(*[
         F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in wide.dtypes
     ])

@@ -12,7 +12,8 @@ from jostle.functions.outcomes import OUTCOMES, feature_part, outcome_name, time
 from jostle.plans.ordering import percentiles, running
 from jostle.plans.staging import stage
 
-CHANGED = F.col("transition_code") != 0
+def _changed() -> Column:
+    return F.col("transition_code") != 0
 
 
 def _is(code: int) -> Column:
@@ -30,7 +31,7 @@ def outcome_totals(moves: DataFrame) -> DataFrame:
 
     One aggregate row is turned into report rows, so no outcome can be missing.
     """
-    groups = [*[(name, _is(code)) for code, name in OUTCOMES], ("class_changed", CHANGED), ("total", F.lit(True))]
+    groups = [*[(name, _is(code)) for code, name in OUTCOMES], ("class_changed", _changed()), ("total", F.lit(True))]
     aggs = []
     for name, condition in groups:
         aggs.append(F.count_if(condition).alias(f"{name}_u"))
@@ -53,7 +54,7 @@ def pair_directions(moves: DataFrame) -> DataFrame:
     A self equi-join on (source, bin, feature) written as one aggregation: each key has at most
     two rows.
     """
-    changed = F.when(CHANGED, 1).otherwise(0)
+    changed = F.when(_changed(), 1).otherwise(0)
     cells = moves.groupBy("source_id", "from_bin", "feature").agg(
         F.max(F.when(F.col("direction") < 0, changed)).alias("previous"),
         F.max(F.when(F.col("direction") > 0, changed)).alias("next"),
@@ -79,7 +80,7 @@ def source_counts(moves: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("unique_candidates"),
         F.sum("multiplicity").alias("event_weighted_candidates"),
         *[F.count_if(_is(code)).alias(f"{name}_unique") for code, name in OUTCOMES[1:]],
-        F.count_if(CHANGED).alias("class_changed_unique"),
+        F.count_if(_changed()).alias("class_changed_unique"),
         F.count_if(F.col("candidate_prediction") == F.col("label")).alias("correct_neighbors"),
     )
 
@@ -91,9 +92,9 @@ def source_geometry(moves: DataFrame, sources: DataFrame, width: int) -> DataFra
     aggs = [
         F.count(F.lit(1)).alias("unique_candidates"),
         F.sum("multiplicity").alias("event_weighted_candidates"),
-        _rate(CHANGED).alias("class_change_rate"),
+        _rate(_changed()).alias("class_change_rate"),
         *[_rate(_is(code)).alias(f"{name}_rate") for code, name in OUTCOMES[1:]],
-        F.count_if(CHANGED).alias("class_changed_unique"),
+        F.count_if(_changed()).alias("class_changed_unique"),
         *[F.count_if(_is(code)).alias(f"{name}_unique") for code, name in OUTCOMES[1:]],
         F.min("clean_class_margin").alias("minimum_clean_class_margin"),
         F.min("true_class_margin").alias("minimum_true_class_margin"),
@@ -103,11 +104,11 @@ def source_geometry(moves: DataFrame, sources: DataFrame, width: int) -> DataFra
         side = F.col("direction") == value
         aggs += [
             F.count_if(side).alias(f"{name}_candidates"),
-            _rate(CHANGED, side).alias(f"{name}_class_change_rate"),
+            _rate(_changed(), side).alias(f"{name}_class_change_rate"),
             _rate(_is(1), side).alias(f"{name}_adverse_rate"),
         ]
-    aggs += [_rate(CHANGED, F.col("__tertile") == i).alias(f"time_tertile_{i + 1}_class_change_rate") for i in range(3)]
-    aggs += [_rate(CHANGED, F.col("__quartile") == i).alias(f"feature_quartile_{i + 1}_class_change_rate") for i in range(4)]
+    aggs += [_rate(_changed(), F.col("__tertile") == i).alias(f"time_tertile_{i + 1}_class_change_rate") for i in range(3)]
+    aggs += [_rate(_changed(), F.col("__quartile") == i).alias(f"feature_quartile_{i + 1}_class_change_rate") for i in range(4)]
     rows = moves.withColumns({
         "__tertile": tertile,
         "__quartile": quartile,

@@ -12,7 +12,6 @@ from jostle.functions import scores as S
 from jostle.functions.outcomes import transition_code
 from jostle.functions.ints import div
 from jostle.operators.events import BLOCK_BINS
-from jostle.operators.moves import enumerate_moves
 from jostle.plans.joins import attach
 from jostle.plans.staging import stage
 
@@ -36,13 +35,12 @@ class LinearScorer:
             "input_count", "nonzero",
         )
 
-    def delta(self, c: int) -> Column:
-        f = F.col("feature")
-        return self.weight(c, f, F.col("to_bin")) - self.weight(c, f, F.col("from_bin"))
-
-    def moved(self, clean_scores: Column) -> Column:
+    def moved(self, clean_scores: Column, f: Column, from_bin: Column, to_bin: Column) -> Column:
         """Scores of a neighbor from those of its source."""
-        return F.array(*[F.get(clean_scores, F.lit(c)) + self.delta(c) for c in range(self.classes)])
+        return F.array(*[
+            F.get(clean_scores, F.lit(c)) + self.weight(c, f, to_bin) - self.weight(c, f, from_bin)
+            for c in range(self.classes)
+        ])
 
 
 def score_sources(cells: DataFrame, scorer: LinearScorer, label: Callable[[Column, Column], Column]) -> DataFrame:
@@ -56,22 +54,40 @@ def score_sources(cells: DataFrame, scorer: LinearScorer, label: Callable[[Colum
     )
 
 
-def score_moves(cells: DataFrame, sources: DataFrame, scorer: LinearScorer, **how) -> DataFrame:
-    """The candidate fact table: every move with its prediction, outcome code and score array.
+def score_moves(
+    cells: DataFrame, sources: DataFrame, scorer: LinearScorer, keep_scores: bool = True, **how
+) -> DataFrame:
+    """The candidate fact table: every move with its prediction and outcome code, and the score
+    arrays of neighbor and source unless ``keep_scores`` is off.
 
-    Source columns are attached to the cells, half as many rows as moves, and the moves are then
-    exploded and scored in the same stage.
+    Source columns are attached to the cells, half as many rows as moves. Both neighbors of a cell
+    are scored on the cell's row and only then exploded: the generator keeps later filters on the
+    outcome from repeating the scoring expressions.
     """
-    lookup = sources.select(
-        "source_id", "label", "clean_prediction", F.col("scores").alias("clean_scores")
-    )
+    lookup = sources.select("source_id", "label", "clean_prediction", F.col("scores").alias("clean_scores"))
     wide = attach(cells, lookup, ["source_id"], spread=F.struct("t", "f"), **how)
-    moves = enumerate_moves(wide, "label", "clean_prediction", "clean_scores")
-    scored = moves.withColumn("scores", scorer.moved(F.col("clean_scores")))
-    scored = scored.withColumn("candidate_prediction", S.predict(F.col("scores")).cast("long"))
-    return scored.withColumn(
-        "transition_code",
-        transition_code(F.col("label"), F.col("clean_prediction"), F.col("candidate_prediction"), scorer.classes).cast("long"),
+    t, f = F.col("t"), F.col("f")
+    scored = wide.withColumns({
+        "__s0": scorer.moved(F.col("clean_scores"), f, t, t - 1),
+        "__s1": scorer.moved(F.col("clean_scores"), f, t, t + 1),
+    }).withColumns({"__p0": S.predict(F.col("__s0")).cast("long"), "__p1": S.predict(F.col("__s1")).cast("long")})
+    sides = []
+    for i, (step, exists) in enumerate(((-1, t > 0), (1, t + 1 < F.col("horizon")))):
+        fields = [F.lit(step).alias("direction"), F.col(f"__p{i}").alias("prediction")]
+        if keep_scores:
+            fields.append(F.col(f"__s{i}").alias("scores"))
+        sides.append(F.when(exists, F.struct(*fields)))
+    exploded = scored.withColumn("__move", F.explode(F.array(*sides))).where(F.col("__move").isNotNull())
+    direction, prediction = F.col("__move.direction"), F.col("__move.prediction")
+    index = []
+    if "cand0" in cells.columns:
+        index = [(F.col("cand0") + F.when((direction > 0) & (t > 0), 1).otherwise(0)).alias("cand")]
+    vectors = [F.col("__move.scores").alias("scores"), "clean_scores"] if keep_scores else []
+    code = transition_code(F.col("label"), F.col("clean_prediction"), prediction, scorer.classes)
+    return exploded.select(
+        "source_id", *index, t.alias("from_bin"), (t + direction).alias("to_bin"), f.alias("feature"),
+        direction.alias("direction"), F.col("n").alias("multiplicity"), "horizon", "label", "clean_prediction",
+        prediction.alias("candidate_prediction"), code.cast("long").alias("transition_code"), *vectors,
     )
 
 
