@@ -6,6 +6,7 @@ from types import ModuleType
 def load() -> ModuleType:
     """The registry with every query module imported."""
     from jostle.catalog import (  # noqa: F401
+        inference,
         neighborhood,
         runs,
         registry,
