@@ -9,6 +9,7 @@ def load() -> ModuleType:
         inference,
         neighborhood,
         runs,
+        search,
         registry,
     )
 

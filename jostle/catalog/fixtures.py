@@ -50,6 +50,13 @@ class Fixture:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._kept: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build) -> DataFrame:
+        """A staged table that several queries share."""
+        if name not in self._kept:
+            self._kept[name] = build()
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

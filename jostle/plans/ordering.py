@@ -55,13 +55,13 @@ def running(
         return staged.withColumn(out, F.sum(weight).over(w))
     ranges = ranges or max(8, -(-total // ROWS_PER_RANGE))
     ranged = stage(
-        staged.withColumn("__w", weight)
+        staged.withColumn("__weight", weight)
         .repartitionByRange(ranges, *[F.col(k) for k in keys], *order)
         .withColumn("__range", F.spark_partition_id()),
         "range",
     )
     # One row per (group, range): at most ``ranges`` rows in a group.
-    sums = ranged.groupBy(*keys, "__range").agg(F.sum("__w").alias("__sum"))
+    sums = ranged.groupBy(*keys, "__range").agg(F.sum("__weight").alias("__sum"))
     before = _window(keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     inside = (
@@ -69,10 +69,10 @@ def running(
     )
     # (group, range) pairs are as fine as the ranked pieces, so this join has no hot key.
     return (
-        ranged.withColumn("__inside", F.sum("__w").over(inside))
+        ranged.withColumn("__inside", F.sum("__weight").over(inside))
         .join(offsets, [*keys, "__range"])
         .withColumn(out, F.col("__inside") + F.col("__before"))
-        .drop("__w", "__range", "__inside", "__before")
+        .drop("__weight", "__range", "__inside", "__before")
     )
 
 
@@ -147,19 +147,19 @@ def running_in_blocks(
     is ordered per key.
     """
     keys = list(keys)
-    blocked = df.withColumn("__block", block).withColumn("__w", weight)
+    blocked = df.withColumn("__block", block).withColumn("__weight", weight)
     inside = (
         _window([*keys, "__block"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     before = _window(keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(*keys, "__block")
-        .agg(F.sum("__w").alias("__sum"))
+        .agg(F.sum("__weight").alias("__sum"))
         .select(*keys, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     )
     return (
-        blocked.withColumn("__inside", F.sum("__w").over(inside))
+        blocked.withColumn("__inside", F.sum("__weight").over(inside))
         .join(offsets, [*keys, "__block"])
         .withColumn(out, F.col("__inside") + F.col("__before"))
-        .drop("__block", "__w", "__inside", "__before")
+        .drop("__block", "__weight", "__inside", "__before")
     )
