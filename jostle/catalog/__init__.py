@@ -8,6 +8,7 @@ def load() -> ModuleType:
     from jostle.catalog import (  # noqa: F401
         inference,
         neighborhood,
+        replicas,
         runs,
         search,
         registry,
