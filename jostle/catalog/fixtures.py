@@ -28,12 +28,13 @@ STAGES = 7
 METRICS = 6
 
 
-def weight(c: int, f: Column, t: Column) -> Column:
-    return F.pmod(F.lit(7 * c * c + 3 * c).cast("long") + f * (5 * c) + t * (11 * (c + 1)) + t * t * c, F.lit(17).cast("long"))
+def weight(c: int, f: str, t: str) -> str:
+    """Integer weight of class ``c`` at feature and bin, as an expression."""
+    return f"(({7 * c * c + 3 * c}L + ({f}) * {5 * c} + ({t}) * {11 * (c + 1)} + ({t}) * ({t}) * {c}) % 17)"
 
 
-def weight_b(c: int, f: Column, t: Column) -> Column:
-    return weight(c, f, t) + F.pmod(t * 3 + f * c + c, F.lit(4).cast("long"))
+def weight_b(c: int, f: str, t: str) -> str:
+    return f"({weight(c, f, t)} + ((({t}) * 3 + ({f}) * {c} + {c}) % 4))"
 
 
 def label_rule(source: Column, clean: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from jostle.catalog.fixtures import Fixture, fixture, with_ctes
+from jostle.session import tune
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,11 @@ def query(name: str, needs: tuple[str, ...] = (), sql: str | None = None):
     def register(fn: Callable[[Fixture], object]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, folder: fn(fixture(spark, folder))
+        def run(spark, folder):
+            tune(spark)
+            return fn(fixture(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_ctes(needs, sql)
         return fn

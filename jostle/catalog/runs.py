@@ -54,10 +54,6 @@ def _(x):
     return out
 
 
-def logits(n, f, t, c):
-    return n * X.weight(c, f, t)
-
-
 def step_logits(x):
     """Logits of every bin of every source up to the padded horizon of its batch.
 
@@ -68,7 +64,7 @@ def step_logits(x):
         "source_id", "horizon", "padded_horizon", F.explode(F.sequence(F.lit(0).cast("long"), F.col("padded_horizon") - 1)).alias("t")
     )
     sums = x.cells.groupBy("source_id", "t").agg(*[
-        F.sum(logits(F.col("n"), F.col("f"), F.col("t"), c)).alias(f"z{c}") for c in range(K)
+        F.expr(f"sum(n * {X.weight(c, 'f', 't')})").alias(f"z{c}") for c in range(K)
     ])
     z = F.array(*[
         F.coalesce(F.col(f"z{c}"), F.lit(0).cast("long")) / F.lit(16.0) + F.pmod(F.col("t") + c, F.lit(5)) / F.lit(8.0)

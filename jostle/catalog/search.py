@@ -29,7 +29,7 @@ def gradients(x):
     """
     grid = E.densify(x.cells, x.bounds, W).select("source_id", "t", "f")
     wide = attach(grid, x.sources.select("source_id", "clean_prediction"), ["source_id"], spread=F.struct("t", "f"))
-    weights = F.array(*[X.weight(c, F.col("f"), F.col("t")) for c in range(K)])
+    weights = F.expr(f"array({', '.join(X.weight(c, 'f', 't') for c in range(K))})")
     clean = F.col("clean_prediction").cast("int")
     return wide.withColumn("w", weights).select(
         "source_id", "t", "f", F.transform("w", lambda w, c: F.when(c != clean, w - F.get(F.col("w"), clean))).alias("g")

@@ -110,9 +110,8 @@ def check_cells(values: DataFrame, cells: DataFrame) -> DataFrame:
     """
     found = values.groupBy("path").agg(F.count(F.lit(1)).alias("matches"), F.max("value").alias("value"))
     joined = cells.join(found, "path", "left")
-    number = F.try_to_number if False else (lambda c: F.expr(f"try_cast({c} as double)"))
-    computed = number("value") * F.coalesce(F.col("scale"), F.lit(1.0))
-    printed = number("printed")
+    computed = F.expr("try_cast(value as double)") * F.coalesce(F.col("scale"), F.lit(1.0))
+    printed = F.expr("try_cast(printed as double)")
     decimals = F.coalesce(F.col("decimals"), F.lit(0))
     tolerance = 0.5 * F.pow(F.lit(10.0), -decimals) + 1e-9
     exact = (F.round(computed) == printed) & (F.abs(computed - F.round(computed)) < 1e-9)
@@ -267,3 +266,107 @@ def require_clean(checks: DataFrame) -> None:
     broken = checks.where(F.col("violations") > 0).orderBy("check").limit(50).collect()
     if broken:
         raise ValueError("; ".join(f"{r['check']}: {r['violations']}" for r in broken))
+
+
+def contract_check(contracts: DataFrame, payload: Sequence[str], outputs: DataFrame, files: DataFrame) -> DataFrame:
+    """Per artifact whether its contract hashes to the stored id, its output carries that id and
+    its upstream file still has the digest the contract names.
+
+    ``contracts`` are (artifact, <payload>, contract_id, upstream, upstream_sha256).
+    """
+    from jostle.functions.hashing import canonical_hash
+
+    hashed = contracts.withColumn("__hash", canonical_hash(payload))
+    joined = hashed.join(outputs.select("artifact", F.col("contract_id").alias("__out")), "artifact", "left").join(
+        files.select(F.col("path").alias("upstream"), F.col("sha256").alias("__now")), "upstream", "left"
+    )
+    same = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) == F.col(b))
+    return joined.select(
+        "artifact", same("__hash", "contract_id").alias("contract_ok"), same("__out", "contract_id").alias("output_ok"),
+        same("__now", "upstream_sha256").alias("upstream_ok"),
+    )
+
+
+def census_invariants(
+    moves: DataFrame, cells: DataFrame, sources: DataFrame, traces: DataFrame, patches: DataFrame,
+    classes: int, width: int, stages: int, metrics: int, exact_stages: Sequence[int],
+) -> DataFrame:
+    """The constraints a complete census must satisfy, as (check, violations).
+
+    Row-level rules take one scan per table; the rules across rows and tables are aggregates on the
+    source or candidate key.
+    """
+    finite = lambda a: ~F.exists(a, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
+    in_classes = lambda c: F.col(c).between(0, classes - 1)
+    s, cs = F.col("scores"), F.col("clean_scores")
+    code, changed = F.col("transition_code"), F.col("candidate_prediction") != F.col("clean_prediction")
+    right = F.col("clean_prediction") == F.col("label")
+    last = F.col("horizon") - 1
+    row_rules = {
+        "candidate_label_range": (moves, ~in_classes("label")),
+        "candidate_clean_range": (moves, ~in_classes("clean_prediction")),
+        "candidate_prediction_range": (moves, ~in_classes("candidate_prediction")),
+        "candidate_scores_finite": (moves, ~finite("scores")),
+        "candidate_scores_width": (moves, F.size(s) != classes),
+        "candidate_argmax_stored": (moves, S.predict(s) != F.col("candidate_prediction")),
+        "clean_argmax_stored": (moves, S.predict(cs) != F.col("clean_prediction")),
+        "code_range": (moves, ~code.between(0, 3)),
+        "code_preserved": (moves, (code == 0) != ~changed),
+        "code_adverse": (moves, (code == 1) != (changed & right)),
+        "code_corrective": (moves, (code == 2) != (changed & ~right & (F.col("candidate_prediction") == F.col("label")))),
+        "code_lateral": (moves, (code == 3) != (changed & ~right & (F.col("candidate_prediction") != F.col("label")))),
+        "move_adjacent": (moves, F.abs(F.col("to_bin") - F.col("from_bin")) != 1),
+        "move_direction": (moves, F.col("to_bin") - F.col("from_bin") != F.col("direction")),
+        "move_from_range": (moves, ~F.col("from_bin").between(0, last)),
+        "move_to_range": (moves, ~F.col("to_bin").between(0, last)),
+        "move_feature_range": (moves, ~F.col("feature").between(0, width - 1)),
+        "move_multiplicity_positive": (moves, F.col("multiplicity") < 1),
+        "margin_sign": (moves, (S.target_margin(s, F.col("candidate_prediction").cast("int")) < 0)),
+        "cell_count_positive": (cells, F.col("n") < 1),
+        "cell_count_storable": (cells, F.col("n") > 65535),
+        "cell_time_range": (cells, ~F.col("t").between(0, last)),
+        "cell_feature_range": (cells, ~F.col("f").between(0, width - 1)),
+        "source_horizon_positive": (sources, F.col("horizon") < 1),
+        "source_scores_finite": (sources, ~finite("scores")),
+        "source_scores_width": (sources, F.size(s) != classes),
+        "source_label_range": (sources, ~in_classes("label")),
+        "source_argmax_stored": (sources, S.predict(s) != F.col("clean_prediction")),
+        "source_margin_rederived": (sources, S.top_margin(s) != F.col("clean_margin")),
+        "source_correct_flag": (sources, F.col("clean_correct") != right),
+        "trace_missing": (traces, F.col("value").isNull()),
+        "trace_finite": (traces, F.isnan("value") | (F.abs("value") == float("inf"))),
+        "trace_stage_range": (traces, ~F.col("stage").between(0, stages - 1)),
+        "trace_metric_range": (traces, ~F.col("metric").between(0, metrics - 1)),
+        "patch_only_changed": (patches, code == 0),
+        "patch_scores_finite": (patches, ~finite("patch_scores")),
+        "patch_argmax_stored": (patches, S.predict(F.col("patch_scores")) != F.col("patch_prediction")),
+        "patch_control_exact": (
+            patches, F.col("stage").isin(list(exact_stages)) & (S.linf_change(F.col("patch_scores"), cs) != 0)
+        ),
+    }
+    rows = invariant_suite(row_rules)
+    per_source = (
+        cells.groupBy("source_id").agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("nonzero"),
+            F.count_if(F.col("t") == 0).alias("first"), F.count_if(F.col("t") == last).alias("final"),
+        )
+        .join(
+            moves.groupBy("source_id").agg(
+                F.count(F.lit(1)).alias("candidates"), F.min("cand").alias("low"), F.max("cand").alias("high"),
+                F.count_if(code != 0).alias("changed"),
+            ), "source_id", "full_outer",
+        )
+        .join(sources.select("source_id", "input_count", F.lit(1).alias("known")), "source_id", "full_outer")
+        .join(patches.groupBy("source_id").agg(F.count(F.lit(1)).alias("patched")), "source_id", "left")
+        .join(traces.groupBy("source_id").agg(F.count(F.lit(1)).alias("traced")), "source_id", "left")
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    across = invariant_suite({
+        "source_unknown": (per_source, F.col("known").isNull()),
+        "source_input_count": (per_source, ~F.col("total").eqNullSafe(F.col("input_count"))),
+        "source_cardinality": (per_source, zero("candidates") != 2 * zero("nonzero") - zero("first") - zero("final")),
+        "candidate_index_dense": (per_source, (zero("candidates") > 0) & ((F.col("low") != 0) | (F.col("high") != F.col("candidates") - 1))),
+        "patch_coverage": (per_source, zero("patched") != stages * zero("changed")),
+        "trace_coverage": (per_source, zero("traced") != stages * metrics * zero("candidates")),
+    })
+    return rows.unionByName(across)

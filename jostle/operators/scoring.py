@@ -18,16 +18,18 @@ from jostle.plans.staging import stage
 
 @dataclass(frozen=True)
 class LinearScorer:
-    """``score(c) = sum over cells of n * weight(c, f, t)`` with ``weight`` a column expression."""
+    """``score(c) = sum over cells of n * weight(c, f, t)``.
+
+    ``weight`` returns a SQL expression for class ``c`` from the expressions of feature and bin, so a
+    scorer stays inside generated code.
+    """
 
     classes: int
-    weight: Callable[[int, Column, Column], Column]
+    weight: Callable[[int, str, str], str]
 
     def clean(self, cells: DataFrame) -> DataFrame:
         """One score array per source; partial sums leave one row per task and source to shuffle."""
-        sums = [
-            F.sum(F.col("n") * self.weight(c, F.col("f"), F.col("t"))).alias(f"__s{c}") for c in range(self.classes)
-        ]
+        sums = [F.expr(f"sum(n * {self.weight(c, 'f', 't')})").alias(f"__s{c}") for c in range(self.classes)]
         return cells.groupBy("source_id", "horizon").agg(
             *sums, F.sum("n").alias("input_count"), F.count(F.lit(1)).alias("nonzero")
         ).select(
@@ -35,12 +37,12 @@ class LinearScorer:
             "input_count", "nonzero",
         )
 
-    def moved(self, clean_scores: Column, f: Column, from_bin: Column, to_bin: Column) -> Column:
+    def moved(self, clean_scores: str, f: str, from_bin: str, to_bin: str) -> Column:
         """Scores of a neighbor from those of its source."""
-        return F.array(*[
-            F.get(clean_scores, F.lit(c)) + self.weight(c, f, to_bin) - self.weight(c, f, from_bin)
-            for c in range(self.classes)
-        ])
+        scores = [
+            f"{clean_scores}[{c}] + {self.weight(c, f, to_bin)} - {self.weight(c, f, from_bin)}" for c in range(self.classes)
+        ]
+        return F.expr(f"array({', '.join(scores)})")
 
 
 def score_sources(cells: DataFrame, scorer: LinearScorer, label: Callable[[Column, Column], Column]) -> DataFrame:
@@ -68,8 +70,8 @@ def score_moves(
     wide = attach(cells, lookup, ["source_id"], spread=F.struct("t", "f"), **how)
     t, f = F.col("t"), F.col("f")
     scored = wide.withColumns({
-        "__s0": scorer.moved(F.col("clean_scores"), f, t, t - 1),
-        "__s1": scorer.moved(F.col("clean_scores"), f, t, t + 1),
+        "__s0": scorer.moved("clean_scores", "f", "t", "t - 1"),
+        "__s1": scorer.moved("clean_scores", "f", "t", "t + 1"),
     }).withColumns({"__p0": S.predict(F.col("__s0")).cast("long"), "__p1": S.predict(F.col("__s1")).cast("long")})
     sides = []
     for i, (step, exists) in enumerate(((-1, t > 0), (1, t + 1 < F.col("horizon")))):

@@ -20,12 +20,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
 
 
+def tune(spark: SparkSession) -> None:
+    """Session settings for plans with wide generated expressions, left alone where already set.
+
+    Recording a Python call site for every column expression costs more than planning them.
+    """
+    setting = "spark.python.sql.dataFrameDebugging.enabled"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, "false")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for staged tables: ``spark.checkpoint.dir`` of the session.
 
