@@ -73,6 +73,12 @@ def _(x):
     return report.select("source_id", F.round("adverse_rate", 9).alias("adverse_rate"), F.round("changed_share", 9).alias("changed_share"), "counts.adverse", "counts.candidates")
 
 
+@query("read_report", ("summary",), "SELECT source_id, label, clean_correct, adverse_unique FROM summary")
+def _(x):
+    rows = x.summary.select("source_id", "label", "clean_correct", "adverse_unique")
+    return S.read_report(x.spark, S.write_report(rows, fresh_path(x.spark, "report")))
+
+
 @query("fresh_output", ("summary",), "SELECT source_id, label, true AS second_write_refused, true AS protected_refused FROM summary")
 def _(x):
     from pyspark.errors import AnalysisException

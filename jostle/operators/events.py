@@ -56,16 +56,16 @@ def bin_events(events: DataFrame, bounds: DataFrame, step: int, units_per_featur
     )
 
 
-def bin_events_oracle(events: DataFrame, step: int, units_per_feature: int = 1) -> DataFrame:
+def bin_events_oracle(events: DataFrame, step: int, units_per_feature: int = 1, **how) -> DataFrame:
     """A second route to the same cells, for cross-checks.
 
-    Each event carries its source's bounds as a window would give them, obtained by a plain join,
-    its bin start by remainder, and cells are summed from unit weights.
+    Horizons come from quotient and remainder instead of a rounded-up quotient, an event is placed
+    by the start of its bin, and cells are summed from unit weights.
     """
-    sides = events.groupBy("source_id").agg(F.struct(F.min("us").alias("a"), F.max("us").alias("b")).alias("range"))
-    joined = events.join(sides, "source_id")
-    since = F.col("us") - F.col("range.a")
-    length = F.col("range.b") - F.col("range.a")
+    sides = stage(events.groupBy("source_id").agg(F.min("us").alias("a"), F.max("us").alias("b")), "sides")
+    joined = attach(events.select("source_id", "us", "unit"), sides, ["source_id"], spread=F.col("us"), **how)
+    since = F.col("us") - F.col("a")
+    length = F.col("b") - F.col("a")
     bins = div(length, step) + F.when(F.pmod(length, F.lit(step)) > 0, 1).otherwise(0)
     horizon = F.when(bins < 1, F.lit(1).cast("long")).otherwise(bins)
     full = div(since - F.pmod(since, F.lit(step)), step)

@@ -54,22 +54,22 @@ def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, **how) -> Dat
     and hot groups shrink before anything is ordered.
     """
     keys = list(keys)
-    pairs = stage(rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("w")), "pairs")
-    rx = stage(midranks(pairs, keys, x, "w", out="rx", **how), "rx")
-    ry = stage(midranks(pairs, keys, y, "w", out="ry", **how), "ry")
-    totals = pairs.groupBy(*keys).agg(F.sum("w").alias("n"))
+    pairs = stage(rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("__pairs")), "pairs")
+    rx = stage(midranks(pairs, keys, x, "__pairs", out="__rx", **how), "rx")
+    ry = stage(midranks(pairs, keys, y, "__pairs", out="__ry", **how), "ry")
+    totals = pairs.groupBy(*keys).agg(F.sum("__pairs").alias("__n"))
     ranked = attach(attach(pairs, rx, [*keys, x]), ry, [*keys, y])
     if keys:
         ranked = attach(ranked, stage(totals, "totals"), keys, spread=F.struct(x, y))
     else:
         ranked = ranked.join(F.broadcast(totals))  # one row
-    mean = (F.col("n") + 1) / F.lit(2.0)
-    dx, dy, w = F.col("rx") - mean, F.col("ry") - mean, F.col("w")
+    mean = (F.col("__n") + 1) / F.lit(2.0)
+    dx, dy, w = F.col("__rx") - mean, F.col("__ry") - mean, F.col("__pairs")
     sums = ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy")
+        F.max("__n").alias("n"), F.sum(w * dx * dy).alias("__xy"), F.sum(w * dx * dx).alias("__xx"), F.sum(w * dy * dy).alias("__yy")
     )
-    defined = (F.col("n") >= 3) & (F.col("xx") > 0) & (F.col("yy") > 0)
-    rho = F.when(defined, F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")))
+    defined = (F.col("n") >= 3) & (F.col("__xx") > 0) & (F.col("__yy") > 0)
+    rho = F.when(defined, F.try_divide(F.col("__xy"), F.sqrt("__xx") * F.sqrt("__yy")))
     return sums.select(*keys, "n", rho.alias("rho"))
 
 
@@ -217,9 +217,8 @@ def within_label_permutation(
     shuffled = _repeat(indexed.select(label, "slot"), repetitions).withColumn(
         "__key", draw(seed, F.col("rep"), F.col(label), F.col("slot"))
     )
-    # One group is one label in one repetition: sources of a label, never candidates.
-    order = Window.partitionBy("rep", label).orderBy("__key", "slot")
-    moved = shuffled.select(label, "rep", "slot", (F.row_number().over(order) - 1).cast("long").alias("target"))
+    drawn = running(shuffled, ["rep", label], [F.col("__key").asc(), F.col("slot").asc()], out="place", **how)
+    moved = drawn.select(label, "rep", "slot", (F.col("place") - 1).alias("target"))
     sides = attach(moved, indexed.select(label, F.col("slot"), "ry"), [label, "slot"])
     sides = attach(sides, indexed.select(label, F.col("slot").alias("target"), "rx"), [label, "target"])
     product = (F.col("rx") * F.col("ry")).cast("decimal(38,0)")

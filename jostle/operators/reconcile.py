@@ -26,13 +26,17 @@ def flatten_rows(df: DataFrame, root: str, key: Sequence[str]) -> DataFrame:
             continue
         column, path = F.col(name), F.concat(prefix, F.lit(f"/{name}"))
         if kind.startswith("array"):
-            numeric = F.transform(column, lambda v, i, path=path: leaf(F.concat(path, F.lit("/"), i.cast("string")), "number", v))
-            leaves.append(F.concat(F.array(leaf(F.concat(path, F.lit("/length")), "number", F.size(column))), numeric))
+            length = F.array(leaf(F.concat(path, F.lit("/length")), "number", F.size(column)))
+            leaves.append(F.concat(length, F.transform(column, _element_leaf(path))))
         else:
             leaves.append(F.array(leaf(path, "number" if kind in NUMERIC or kind.startswith("decimal") else kind, column)))
     return df.select(F.explode(F.concat(*leaves)).alias("l")).select("l.*")
 
 
+def _element_leaf(path: Column):
+    return lambda v, i: leaf(F.concat(path, F.lit("/"), i.cast("string")), "number", v)
+
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 

@@ -35,8 +35,10 @@ def write_pending(df: DataFrame, chunk: str, path: str, contract: str) -> DataFr
     done = read_chunks(spark, path)
     if done is not None and not done.where(F.col("contract") != contract).isEmpty():
         raise ValueError("stored chunks belong to another contract")
+    # Rebalancing groups a chunk's rows into few files and splits a chunk that is too large for one task.
     (
         pending_chunks(df.withColumn("contract", F.lit(contract)), chunk, done)
+        .hint("rebalance", chunk)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(chunk).parquet(path)
     )
     return spark.read.parquet(path)
