@@ -139,11 +139,11 @@ class Fixture:
             F.col("run.condition").cast("long").alias("condition"), F.col("run.scores").alias("scores"),
         )
 
-    def traces(self, moves: DataFrame) -> DataFrame:
+    def traces(self, moves: DataFrame, metrics: tuple[int, ...] = tuple(range(METRICS))) -> DataFrame:
         """Long activation-change table: (source, cand, stage, metric, value)."""
         grid = F.array(*[
             F.struct(F.lit(s).cast("long").alias("stage"), F.lit(m).cast("long").alias("metric"))
-            for s in range(STAGES) for m in range(METRICS)
+            for s in range(STAGES) for m in metrics
         ])
         return moves.withColumn("g", F.explode(grid)).select(
             *[c for c in moves.columns], F.col("g.stage").alias("stage"), F.col("g.metric").alias("metric"),

@@ -313,7 +313,7 @@ X.define("contrasts", ("traces", "patches"), _contrast_cte())
 
 def contrasts(x):
     geometry = C.source_geometry(x.scored, x.sources, W)
-    return I.source_contrasts(x.traces(x.moves), x.patches(x.scored), geometry, X.STAGES, 2)
+    return I.source_contrasts(x.traces(x.moves, (2,)), x.patches(x.scored), geometry, X.STAGES, 2)
 
 
 @query("source_contrasts", ("contrasts",), "SELECT family, test, source_id, round(contrast, 9) AS contrast FROM contrasts")

@@ -13,6 +13,7 @@ from jostle.operators import moves as M
 from jostle.operators import runs as R
 from jostle.operators import scoring as SC
 from jostle.operators.census import classification_metrics
+from jostle.plans.staging import fan_out
 
 K, RK, W = X.CLASSES, X.RUN_CLASSES, X.WIDTH
 
@@ -60,7 +61,8 @@ def step_logits(x):
     Occupied bins are sums over their cells; all bins get a bias, so empty ones count too.
     """
     batches = M.batch_groups(x.bounds.select("source_id", "horizon"), "source_id", "horizon")
-    steps = batches.select(
+    size = x.bounds.agg(F.count(F.lit(1)) * F.max("horizon")).first()[0]
+    steps = fan_out(batches, size, "source_id").select(
         "source_id", "horizon", "padded_horizon", F.explode(F.sequence(F.lit(0).cast("long"), F.col("padded_horizon") - 1)).alias("t")
     )
     sums = x.cells.groupBy("source_id", "t").agg(*[

@@ -27,8 +27,8 @@ def gradients(x):
 
     The clean class itself gets NULL, so it never wins a maximum.
     """
-    grid = E.densify(x.cells, x.bounds, W).select("source_id", "t", "f")
-    wide = attach(grid, x.sources.select("source_id", "clean_prediction"), ["source_id"], spread=F.struct("t", "f"))
+    places = E.grid(x.bounds, W).select("source_id", "t", "f")
+    wide = attach(places, x.sources.select("source_id", "clean_prediction"), ["source_id"], spread=F.struct("t", "f"))
     weights = F.expr(f"array({', '.join(X.weight(c, 'f', 't') for c in range(K))})")
     clean = F.col("clean_prediction").cast("int")
     return wide.withColumn("w", weights).select(

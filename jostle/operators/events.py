@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from jostle.functions.ints import div
 from jostle.plans.joins import attach
-from jostle.plans.staging import stage
+from jostle.plans.staging import fan_out, stage
 
 # Fixed value: largest storable count.
 MAX_COUNT = 65535
@@ -78,26 +78,31 @@ def bin_events_oracle(events: DataFrame, step: int, units_per_feature: int = 1,
     )
 
 
-def densify(cells: DataFrame, sources: DataFrame, width: int) -> DataFrame:
-    """Every (t, f) of every source, zero where no event fell.
-
-    The zero grid is generated per (source, block of bins) and united with the cells, so the
-    result is one aggregation on the cell key; no join on the source id is needed.
-    """
+def grid(sources: DataFrame, width: int) -> DataFrame:
+    """Every (source_id, horizon, t, f), generated per (source, block of bins) by as many tasks as the
+    result needs."""
+    size = sources.agg(F.coalesce(F.sum("horizon"), F.lit(0)).alias("bins")).first()["bins"] * width
     blocks = sources.select(
         "source_id", "horizon",
         F.explode(F.sequence(F.lit(0).cast("long"), div(F.col("horizon") - 1, BLOCK_BINS))).alias("block"),
     )
-    # Spread before exploding: the grid of a long source is built by many tasks.
     last = F.least(F.col("horizon"), (F.col("block") + 1) * BLOCK_BINS) - 1
-    grid = (
-        blocks.repartition("source_id", "block")
+    return (
+        fan_out(blocks, size, "source_id", "block")
         .select("source_id", "horizon", F.explode(F.sequence(F.col("block") * BLOCK_BINS, last)).alias("t"))
         .select("source_id", "horizon", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("f"))
-        .withColumn("n", F.lit(0).cast("long"))
     )
+
+
+def densify(cells: DataFrame, sources: DataFrame, width: int) -> DataFrame:
+    """Every (t, f) of every source, zero where no event fell.
+
+    The zero grid is united with the cells, so the result is one aggregation on the cell key; no
+    join on the source id is needed.
+    """
     return (
-        grid.unionByName(cells.select("source_id", "horizon", "t", "f", "n"))
+        grid(sources, width).withColumn("n", F.lit(0).cast("long"))
+        .unionByName(cells.select("source_id", "horizon", "t", "f", "n"))
         .groupBy("source_id", "horizon", "t", "f")
         .agg(F.sum("n").alias("n"))
     )

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from jostle.functions.ints import div
 from jostle.functions.rng import draw, draw_index, draw_sign
 from jostle.plans.joins import attach
-from jostle.plans.ordering import midranks, percentiles, running
-from jostle.plans.staging import stage
+from jostle.plans.ordering import GROUP_ROWS, largest_group, midranks, percentiles, running
+from jostle.plans.staging import fan_out, stage
 
 # Fixed-point scale of contrasts in exact comparisons, split in two summable halves.
 SCALE, HALF = 1e12, 1_000_000
@@ -48,12 +48,54 @@ def cumulative_share(rows: DataFrame, value: str, identity: str = "source_id", *
 
 
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, **how) -> DataFrame:
-    """Rank correlation per ``keys``; NULL below three rows or for a constant side.
+    """Rank correlation per ``keys``; NULL below three rows or for a constant side."""
+    return spearman_many(rows, keys, x, {"rho": y}, **how)
 
-    Equal (x, y) pairs are counted first, and each side is ranked from its distinct values, so ties
-    and hot groups shrink before anything is ordered.
+
+def spearman_many(rows: DataFrame, keys: Sequence[str], x: str, targets: dict[str, str], group_rows: int | None = None, **how) -> DataFrame:
+    """Rank correlations of ``x`` with several columns per ``keys`` as columns named in ``targets``.
+
+    While the largest group fits one task, all ranks come from windows on one partitioning: the rows
+    are shuffled once, however many targets there are. Larger groups go through
+    :func:`_spearman_of_counts`.
     """
     keys = list(keys)
+    staged = stage(rows.select(*keys, x, *targets.values()), "ranked")
+    if largest_group(staged, keys)[0] > (GROUP_ROWS if group_rows is None else group_rows):
+        parts = [
+            _spearman_of_counts(staged, keys, x, y, group_rows=group_rows, **how).withColumnRenamed("rho", name)
+            for name, y in targets.items()
+        ]
+        out = parts[0]
+        for name, part in zip(list(targets)[1:], parts[1:]):
+            out = out.join(part.select(*keys, name), keys) if keys else out.join(F.broadcast(part.select(name)))
+        return out
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    ranks = {}
+    for c in dict.fromkeys([x, *targets.values()]):
+        ordered = group.orderBy(c)
+        upto = F.count(F.lit(1)).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ranks[f"__r_{c}"] = (F.rank().over(ordered) + upto) / F.lit(2.0)
+    centered = staged.withColumns(ranks).withColumn("__mean", (F.count(F.lit(1)).over(group) + 1) / F.lit(2.0))
+    d = {c: F.col(f"__r_{c}") - F.col("__mean") for c in dict.fromkeys([x, *targets.values()])}
+    sums = centered.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(v * v).alias(f"__xx_{c}") for c, v in d.items()],
+        *[F.sum(d[x] * d[y]).alias(f"__xy_{name}") for name, y in targets.items()],
+    )
+    return sums.select(*keys, "n", *[
+        _rho(F.col(f"__xy_{name}"), F.col(f"__xx_{x}"), F.col(f"__xx_{y}")).alias(name) for name, y in targets.items()
+    ])
+
+
+def _rho(xy: Column, xx: Column, yy: Column) -> Column:
+    defined = (F.col("n") >= 3) & (xx > 0) & (yy > 0)
+    return F.when(defined, F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy)))
+
+
+def _spearman_of_counts(rows: DataFrame, keys: list[str], x: str, y: str, **how) -> DataFrame:
+    """Equal (x, y) pairs are counted first, and each side is ranked from its distinct values, so ties
+    and hot groups shrink before anything is ordered, and no group is held in one task."""
     pairs = stage(rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("__pairs")), "pairs")
     rx = stage(midranks(pairs, keys, x, "__pairs", out="__rx", **how), "rx")
     ry = stage(midranks(pairs, keys, y, "__pairs", out="__ry", **how), "ry")
@@ -68,9 +110,7 @@ def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, **how) -> Dat
     sums = ranked.groupBy(*keys).agg(
         F.max("__n").alias("n"), F.sum(w * dx * dy).alias("__xy"), F.sum(w * dx * dx).alias("__xx"), F.sum(w * dy * dy).alias("__yy")
     )
-    defined = (F.col("n") >= 3) & (F.col("__xx") > 0) & (F.col("__yy") > 0)
-    rho = F.when(defined, F.try_divide(F.col("__xy"), F.sqrt("__xx") * F.sqrt("__yy")))
-    return sums.select(*keys, "n", rho.alias("rho"))
+    return sums.select(*keys, "n", _rho(F.col("__xy"), F.col("__xx"), F.col("__yy")).alias("rho"))
 
 
 def within_source_spearman(
@@ -80,11 +120,15 @@ def within_source_spearman(
 
     A source with fewer than two rows in a subset fails the job.
     """
-    variants = F.array(*[F.struct(F.lit(n).alias("target"), c.cast("double").alias("y")) for n, c in targets.items()])
+    columns = {n: f"__y_{n}" for n in targets}
     rows = moves.select(
-        "source_id", subset, F.col(response).cast("double").alias("x"), F.explode(variants).alias("v")
-    ).select("source_id", subset, F.col("v.target").alias("target"), "x", F.col("v.y").alias("y"))
-    per_source = stage(spearman(rows, [subset, "target", "source_id"], "x", "y", **how), "rho")
+        "source_id", subset, F.col(response).cast("double").alias("__x"), *[c.cast("double").alias(columns[n]) for n, c in targets.items()]
+    )
+    wide = spearman_many(rows, [subset, "source_id"], "__x", columns, **how)
+    lines = F.array(*[F.struct(F.lit(n).alias("target"), F.col(n).alias("rho")) for n in targets])
+    per_source = stage(
+        wide.select(subset, "source_id", "n", F.explode(lines).alias("l")).select(subset, "source_id", "n", "l.target", "l.rho"), "rho"
+    )
     checked = per_source.withColumn(
         "rho", F.when(F.col("n") < 2, F.raise_error(F.lit("fewer than two rows")).cast("double")).otherwise(F.col("rho"))
     )
@@ -103,7 +147,9 @@ def _index(values: DataFrame, keys: Sequence[str], identity: str, **how) -> Data
 
 
 def _repeat(rows: DataFrame, repetitions: int) -> DataFrame:
-    return rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    """Every row once per repetition; ``rows`` reads a staged table, so counting it is cheap."""
+    spread = fan_out(rows, rows.count() * repetitions, *rows.columns)
+    return spread.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
 
 
 def bootstrap_means(
@@ -165,7 +211,7 @@ def signflip_test(
     keys = list(keys)
     finite = stage(contrasts.where(_finite(value)), "contrasts")
     seed_column = seed if isinstance(seed, Column) else F.lit(seed)
-    indexed = _index(finite.withColumn("__seed", seed_column), keys, "source_id", **how)
+    indexed = stage(_index(finite.withColumn("__seed", seed_column), keys, "source_id", **how), "indexed")
     units = F.round(F.col(value) * SCALE).cast("long")
     flipped = _repeat(indexed.withColumn("__u", units), repetitions).select(
         *keys, "rep", F.col("__u"), draw_sign(F.col("__seed"), F.col("rep"), F.col("slot")).cast("long").alias("__s")

@@ -22,7 +22,7 @@ GROUP_ROWS = 2_000_000
 ROWS_PER_RANGE = 1_000_000
 
 
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+def largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     """(rows of the largest group, rows in all); one small row reaches the driver."""
     row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
     return (row[0] or 0), (row[1] or 0)
@@ -49,7 +49,7 @@ def running(
     weight = F.lit(1).cast("long") if weight is None else weight
     staged = stage(df, "order")
     limit = GROUP_ROWS if group_rows is None else group_rows
-    largest, total = _largest_group(staged, keys)
+    largest, total = largest_group(staged, keys)
     if largest <= limit:
         w = _window(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return staged.withColumn(out, F.sum(weight).over(w))

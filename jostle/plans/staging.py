@@ -15,3 +15,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Rows that one task may generate from its input.
+ROWS_PER_TASK = 1_000_000
+
+
+def fan_out(df: DataFrame, expected_rows: int, *columns: str) -> DataFrame:
+    """Spread rows before each is expanded into many.
+
+    A small table sits in few partitions, and adaptive execution would merge them further; what it
+    expands to decides how many tasks are needed, so their number is fixed here.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-expected_rows // ROWS_PER_TASK))
+    return df.repartition(tasks, *columns)

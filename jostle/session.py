@@ -20,21 +20,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording a Python call site for every column expression costs more than planning them.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
+    tune(session)
     session.sparkContext.setLogLevel("ERROR")
     return session
 
 
-def tune(spark: SparkSession) -> None:
-    """Session settings for plans with wide generated expressions, left alone where already set.
+# Generated methods beyond HotSpot's 8000 bytes are never compiled to machine code.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
-    Recording a Python call site for every column expression costs more than planning them.
-    """
-    setting = "spark.python.sql.dataFrameDebugging.enabled"
-    if spark.conf.get(setting, None) is None:
-        spark.conf.set(setting, "false")
+
+def tune(spark: SparkSession) -> None:
+    """Session settings for plans with wide generated expressions, left alone where already set."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, spark.conf.get(key, value))
 
 
 def shared_folder(spark: SparkSession) -> str:
