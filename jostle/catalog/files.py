@@ -15,6 +15,7 @@ from jostle.functions.ints import div
 from jostle.operators import events as E
 from jostle.plans.joins import attach
 from jostle.plans.ordering import running
+from jostle.plans.staging import stage
 from jostle.session import fresh_path
 from jostle.sources import chunks as K
 from jostle.sources import files as S
@@ -115,7 +116,7 @@ def _(x):
 def _(x):
     """All dense blocks laid end to end as one flat array with offsets, and unpacked again."""
     lengths = x.bounds.select("source_id", (F.col("horizon") * W).alias("length"))
-    placed = running(running(lengths, [], [F.col("source_id").asc()], F.col("length"), out="stop"), [], [F.col("source_id").asc()], out="position")
+    placed = running(lengths, [], [F.col("source_id").asc()], {"stop": F.col("length"), "position": F.lit(1).cast("long")})
     offsets = placed.select(F.col("position"), "source_id", (F.col("stop") - F.col("length")).alias("start"))
     closing = placed.agg((F.max("position") + 1).alias("position"), F.max("stop").alias("start")).select(
         "position", F.lit(None).cast("long").alias("source_id"), "start"
@@ -233,8 +234,11 @@ def _(x):
 )
 def _(x):
     """Contrasts, intervals and q-values of the stage family."""
-    wanted = QUERIES["contrast_family"](x.spark, x.folder).where("family = 'transition_vs_preserved'")
-    return wanted.select("test", "mean", "ci_low", "ci_high", "q_value")
+    return stage_family(QUERIES["contrast_family"](x.spark, x.folder))
+
+
+def stage_family(tests):
+    return tests.where("family = 'transition_vs_preserved'").select("test", "mean", "ci_low", "ci_high", "q_value")
 
 
 def register_export() -> None:
@@ -243,7 +247,9 @@ def register_export() -> None:
 
     @query("export_report_tables", (), counts)
     def _(x):
-        built = {q: QUERIES[q](x.spark, x.folder) for q in dict.fromkeys(REPORTS.values())}
+        built = {q: QUERIES[q](x.spark, x.folder) for q in dict.fromkeys(REPORTS.values()) if q != "figure_contrasts"}
+        built["contrast_family"] = stage(built["contrast_family"], "family")
+        built["figure_contrasts"] = stage_family(built["contrast_family"])
         paths = S.export_tables({name: built[q] for name, q in REPORTS.items()}, fresh_path(x.spark, "export"))
         out = None
         for name, path in paths.items():

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jostle.functions import scores as S
-from jostle.functions.ints import div
 from jostle.functions.outcomes import OUTCOMES, feature_part, outcome_name, time_part
 from jostle.plans.ordering import percentiles, running
 from jostle.plans.staging import stage
@@ -349,7 +348,3 @@ def subset_masks(moves: DataFrame, response: str) -> DataFrame:
         lambda tag: tag.isNotNull(),
     )
     return moves.withColumn("subset", F.explode(tags))
-
-
-def batch_of(column: str, size: int) -> Column:
-    return div(F.col(column), size)

@@ -174,9 +174,3 @@ def content_fingerprint(cells: DataFrame) -> DataFrame:
     return blocks.groupBy("source_id", "horizon").agg(
         F.sha2(F.concat_ws("|", F.col("horizon").cast("string"), F.concat_ws("|", digests)), 256).alias("fingerprint")
     )
-
-
-def stage_cells(events: DataFrame, step: int, units_per_feature: int = 1, **how) -> tuple[DataFrame, DataFrame]:
-    """Staged (bounds, cells): two passes over the events, after which they are not read again."""
-    bounds = stage(event_bounds(events, step), "bounds")
-    return bounds, stage(bin_events(events, bounds, step, units_per_feature, **how), "cells")

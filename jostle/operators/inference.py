@@ -41,8 +41,7 @@ def cumulative_share(rows: DataFrame, value: str, identity: str = "source_id", *
     """Positive rows by (value desc, id) with rank and running share of the total."""
     positive = stage(rows.where(F.col(value) > 0).select(identity, value), "positive")
     order = [F.col(value).desc(), F.col(identity).asc()]
-    summed = running(positive, [], order, F.col(value), out="running", **how)
-    placed = running(summed, [], order, out="rank", **how)
+    placed = running(positive, [], order, {"running": F.col(value), "rank": F.lit(1).cast("long")}, **how)
     total = positive.agg(F.sum(value).alias("total"))
     return placed.join(F.broadcast(total)).withColumn("share", F.col("running") / F.col("total")).drop("running", "total")
 

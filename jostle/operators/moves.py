@@ -22,11 +22,11 @@ def _has_next() -> Column:
 def index_cells(cells: DataFrame) -> DataFrame:
     """Add ``cand0``: the index within the source of the first move that leaves the cell."""
     leaving = F.when(_has_previous(), 1).otherwise(0) + F.when(_has_next(), 1).otherwise(0)
+    leaving = leaving.cast("long")
     numbered = running_in_blocks(
-        cells.withColumn("__leaving", leaving.cast("long")),
-        ["source_id"], div(F.col("t"), BLOCK_BINS), [F.col("t"), F.col("f")], F.col("__leaving"), "__upto",
+        cells, ["source_id"], div(F.col("t"), BLOCK_BINS), [F.col("t"), F.col("f")], leaving, "__upto"
     )
-    return numbered.withColumn("cand0", F.col("__upto") - F.col("__leaving")).drop("__upto", "__leaving")
+    return numbered.withColumn("cand0", F.col("__upto") - leaving).drop("__upto")
 
 
 def enumerate_moves(cells: DataFrame, *carry: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jostle.functions import scores as S
 from jostle.operators.census import classification_metrics
 from jostle.plans.ordering import percentiles
+from jostle.plans.staging import stage
 
 # Closed ranges of added bins; score thresholds.
 GAP_RANGES = ((0, 0), (1, 5), (6, 10), (11, 20), (21, 40), (41, 80), (81, 100000))
@@ -49,7 +50,7 @@ def delta(a: str = "scores_a", b: str = "scores_b") -> Column:
 
 def score_difference(pairs: DataFrame, keys: list[str], a: str = "scores_a", b: str = "scores_b", **how) -> DataFrame:
     """Distribution of the per-source largest score difference."""
-    rows = pairs.select(*keys, delta(a, b).alias("delta"))
+    rows = stage(pairs.select(*keys, delta(a, b).alias("delta")), "delta")
     counts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"),
         F.count_if(F.col("delta") == 0).alias("exact_zero"),
@@ -88,7 +89,7 @@ def condition_contrasts(runs: DataFrame, pairs: Sequence[tuple[int, int]], class
     from pyspark.sql import Window
 
     predicted = with_predictions(runs)
-    paired = pair_runs(predicted, pairs)
+    paired = stage(pair_runs(predicted, pairs), "paired")
     _, _, overall = classification_metrics(predicted, ["condition"], classes)
     accuracy = overall.select(F.col("condition").cast("string").alias("condition"), "accuracy")
     first = Window.partitionBy("pair").orderBy("source_id")

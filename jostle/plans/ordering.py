@@ -38,42 +38,47 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    weight: Column | None = None,
+    weight: Column | dict[str, Column] | None = None,
     out: str = "position",
     group_rows: int | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
     """Add the running sum of ``weight`` (default 1: the 1-based position) up to and including the
-    row, in ``order`` within ``keys``. ``order`` must be total within a group."""
+    row, in ``order`` within ``keys``. ``order`` must be total within a group.
+
+    A dict of weights gives one running sum per entry, named by it, from a single ordering.
+    """
     keys = list(keys)
-    weight = F.lit(1).cast("long") if weight is None else weight
+    if not isinstance(weight, dict):
+        weight = {out: F.lit(1).cast("long") if weight is None else weight}
     staged = stage(df, "order")
     limit = GROUP_ROWS if group_rows is None else group_rows
     largest, total = largest_group(staged, keys)
     if largest <= limit:
         w = _window(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return staged.withColumn(out, F.sum(weight).over(w))
+        return staged.withColumns({name: F.sum(value).over(w) for name, value in weight.items()})
     ranges = ranges or max(8, -(-total // ROWS_PER_RANGE))
     ranged = stage(
-        staged.withColumn("__weight", weight)
+        staged.withColumns({f"__weight_{name}": value for name, value in weight.items()})
         .repartitionByRange(ranges, *[F.col(k) for k in keys], *order)
         .withColumn("__range", F.spark_partition_id()),
         "range",
     )
     # One row per (group, range): at most ``ranges`` rows in a group.
-    sums = ranged.groupBy(*keys, "__range").agg(F.sum("__weight").alias("__sum"))
+    sums = ranged.groupBy(*keys, "__range").agg(*[F.sum(f"__weight_{name}").alias(f"__sum_{name}") for name in weight])
     before = _window(keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    offsets = sums.select(
+        *keys, "__range", *[F.coalesce(F.sum(f"__sum_{name}").over(before), F.lit(0)).alias(f"__before_{name}") for name in weight]
+    )
     inside = (
         _window([*keys, "__range"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     # (group, range) pairs are as fine as the ranked pieces, so this join has no hot key.
-    return (
-        ranged.withColumn("__inside", F.sum("__weight").over(inside))
-        .join(offsets, [*keys, "__range"])
-        .withColumn(out, F.col("__inside") + F.col("__before"))
-        .drop("__weight", "__range", "__inside", "__before")
+    placed = ranged.withColumns({f"__inside_{name}": F.sum(f"__weight_{name}").over(inside) for name in weight}).join(
+        offsets, [*keys, "__range"]
     )
+    placed = placed.withColumns({name: F.col(f"__inside_{name}") + F.col(f"__before_{name}") for name in weight})
+    return placed.drop("__range", *[f"__{part}_{name}" for part in ("weight", "inside", "before") for name in weight])
 
 
 def midranks(
@@ -144,10 +149,10 @@ def running_in_blocks(
     that bounds the rows of a (keys, block) pair by the data model, e.g. a span of time bins.
 
     One shuffle on (keys, block); a hot key is spread over its blocks, and only one row per block
-    is ordered per key.
+    is ordered per key. The input is staged, because rows and block totals both read it.
     """
     keys = list(keys)
-    blocked = df.withColumn("__block", block).withColumn("__weight", weight)
+    blocked = stage(df.withColumns({"__block": block, "__weight": weight}), "blocks")
     inside = (
         _window([*keys, "__block"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
