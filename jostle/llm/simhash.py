@@ -61,7 +61,13 @@ def fingerprints(column: pa.Array) -> pa.Array:
 
 def embedding(bits: Column) -> Column:
     """Bit counts of the 32 two-bit segments, each in its own two bits of a long."""
-    return bits - F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(_EVEN_BITS))
+    low, high = bits.bitwiseAND(F.lit(_EVEN_BITS)), F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(_EVEN_BITS))
+    # The sum of two bits is (both, either but not both); bit operations cannot overflow.
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
+def _signed(value: int) -> Column:
+    return F.lit(value - (1 << 64) if value >> 63 else value)
 
 
 def _cells(groups: int) -> list[list[int]]:
@@ -78,13 +84,14 @@ def links(distinct: DataFrame, column: str = "fp", max_bits: int = MAX_BITS) ->
     exact, upward = [], []
     for g, segments in enumerate(layout):
         mask = sum(3 << (2 * s) for s in segments)
-        cell = F.col("e").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        cell = F.col("e").bitwiseAND(_signed(mask))
         exact.append(F.struct(F.lit(g).alias("g"), cell.alias("cell")))
         upward.append(F.struct(F.lit(g).alias("g"), cell.alias("cell"), F.lit(True).alias("same")))
         for s in segments:
             count = F.shiftrightunsigned(F.col("e"), 2 * s).bitwiseAND(F.lit(3))
-            step = 1 << (2 * s)
-            upward.append(F.when(count < 2, F.struct(F.lit(g).alias("g"), (cell + F.lit(step)).alias("cell"), F.lit(False).alias("same"))))
+            # One more in this segment: 0 becomes 1, 1 becomes 2 (binary 10).
+            above = cell.bitwiseXOR(F.when(count == 0, _signed(1 << (2 * s))).otherwise(_signed(3 << (2 * s))))
+            upward.append(F.when(count < 2, F.struct(F.lit(g).alias("g"), above.alias("cell"), F.lit(False).alias("same"))))
     left = embedded.select("x", F.explode(F.array_compact(F.array(*upward))).alias("c")).select("c.g", "c.cell", "c.same", "x")
     right = embedded.select(F.col("x").alias("y"), F.explode(F.array(*exact)).alias("c")).select("c.g", "c.cell", "y")
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits
