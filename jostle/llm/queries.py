@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jostle.llm import pii, simhash
+from jostle.llm import nbsvm, pii, simhash
 from jostle.llm.common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,10 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(table(spark, folder, "documents"))
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = nbsvm.fit(nbsvm.training_rows(docs, table(spark, folder, "labels")))
+    return nbsvm.classify(docs, model).select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
