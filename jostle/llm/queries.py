@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jostle.llm import nbsvm, pii, simhash
+from jostle.llm import nbsvm, packing, pii, raking, simhash
 from jostle.llm.common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary() -> str:
+    """The tokenizer file of the packing; it is installed with its package on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         tune(spark)
@@ -39,3 +46,14 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = nbsvm.fit(nbsvm.training_rows(docs, table(spark, folder, "labels")))
     return nbsvm.classify(docs, model).select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), vocabulary())
+
+
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = raking.mix(table(spark, folder, "documents").select("doc_id", "text", "source", "lang"))
+    return drawn.select("doc_id", "source", "lang", "topic", "words", "probability", "sampled")
