@@ -78,15 +78,26 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(value[capacity]), counts
 
 
-def greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
-    """A feasible basis: patterns filled from the largest class down, each used until a class runs out.
+def _apply(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Product without threads of an algebra library, which may stall a driver that shares its cores."""
+    return np.einsum("ij,j->i", matrix, vector)
 
-    A class that has run out is in no later pattern, so the patterns are independent.
+
+def _pivot(inverse: np.ndarray, direction: np.ndarray, at: int) -> None:
+    """Update the inverse in place for a basis whose column ``at`` became the column behind ``direction``."""
+    row = inverse[at] / direction[at]
+    inverse -= np.outer(direction, row)
+    inverse[at] = row
+
+
+def greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible basis and its inverse: patterns filled from the largest class down, each used until a
+    class runs out; it then takes this class's column, and no later pattern holds the class.
     """
-    left, basis = demand.astype(float), np.zeros((len(sizes), len(sizes)))
+    left, basis, inverse = demand.astype(float), np.eye(len(sizes)), np.eye(len(sizes))
     order = np.argsort(-sizes)
     open_ = np.ones(len(sizes), bool)
-    for k in range(len(sizes)):
+    for _ in range(len(sizes)):
         counts, room = np.zeros(len(sizes)), capacity
         for c in order:
             if open_[c] and sizes[c] <= room:
@@ -98,8 +109,9 @@ def greedy_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.nda
         gone = int(np.argmin(uses))
         left = np.maximum(left - uses[gone] * counts, 0.0)
         left[gone], open_[gone] = 0.0, False
-        basis[:, k] = counts
-    return basis
+        basis[:, gone] = counts
+        _pivot(inverse, counts, gone)  # classes that ran out before are not in counts: no change of direction
+    return basis, inverse
 
 
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,16 +119,15 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
 
     Revised simplex on the equality form, from the patterns of :func:`greedy_basis`.
     """
-    basis = greedy_basis(sizes, demand, capacity)
-    inverse = np.linalg.inv(basis)
-    uses = np.maximum(inverse @ demand, 0.0)
-    for round_ in range(ROUNDS):
+    basis, inverse = greedy_basis(sizes, demand, capacity)
+    uses = np.maximum(_apply(inverse, demand), 0.0)
+    for _ in range(ROUNDS):
         prices = inverse.sum(axis=0)
         best, column = best_pattern(prices, sizes, capacity)
         # prices / best is dual feasible, so uses.sum() / best is a lower bound.
         if best <= 1 + GAP or uses.sum() * (1 - 1 / best) < 0.5:
             break
-        direction = inverse @ column
+        direction = _apply(inverse, column)
         ratios = np.where(direction > 1e-9, uses / np.maximum(direction, 1e-9), np.inf)
         leaving = int(np.argmin(ratios))
         step = ratios[leaving]
@@ -125,12 +136,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
         uses = np.maximum(uses - step * direction, 0.0)
         uses[leaving] = step
         basis[:, leaving] = column
-        row = inverse[leaving] / direction[leaving]
-        inverse -= np.outer(direction, row)
-        inverse[leaving] = row
-        if round_ % 500 == 499:
-            inverse = np.linalg.inv(basis)
-            uses = np.maximum(inverse @ demand, 0.0)
+        _pivot(inverse, direction, leaving)
     return basis, uses
 
 
@@ -141,12 +147,12 @@ def plan_sequences(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     basis, uses = solve_patterns(sizes, demand.astype(float), capacity)
     whole = np.floor(uses + 1e-6).astype(np.int64)
     counts = np.rint(basis).astype(np.int64)
-    rest = demand - counts @ whole
+    rest = demand - np.einsum("ij,j->i", counts, whole)
     while (rest < 0).any():  # only where floating point rounded a use up
         short = int(np.argmin(rest))
         k = int(np.nonzero((counts[short] > 0) & (whole > 0))[0][0])
         whole[k] -= 1
-        rest = demand - counts @ whole
+        rest += counts[:, k]
     plan = [(counts[:, k], int(whole[k])) for k in range(len(whole)) if whole[k]]
     # First-fit decreasing for what rounding left: fewer items than all patterns hold once.
     room, bins = np.empty(0, np.int64), []

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-from jostle.llm.common import WordCache
-
 #: Words that are encoded in one call.
-CALL_WORDS = 20_000
+CALL_WORDS = 500
+#: Words whose ids a Python worker keeps in each of two generations, about 200 bytes each.
+CACHE_WORDS = 300_000
+#: Signs that end words. A run of them after a letter is a word of its own to the tokenizer.
+SIGNS = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~'
 #: Fixed value: a special token of the vocabulary file that stands between words in such a call.
 BETWEEN = "<|startoftext|>"
 
@@ -16,23 +18,26 @@ class WordEncoder:
     """Encodes texts word by word for tokenizers that cut at white space and drop it.
 
     The ids of a text are then those of its words in a row; frequent words are encoded once. Texts are cut
-    only at blanks, tabs and line ends, which every such tokenizer treats as white space. ``pack`` gives a
-    text's ids as little-endian unsigned 32-bit integers.
+    only at blanks, tabs and line ends, which every such tokenizer treats as white space. A word of ASCII or
+    Latin letters (lower-cased, as the tokenizer does) with signs at its end is looked up as these two.
+    ``pack`` gives a text's ids as little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(BETWEEN)
         if self.between is None:
             raise ValueError(f"the vocabulary has no {BETWEEN}")
-        self.cache = WordCache(self._single)
-
-    def _single(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self.limit = limit
+        self.words: dict[str, bytes] = {}  # as in the texts, and those of the generation before
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # words without signs, and signs
+        self.older_parts: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
+        """Encode parts that no generation holds."""
         for at in range(0, len(words), CALL_WORDS):
             part = words[at : at + CALL_WORDS]
             ids = np.array(self.tokenizer.encode(BETWEEN.join(part), add_special_tokens=False).ids, "<u4")
@@ -40,13 +45,50 @@ class WordEncoder:
             raw = ids.tobytes()
             starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
             for word, a, b in zip(part, starts, ends, strict=True):
-                self.cache[word] = raw[a:b]
+                self.parts[word] = raw[a:b]
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        if BETWEEN in word:
+            return (word,)
+        stem = word.rstrip(SIGNS)
+        # Beyond Latin-1, lower-casing may depend on context or compose; such words are encoded as they are.
+        if stem and stem.isalpha() and max(stem) < "\u0100":
+            return (stem.lower(), word[len(stem) :]) if len(stem) < len(word) else (stem.lower(),)
+        return (word,)
+
+    def _known(self, part: str) -> bool:
+        if part in self.parts:
+            return True
+        value = self.older_parts.get(part)
+        if value is not None:
+            self.parts[part] = value
+        return value is not None
+
+    def _fill(self, new: list[str]) -> None:
+        split = {}
+        for word in new:
+            value = self.older.get(word)
+            if value is None:
+                split[word] = self._parts(word)
+            else:
+                self.words[word] = value
+        unknown = [p for p in {p for parts in split.values() for p in parts} if not self._known(p)]
+        self._learn([p for p in unknown if BETWEEN not in p])
+        for p in unknown:
+            if BETWEEN in p:
+                self.parts[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        for word, parts in split.items():
+            self.words[word] = b"".join([self.parts[p] for p in parts])
 
     def pack(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        cache = self.cache
-        cache.trim()
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            self._learn([w for w in new if BETWEEN not in w])  # others are encoded one by one
-        return b"".join([cache[w] for w in words])
+        if len(self.words) > self.limit:
+            self.older, self.words = self.words, {}
+        if len(self.parts) > self.limit:
+            self.older_parts, self.parts = self.parts, {}
+        try:
+            return b"".join([self.words[w] for w in words])
+        except KeyError:
+            self._fill(list(set(words).difference(self.words)))
+            return b"".join([self.words[w] for w in words])
