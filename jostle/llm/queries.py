@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jostle.llm import nbsvm, packing, pii, raking, simhash
+from jostle.llm import bloom_cascade, line_rules, nbsvm, packing, pii, raking, simhash
 from jostle.llm.common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,41 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     drawn = raking.mix(table(spark, folder, "documents").select("doc_id", "text", "source", "lang"))
     return drawn.select("doc_id", "source", "lang", "topic", "words", "probability", "sampled")
+
+
+@query
+def op10_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = line_rules.judge(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed", "words_removed"
+    )
+
+
+#: The rules that the URL query applies, as (action, host, path).
+URL_RULES = (
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+)
+
+
+@query
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return bloom_cascade.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op7_url_filter"] = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u
+), r(rule, rule_host, rule_path, verdict) AS (
+  VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+         ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), m AS (
+  SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.verdict, 'allow') AS verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS n
+  FROM p LEFT JOIN r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+)
+SELECT page_id, host, path, rule, verdict FROM m WHERE n = 1
+"""
