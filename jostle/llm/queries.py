@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jostle.llm import bloom_cascade, html_tree, line_rules, nbsvm, packing, pii, raking, simhash
+from jostle.llm import bloom_cascade, html_tree, line_rules, multi_index, nbsvm, packing, pii, raking, simhash
 from jostle.llm.common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     extracted = html_tree.extract(pages, html_tree.train(pages))
     return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op2_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.search(table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
