@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jostle.llm import bloom_cascade, html_tree, line_rules, multi_index, nbsvm, packing, pii, raking, simhash
+from jostle.llm import bloom_cascade, html_tree, line_rules, multi_index, nbsvm, packing, pii, raking, simhash, sparse_suffix
 from jostle.llm.common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.search(table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+@query
+def op5_sparse_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return sparse_suffix.repeated_passages(table(spark, folder, "documents"))
