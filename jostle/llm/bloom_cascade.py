@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jostle.llm.common import free_name
 from jostle.plans.staging import stage
 
 #: A larger cascade is refused: it would be too much for each task. A list of 100 million keys fits.
@@ -129,21 +130,23 @@ def judge_urls(
     ``rules``: (action, host, path). A rule fits its host and all subdomains if the path starts with its path;
     the longest decides, ties going to the smaller one. Block and allow rules each have a cascade over all keys of
     the corpus. A URL that no listed key fits gets ``otherwise``: the cascades prove it unlisted. Null urls,
-    empty tables and repeated rows need no care: each row is judged on its own.
+    empty tables and repeated rows need no care: each row is judged on its own. If ``pages`` has columns
+    of these names, the new ones get trailing underscores.
     """
     spark = pages.sparkSession
+    own = {n: free_name(pages, n) for n in ("host", "path", "rule", "verdict", "keys")}
     host, path = host_and_path(F.col(url))
-    split = pages.withColumns({"host": host, "path": path})
+    split = pages.withColumns({own["host"]: host, own["path"]: path})
     labels = sorted({h.count(".") + 1 for _, h, _ in rules}, reverse=True)
     lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
-    split = split.withColumn("keys", candidates(F.col("host"), F.col("path"), labels, lengths))
-    universe = split.select(F.explode("keys").alias("key")).distinct()
-    universe = stage(universe, "keys")
+    split = split.withColumn(own["keys"], candidates(F.col(own["host"]), F.col(own["path"]), labels, lengths))
+    universe = stage(split.select(F.explode(own["keys"]).alias("key")).distinct(), "keys")
     cascades = {}
     for action in (BLOCK, ALLOW):
         listed = [(h.lower() + p,) for a, h, p in rules if a == action]
         cascades[action] = build(universe, spark.createDataFrame(listed, "key string"), most_bytes)
-    fitting = F.filter("keys", lambda k: cascades[BLOCK].listed(k) | cascades[ALLOW].listed(k))
-    judged = split.withColumn("rule", F.get(fitting, F.lit(0)))
-    verdict = F.when(F.col("rule").isNull(), F.lit(otherwise)).when(cascades[BLOCK].listed(F.col("rule")), BLOCK).otherwise(ALLOW)
-    return judged.withColumn("verdict", verdict).drop("keys")
+    fitting = F.filter(own["keys"], lambda k: cascades[BLOCK].listed(k) | cascades[ALLOW].listed(k))
+    judged = split.withColumn(own["rule"], F.get(fitting, F.lit(0)))
+    rule = F.col(own["rule"])
+    verdict = F.when(rule.isNull(), F.lit(otherwise)).when(cascades[BLOCK].listed(rule), BLOCK).otherwise(ALLOW)
+    return judged.withColumn(own["verdict"], verdict).drop(own["keys"])

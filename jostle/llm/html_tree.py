@@ -391,7 +391,7 @@ def main_texts(sources: list[str], model: Model) -> list[str]:
 def extract(pages: DataFrame, model: Model, source: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of every whole page in ``out``; null and empty pages give empty text.
 
-    Blocks are joined by one line end; white space inside a block is one blank; nothing is cut off.
+    If ``pages`` has a column ``out``, the new one gets trailing underscores. Blocks are joined by one line end; white space inside a block is one blank; nothing is cut off.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # a few hundred potentials
 
@@ -400,4 +400,4 @@ def extract(pages: DataFrame, model: Model, source: str = "html", out: str = "te
         for column in batches:
             yield pa.array(main_texts(list(texts(column)), shared.value), pa.string())
 
-    return pages.withColumn(out if out in pages.columns else free_name(pages, out), extracted(F.col(source)))
+    return pages.withColumn(free_name(pages, out), extracted(F.col(source)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jostle.llm.common import WordCache, texts
+from jostle.llm.common import WordCache, free_name, texts
 from jostle.plans.joins import attach
 from jostle.plans.staging import stage
 
@@ -254,6 +254,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str = "quality") -
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 where the score reaches ``threshold``) added."""
-    scored = docs.withColumn("score", score(F.col(text), model))
-    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    """``docs`` with ``score`` and ``predicted`` (1 where the score reaches ``threshold``) added.
+
+    If ``docs`` has columns of these names, the new ones get trailing underscores.
+    """
+    names = [free_name(docs, n) for n in ("score", "predicted")]
+    scored = docs.withColumn(names[0], score(F.col(text), model))
+    return scored.withColumn(names[1], F.when(F.col(names[0]) >= threshold, 1).otherwise(0))

@@ -117,7 +117,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_linked = linked.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
     named = least.join(of_linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias(names[2]))
     named = stage(named, "components")
-    return rows.join(named, rows[names[1]] == named["fp"], "left").drop("fp")
+    # Named alike, so that the join keeps one of the two and no column of docs can be meant.
+    return rows.join(named.withColumnRenamed("fp", names[1]), names[1], "left").select(*docs.columns, *names)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
