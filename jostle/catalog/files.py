@@ -149,36 +149,34 @@ def _(x):
 
 
 def _digests(x):
-    """Digests of the files behind three staged tables, with paths as table/file."""
-    out = None
-    for name in ("bounds", "sources", "summary"):
-        folder = getattr(x, name).inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
-        part = M.file_digests(x.spark, folder, "*.parquet").withColumn("path", F.concat(F.lit(f"{name}/"), "path"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One entry for each document: its path and the digest of its text."""
+    path = F.concat(F.lit("documents/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+    return x.table("documents").select(path.alias("path"), F.sha2("text", 256).alias("sha256"), "doc_id")
 
 
-def _manifest(x, files):
-    ghost = x.spark.range(1).select(F.lit("ghost/part-0").alias("path"), F.sha2(F.lit("ghost"), 256).alias("sha256"))
-    listed = files.where(~F.col("path").startswith("bounds/"))
-    altered = F.when(F.col("path").startswith("sources/"), F.sha2("sha256", 256)).otherwise(F.col("sha256"))
-    return listed.withColumn("sha256", altered).unionByName(ghost)
+def _manifest(x):
+    """A manifest that leaves out every tenth document, alters every tenth and lists a moved copy of every tenth."""
+    files = _digests(x)
+    tenth = F.pmod(F.col("doc_id"), F.lit(10))
+    moved = files.where(tenth == 2).select(F.concat(F.lit("moved/"), "path").alias("path"), "sha256")
+    altered = F.when(tenth == 1, F.sha2("sha256", 256)).otherwise(F.col("sha256"))
+    return files.where(tenth != 0).select("path", altered.alias("sha256")).unionByName(moved)
 
 
-@query(
-    "verify_manifest", (),
-    """SELECT unnest(['bounds', 'ghost', 'sources', 'summary']) AS "table", unnest(['unexpected', 'missing', 'modified', 'ok']) AS status""",
-)
+PATH_SQL = "concat('documents/', source, '/', doc_id)"
+STATUS_SQL = f"""SELECT {PATH_SQL} AS path, CASE doc_id % 10 WHEN 0 THEN 'unexpected' WHEN 1 THEN 'modified' ELSE 'ok' END AS status FROM documents
+  UNION ALL SELECT 'moved/' || {PATH_SQL}, 'missing' FROM documents WHERE doc_id % 10 = 2"""
+
+
+@query("verify_manifest", (), STATUS_SQL)
 def _(x):
-    """Files of one table are unlisted, of one altered, of one unchanged; one listed file is absent."""
-    files = _digests(x)
-    return M.verify_manifest(files, _manifest(x, files)).select(F.get(F.split("path", "/"), F.lit(0)).alias("table"), "status").distinct()
+    """Every document and every listed path with its status."""
+    return M.verify_manifest(_digests(x).select("path", "sha256"), _manifest(x))
 
 
-@query("manifest_difference", (), """SELECT unnest(['bounds', 'ghost']) AS "table", unnest(['unexpected', 'missing']) AS status""")
+@query("manifest_difference", (), f"SELECT * FROM ({STATUS_SQL}) WHERE status IN ('unexpected', 'missing')")
 def _(x):
-    files = _digests(x)
-    return M.manifest_difference(files, _manifest(x, files)).select(F.get(F.split("path", "/"), F.lit(0)).alias("table"), "status").distinct()
+    return M.manifest_difference(_digests(x).select("path", "sha256"), _manifest(x))
 
 
 # The report tables and figure data sets and the queries that compute them.

@@ -201,6 +201,18 @@ def rng_sql(*key) -> str:
     return f"CAST(('0x' || substr(md5(concat_ws(':', {', '.join(map(str, key))})), 1, 8)) AS BIGINT)"
 
 
+def index_sql(seed, rep, *key) -> str:
+    """60 bits for a repetition: two repetitions share a digest."""
+    text = f"concat_ws(':', {', '.join(map(str, (seed, f'{rep} // 2', *key)))})"
+    return f"CAST(('0x' || substr(md5({text}), 1 + 16 * CAST({rep} % 2 AS INTEGER), 15)) AS BIGINT)"
+
+
+def sign_sql(seed, rep, *key) -> str:
+    """The sign bit of a repetition: thirty repetitions share a digest."""
+    text = f"concat_ws(':', {', '.join(map(str, (seed, f'{rep} // 30', *key)))})"
+    return f"((CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) >> CAST({rep} % 30 AS INTEGER)) & 1)"
+
+
 def predict_sql(scores: str) -> str:
     return f"CAST(list_position({scores}, list_max({scores})) - 1 AS BIGINT)"
 

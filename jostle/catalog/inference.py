@@ -13,7 +13,7 @@ from jostle.operators import inference as I
 
 W = X.WIDTH
 R = "response"
-REPS = 500
+REPS = 10_000  # repetitions of every resampling; a parameter of the operators
 
 X.define("response", ("moves",), f"SELECT *, {X.trace_sql('source_id', 'cand', '6', '2')} AS v FROM moves")
 X.define(
@@ -195,11 +195,11 @@ def boot_sql(table: str, keys: str, value: str, seed: str, reps: int, order: str
     on = " AND ".join([f"a.{c.strip()} = b.{c.strip()}" for c in keys.split(",")] if keys else []) or "true"
     cols = ", ".join(f"a.{c.strip()}" for c in keys.split(",")) + ", " if keys else ""
     indexed = f"(SELECT *, row_number() OVER ({part} ORDER BY {order}) - 1 AS slot, count(*) OVER ({part}) AS n FROM {table})"
-    return f"""SELECT {cols}a.rep, avg(b.{value}) AS m FROM (SELECT {k}rep, {X.rng_sql(seed, 'rep', 'slot')} % n AS pick FROM {indexed}, (SELECT unnest(range({reps})) AS rep)) a
+    return f"""SELECT {cols}a.rep, avg(b.{value}) AS m FROM (SELECT {k}rep, {X.index_sql(seed, 'rep', 'slot')} % n AS pick FROM {indexed}, (SELECT unnest(range({reps})) AS rep)) a
       JOIN {indexed} b ON {on} AND b.slot = a.pick GROUP BY {cols}a.rep"""
 
 
-BOOT_SEED, FLIP_SEED, PERM_SEED, STRATA_SEED = 12062027, 17062027, 12062028, 12062029
+BOOT_SEED, FLIP_SEED, PERM_SEED, STRATA_SEED, FAMILY_SEED, RESTORED_SEED = 101, 211, 307, 401, 503, 601
 
 
 @query(
@@ -215,7 +215,7 @@ def flip_sql(table: str, keys: str, value: str, seed: str, reps: int) -> str:
     """Sign-flip p-values per keys, compared in units of 1e-12."""
     part = f"PARTITION BY {keys}"
     return f"""SELECT {keys}, (1 + count(*) FILTER (abs(s) >= abs(o))) / ({reps} + 1e0) AS p_value FROM (
-      SELECT {keys}, rep, sum(CASE WHEN {X.rng_sql(seed, 'rep', 'slot')} % 2 = 0 THEN -u ELSE u END) AS s, max(o) AS o FROM (
+      SELECT {keys}, rep, sum(CASE WHEN {X.sign_sql(seed, 'rep', 'slot')} = 0 THEN -u ELSE u END) AS s, max(o) AS o FROM (
         SELECT *, row_number() OVER ({part} ORDER BY source_id) - 1 AS slot, sum(u) OVER ({part}) AS o FROM (SELECT *, CAST(round({value} * 1e12) AS BIGINT) AS u FROM {table})),
       (SELECT unnest(range({reps})) AS rep) GROUP BY {keys}, rep) GROUP BY {keys}"""
 
@@ -249,7 +249,7 @@ X.define(
 @query(
     "stratified_bootstrap", ("label_slots",),
     f"""SELECT (SELECT round(avg(adverse_rate), 9) FROM rates) AS mean, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM (
-      SELECT rep, avg(b.adverse_rate) AS m FROM (SELECT label, rep, {X.rng_sql(STRATA_SEED, 'rep', 'label', 'slot')} % n AS pick FROM label_slots, (SELECT unnest(range({REPS})) AS rep)) a
+      SELECT rep, avg(b.adverse_rate) AS m FROM (SELECT label, rep, {X.index_sql(STRATA_SEED, 'rep', 'label', 'slot')} % n AS pick FROM label_slots, (SELECT unnest(range({REPS})) AS rep)) a
       JOIN label_slots b ON a.label = b.label AND b.slot = a.pick GROUP BY rep)""",
 )
 def _(x):
@@ -321,19 +321,16 @@ def _(x):
     return rounded(contrasts(x))
 
 
-FAMILY_REPS = 200
-
-
 def test_seed():
     """Each test draws from its own stream: the seed depends on family and test name."""
     from jostle.functions.rng import draw
 
-    return F.pmod(draw(19062027, F.col("family"), F.col("test")), F.lit(1_000_000_000))
+    return F.pmod(draw(FAMILY_SEED, F.col("family"), F.col("test")), F.lit(1_000_000_000))
 
 
-SEED_SQL = f"({X.rng_sql(19062027, 'family', 'test')} % 1000000000)"
-X.define("family_p", ("contrasts",), flip_sql("contrasts", "family, test", "contrast", SEED_SQL, FAMILY_REPS))
-X.define("family_boot", ("contrasts",), boot_sql("contrasts", "family, test", "contrast", f"{SEED_SQL} + 1", FAMILY_REPS))
+SEED_SQL = f"({X.rng_sql(FAMILY_SEED, 'family', 'test')} % 1000000000)"
+X.define("family_p", ("contrasts",), flip_sql("contrasts", "family, test", "contrast", SEED_SQL, REPS))
+X.define("family_boot", ("contrasts",), boot_sql("contrasts", "family, test", "contrast", f"{SEED_SQL} + 1", REPS))
 X.define(
     "family_tests", ("family_p", "family_boot"),
     """SELECT p.*, o.n_sources, o.mean, c.ci_low, c.ci_high FROM family_p p
@@ -349,7 +346,7 @@ BH_SQL = """least(1e0, min(p_value * m / rank) OVER (PARTITION BY family ORDER B
       FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value, test) AS rank, count(*) OVER (PARTITION BY family) AS m FROM family_tests)""",
 )
 def _(x):
-    return rounded(I.contrast_family(contrasts(x), FAMILY_REPS, test_seed()))
+    return rounded(I.contrast_family(contrasts(x), REPS, test_seed()))
 
 
 X.define(
@@ -362,13 +359,13 @@ X.define(
     "restoration_intervals", ("restored",),
     f"""SELECT o.*, c.ci_low, c.ci_high FROM (SELECT transition_code, stage, count(*) AS n_sources, round(avg(restored_clean), 9) AS mean FROM restored GROUP BY 1, 2) o
       JOIN (SELECT transition_code, stage, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high
-        FROM ({boot_sql('restored', 'transition_code, stage', 'restored_clean', '19064027 + 10 * transition_code + stage', FAMILY_REPS)}) GROUP BY 1, 2) c USING (transition_code, stage)""",
+        FROM ({boot_sql('restored', 'transition_code, stage', 'restored_clean', f'{RESTORED_SEED} + 10 * transition_code + stage', REPS)}) GROUP BY 1, 2) c USING (transition_code, stage)""",
 )
 def _(x):
     """Bootstrap interval of the equal-source restoration rate per outcome and stage."""
     rows = I.restoration_contrasts(x.patches(x.scored))
-    seed = F.lit(19064027) + 10 * F.col("transition_code") + F.col("stage")
-    return rounded(I.bootstrap_mean_ci(rows, "restored_clean", FAMILY_REPS, seed, ["transition_code", "stage"]))
+    seed = F.lit(RESTORED_SEED) + 10 * F.col("transition_code") + F.col("stage")
+    return rounded(I.bootstrap_mean_ci(rows, "restored_clean", REPS, seed, ["transition_code", "stage"]))
 
 
 # ---------------------------------------------------------------- multiple testing

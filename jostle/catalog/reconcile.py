@@ -211,9 +211,22 @@ def _(x):
     return R.contract_check(contracts, PAYLOAD, outputs, files)
 
 
+# What a reader of the documents table may want to find before publishing it.
+PATTERNS = {
+    "mail_address": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}",
+    "dotted_quad": r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}",
+    "long_number": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}",
+    "dial_code": r"[+][0-9]{1,3} [(]?[0-9]{2,4}[)]?",
+    "web_link": r"https?://[A-Za-z0-9./_-]+",
+    "licence_line": r"(?i)(licen[cs]ed under|all rights reserved|copyright)",
+    "access_key": r"(?i)(api[_-]?key|secret|token|passw(or)?d) ?[=:]",
+    "symbol_run": r"[#*$%&|]{3,}",
+}
+
+
 def _scan_sql() -> str:
     parts = [
-        f"SELECT doc_id, '{name}' AS pattern, CAST(len(regexp_extract_all(text, '{regex}')) AS BIGINT) AS matches FROM kept" for name, regex in T.PATTERNS.items()
+        f"SELECT doc_id, '{name}' AS pattern, CAST(len(regexp_extract_all(text, '{regex}')) AS BIGINT) AS matches FROM kept" for name, regex in PATTERNS.items()
     ]
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE matches > 0"
 
@@ -224,4 +237,4 @@ X.define("kept", (), "SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id
 @query("scan_patterns", ("kept",), _scan_sql())
 def _(x):
     exempt = x.table("labels").where("toxic = 1").select("doc_id")
-    return T.scan_patterns(x.table("documents"), "doc_id", "text", T.PATTERNS, exempt)
+    return T.scan_patterns(x.table("documents"), "doc_id", "text", PATTERNS, exempt)

@@ -11,7 +11,7 @@ from jostle.operators import inference as I
 from jostle.operators import replicas as P
 from jostle.plans.staging import stage
 
-REPS, SEED = 500, 20260929
+REPS, SEED = 20_000, 701
 CASE = "CASE WHEN transition_code <> 0 THEN 3 WHEN list_sum(list_transform({d}, lambda v: abs(v))) = 0 THEN 0 WHEN {m} = {c} THEN 1 ELSE 2 END"
 LEVEL = CASE.format(d=X.diff_sql("scores", "clean_scores"), m=X.top_margin_sql("scores"), c=X.top_margin_sql("clean_scores"))
 X.define(
@@ -133,7 +133,7 @@ X.define(
     f"""SELECT cohort, o.sources, o.label_strata, round(o.t3, 9) AS t3_difference, round(o.adverse, 9) AS adverse_difference,
       round(quantile_cont(b.t3, 0.025), 9) AS t3_ci_low, round(quantile_cont(b.t3, 0.975), 9) AS t3_ci_high, round(quantile_cont(b.adverse, 0.025), 9) AS adverse_ci_low, round(quantile_cont(b.adverse, 0.975), 9) AS adverse_ci_high
       FROM (SELECT a.cohort, a.rep, 100e0 * (avg(v.B_t3_rate) - avg(v.A_t3_rate)) AS t3, 100e0 * (avg(v.B_adverse_rate) - avg(v.A_adverse_rate)) AS adverse FROM
-          (SELECT cohort, label, rep, {X.rng_sql(SEED, 'rep', 'cohort', 'label', 'slot')} % n AS pick FROM cohort_slots, (SELECT unnest(range({REPS})) AS rep)) a
+          (SELECT cohort, label, rep, {X.index_sql(SEED, 'rep', 'cohort', 'label', 'slot')} % n AS pick FROM cohort_slots, (SELECT unnest(range({REPS})) AS rep)) a
           JOIN cohort_slots v ON v.cohort = a.cohort AND v.label = a.label AND v.slot = a.pick GROUP BY 1, 2) b
       JOIN (SELECT cohort, count(*) AS sources, count(DISTINCT label) AS label_strata, 100e0 * (avg(B_t3_rate) - avg(A_t3_rate)) AS t3, 100e0 * (avg(B_adverse_rate) - avg(A_adverse_rate)) AS adverse FROM cohorts GROUP BY 1) o USING (cohort)
       GROUP BY ALL""",

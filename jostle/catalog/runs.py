@@ -231,7 +231,7 @@ def paired(x):
     return R.pair_runs(R.with_predictions(x.runs), PAIRS)
 
 
-DIFFERENCE_SQL = """SELECT pair, count(*) AS samples, count(*) FILTER (delta = 0) AS exact_zero, count(*) FILTER (delta <> 0) AS nonzero,
+DIFFERENCE_SQL = """SELECT pair, count(delta) AS samples, count(*) FILTER (delta IS NULL) AS missing, count(*) FILTER (delta = 0) AS exact_zero, count(*) FILTER (delta <> 0) AS nonzero,
   round(quantile_cont(delta, 0.5), 9) AS median, round(quantile_cont(delta, 0.95), 9) AS p95, round(quantile_cont(delta, 0.99), 9) AS p99,
   round(max(delta), 9) AS maximum, count(*) FILTER (delta > 1e-5) AS above_1e_5, count(*) FILTER (delta > 1e-4) AS above_1e_4, count(*) FILTER (delta > 1e-3) AS above_1e_3
   FROM paired_runs GROUP BY 1"""
@@ -267,12 +267,12 @@ def _(x):
     return R.changed_sources(paired(x))
 
 
-RANGES_SQL = ", ".join(f"(CAST({lo} AS BIGINT), CAST({hi} AS BIGINT))" for lo, hi in R.GAP_RANGES)
+RANGES_SQL = ", ".join(f"(CAST({lo} AS BIGINT), CAST({'NULL' if hi is None else hi} AS BIGINT))" for lo, hi in R.GAP_RANGES)
 
 
 @query(
     "gap_range_join", ("padded_runs",),
-    f"SELECT source_id, gap, lo, hi FROM padded_runs JOIN (VALUES {RANGES_SQL}) r(lo, hi) ON gap BETWEEN lo AND hi",
+    f"SELECT source_id, gap, lo, hi FROM padded_runs JOIN (VALUES {RANGES_SQL}) r(lo, hi) ON gap >= lo AND (hi IS NULL OR gap <= hi)",
 )
 def _(x):
     return R.gap_range_join(padded_runs(x), "gap").select("source_id", "gap", "lo", "hi")
@@ -282,7 +282,7 @@ def _(x):
     "gap_change_rates", ("padded_runs",),
     f"""SELECT lo, hi, count(source_id) AS sources, count(*) FILTER (changed) AS changed,
       round(avg(CASE WHEN changed THEN 1e0 WHEN NOT changed THEN 0e0 END), 9) AS changed_fraction
-      FROM (VALUES {RANGES_SQL}) r(lo, hi) LEFT JOIN padded_runs ON gap BETWEEN lo AND hi GROUP BY 1, 2""",
+      FROM (VALUES {RANGES_SQL}) r(lo, hi) LEFT JOIN padded_runs ON gap >= lo AND (hi IS NULL OR gap <= hi) GROUP BY 1, 2""",
 )
 def _(x):
     return rounded(R.gap_change_rates(padded_runs(x), "gap", "changed"))
@@ -329,7 +329,7 @@ def _(x):
 
 @query(
     "parity_gate", ("paired_runs",),
-    """SELECT pair, count(*) AS sources, round(max(delta), 9) AS max_abs_error, count(*) FILTER (a <> b) AS class_disagreements,
+    """SELECT pair, count(*) AS sources, count(*) FILTER (delta IS NULL) AS missing, round(max(delta), 9) AS max_abs_error, count(*) FILTER (a <> b) AS class_disagreements,
       count(*) FILTER (delta = 0) AS bit_exact_sources, bool_and(delta <= 2e-1 AND a = b) AS pass FROM paired_runs GROUP BY 1""",
 )
 def _(x):

@@ -186,7 +186,7 @@ def stored_scores(x):
     """WITH j AS (SELECT a.policy, a.source_id, a.rank AS ra, b.rank AS rb, a.score AS sa, b.score AS sb FROM ranked a JOIN stored_ranked b USING (policy, source_id, cand)),
       r AS (SELECT *, rank() OVER (PARTITION BY policy, source_id ORDER BY sa) + (count(*) OVER (PARTITION BY policy, source_id, sa) - 1) / 2 AS rx,
         rank() OVER (PARTITION BY policy, source_id ORDER BY sb) + (count(*) OVER (PARTITION BY policy, source_id, sb) - 1) / 2 AS ry FROM j)
-      SELECT policy, source_id, bool_and(ra = rb) AS ranking_identical, bool_and(sa = sb) AS move_scores_equal, max(abs(sa - sb)) AS move_score_max_abs_difference,
+      SELECT policy, source_id, bool_and(ra = rb) AS ranking_identical, bool_and(sa = sb) AS move_scores_equal, CAST(0 AS BIGINT) AS missing, max(abs(sa - sb)) AS move_score_max_abs_difference,
         count(*) FILTER (ra <= 100 AND rb <= 100) AS top_overlap, bool_or(ra = 1 AND rb = 1) AS first_rank_identical, round(covar_pop(rx, ry) / sqrt(var_pop(rx)) / sqrt(var_pop(ry)), 9) AS move_score_spearman
       FROM r GROUP BY 1, 2""".replace("WITH j AS", "SELECT * FROM (WITH j AS") + ")",
 )

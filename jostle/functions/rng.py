@@ -13,9 +13,21 @@ def draw(*key: Column | int | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def draw_index(size: Column | int, *key: Column | int | str) -> Column:
-    return F.pmod(draw(*key), size if isinstance(size, Column) else F.lit(size))
+# One digest holds two indices of 60 bits, or the signs of 30 repetitions.
+INDICES, SIGNS = 2, 30
 
 
-def draw_sign(*key: Column | int | str) -> Column:
-    return F.when(F.pmod(draw(*key), F.lit(2)) == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+def digest(*key: Column | int | str) -> Column:
+    """The hexadecimal MD5 of a key such as (seed, block of repetitions, slot)."""
+    parts = [k if isinstance(k, Column) else F.lit(k) for k in key]
+    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+
+
+def index_of(size: Column, hexadecimal: Column, part: int) -> Column:
+    """Index below ``size`` from part 0 or 1 of a digest: 60 bits, so large sizes are reached evenly."""
+    return F.pmod(F.conv(F.substring(hexadecimal, 1 + 16 * part, 15), 16, 10).cast("long"), size)
+
+
+def sign_bits(hexadecimal: Column) -> Column:
+    """32 bits of a digest as a long; bit k set means + for repetition k of the block."""
+    return F.conv(F.substring(hexadecimal, 1, 8), 16, 10).cast("long")

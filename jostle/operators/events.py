@@ -7,6 +7,8 @@ the final boundary belongs to the last bin.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,23 +126,23 @@ def validate_counts(values: DataFrame, value: str, keys: list[str]) -> DataFrame
     )
 
 
-def validate_events(events: DataFrame, units: int, seq: str, block_rows: int = 65536) -> DataFrame:
+def validate_events(events: DataFrame, units: int, seq: str, block_rows: int = 65536, ties: Sequence[str] = ()) -> DataFrame:
     """Per source, events without a time, with a unit outside ``[0, units)`` or earlier than
-    their predecessor in ``seq`` order.
+    their predecessor in ``seq`` order; events of one ``seq`` are ordered by ``ties``.
 
     Predecessors are found inside blocks of ``seq``; the first event of a block is compared with
     the last one of the source's previous block, so a long source is never one window.
     """
     rows = events.withColumn("block", div(F.col(seq), block_rows))
-    inside = Window.partitionBy("source_id", "block").orderBy(seq)
+    inside = Window.partitionBy("source_id", "block").orderBy(seq, *ties)
     flagged = rows.withColumn("previous", F.lag("us").over(inside))
     per_block = flagged.groupBy("source_id", "block").agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("us").isNull()).alias("missing_time"),
         F.count_if((F.col("unit") < 0) | (F.col("unit") >= units) | F.col("unit").isNull()).alias("unit_out_of_range"),
         F.count_if(F.col("us") < F.col("previous")).alias("decreasing"),
-        F.min_by("us", seq).alias("first"),
-        F.max_by("us", seq).alias("last"),
+        F.min_by("us", F.struct(seq, *ties)).alias("first"),
+        F.max_by("us", F.struct(seq, *ties)).alias("last"),
     )
     across = Window.partitionBy("source_id").orderBy("block")
     return (

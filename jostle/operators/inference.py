@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jostle.functions.ints import div
-from jostle.functions.rng import draw, draw_index, draw_sign
+from jostle.functions.rng import INDICES, SIGNS, digest, draw, index_of, sign_bits
 from jostle.plans.joins import attach
 from jostle.plans.ordering import GROUP_ROWS, largest_group, midranks, percentiles, running
 from jostle.plans.staging import fan_out, stage
@@ -27,9 +27,10 @@ def _finite(c: str) -> Column:
 
 
 def average_rank(rows: DataFrame, keys: Sequence[str], value: str, out: str = "rank", **how) -> DataFrame:
-    """1-based mid-rank of every row within ``keys``."""
-    ranks = stage(midranks(rows, keys, value, out=out, **how), "midranks")
-    return attach(rows, ranks, [*keys, value])
+    """1-based mid-rank of every row within ``keys``; a row without a value keeps its place with rank
+    NULL and does not count for others."""
+    ranks = stage(midranks(rows.where(F.col(value).isNotNull()), keys, value, out=out, **how), "midranks")
+    return attach(rows, ranks, [*keys, value], how="left")
 
 
 def margin_rank(rows: DataFrame, keys: Sequence[str], value: str, identity: str = "source_id", **how) -> DataFrame:
@@ -56,10 +57,15 @@ def spearman_many(rows: DataFrame, keys: Sequence[str], x: str, targets: dict[st
 
     While the largest group fits one task, all ranks come from windows on one partitioning: the rows
     are shuffled once, however many targets there are. Larger groups go through
-    :func:`_spearman_of_counts`.
+    :func:`_spearman_of_counts`. Rows with an undefined value in any used column are left out first,
+    so both ways see the same rows.
     """
     keys = list(keys)
-    staged = stage(rows.select(*keys, x, *targets.values()), "ranked")
+    used = list(dict.fromkeys([x, *targets.values()]))
+    complete = F.lit(True)
+    for c in used:
+        complete = complete & _finite(c)
+    staged = stage(rows.select(*keys, *used).where(complete), "ranked")
     if largest_group(staged, keys)[0] > (GROUP_ROWS if group_rows is None else group_rows):
         parts = [
             _spearman_of_counts(staged, keys, x, y, group_rows=group_rows, **how).withColumnRenamed("rho", name)
@@ -145,10 +151,10 @@ def _index(values: DataFrame, keys: Sequence[str], identity: str, **how) -> Data
     return attach(placed, stage(sizes, "sizes"), list(keys), spread=F.col("slot"))
 
 
-def _repeat(rows: DataFrame, repetitions: int) -> DataFrame:
+def _repeat(rows: DataFrame, repetitions: int, out: str = "rep") -> DataFrame:
     """Every row once per repetition; ``rows`` reads a staged table, so counting it is cheap."""
     spread = fan_out(rows, rows.count() * repetitions, *rows.columns)
-    return spread.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    return spread.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
 
 
 def bootstrap_means(
@@ -171,9 +177,13 @@ def bootstrap_means(
     indexed = stage(_index(values, groups, identity, **how), "indexed")
     key = [F.col(c) for c in (strata if draw_key is None else draw_key)]
     seed_column = seed if isinstance(seed, Column) else F.lit(seed)
-    draws = _repeat(indexed.select(*groups, "slot", "n", seed_column.alias("__seed")), repetitions).select(
-        *groups, "rep", draw_index(F.col("n"), F.col("__seed"), F.col("rep"), *key, F.col("slot")).alias("slot")
-    )
+    # Repetitions that share a digest come from one row.
+    blocks = _repeat(indexed.select(*groups, "slot", "n", seed_column.alias("__seed")), -(-repetitions // INDICES), "__block")
+    hexed = blocks.withColumn("__hex", digest(F.col("__seed"), F.col("__block"), *key, F.col("slot")))
+    parts = F.array(*[
+        F.struct((F.col("__block") * INDICES + p).alias("rep"), index_of(F.col("n"), F.col("__hex"), p).alias("slot")) for p in range(INDICES)
+    ])
+    draws = hexed.select(*groups, F.explode(parts).alias("d")).select(*groups, "d.rep", "d.slot").where(F.col("rep") < repetitions)
     lookup = indexed.select(*groups, "slot", *metrics)
     drawn = attach(draws, lookup, [*groups, "slot"])
     return drawn.groupBy(*keys, "rep").agg(*[F.avg(m).alias(m) for m in metrics])
@@ -212,16 +222,23 @@ def signflip_test(
     seed_column = seed if isinstance(seed, Column) else F.lit(seed)
     indexed = stage(_index(finite.withColumn("__seed", seed_column), keys, "source_id", **how), "indexed")
     units = F.round(F.col(value) * SCALE).cast("long")
-    flipped = _repeat(indexed.withColumn("__u", units), repetitions).select(
-        *keys, "rep", F.col("__u"), draw_sign(F.col("__seed"), F.col("rep"), F.col("slot")).cast("long").alias("__s")
-    )
-
-    def exact(*group: str, sign: Column) -> list[Column]:
-        return [F.sum(sign * div(F.col("__u"), HALF)).alias("__hi"), F.sum(sign * F.col("__u") - sign * div(F.col("__u"), HALF) * HALF).alias("__lo")]
-
-    whole = F.abs(F.col("__hi").cast("decimal(38,0)") * HALF + F.col("__lo"))
-    null = flipped.groupBy(*keys, "rep").agg(*exact(sign=F.col("__s"))).select(*keys, whole.alias("null"))
-    observed = finite.withColumn("__u", units).groupBy(*keys).agg(*exact(sign=F.lit(1))).select(*keys, whole.alias("observed"))
+    # One digest carries the signs of a block of repetitions: n x R / 30 rows are made, with a sum per repetition.
+    blocks = _repeat(indexed.withColumn("__u", units), -(-repetitions // SIGNS), "__block")
+    signed = blocks.withColumns({
+        "__bits": sign_bits(digest(F.col("__seed"), F.col("__block"), F.col("slot"))), "__h": div(F.col("__u"), HALF),
+    }).withColumn("__l", F.col("__u") - F.col("__h") * HALF)
+    plus = lambda k: F.shiftright("__bits", k).bitwiseAND(F.lit(1)) == 1
+    flip = lambda c, k: F.sum(F.when(plus(k), F.col(c)).otherwise(-F.col(c)))
+    sums = signed.groupBy(*keys, "__block").agg(*[flip(c, k).alias(f"{c}_{k}") for k in range(SIGNS) for c in ("__h", "__l")])
+    lines = F.array(*[
+        F.struct((F.col("__block") * SIGNS + k).alias("rep"), F.col(f"__h_{k}").alias("hi"), F.col(f"__l_{k}").alias("lo")) for k in range(SIGNS)
+    ])
+    whole = lambda hi, lo: F.abs(hi.cast("decimal(38,0)") * HALF + lo)
+    null = sums.select(*keys, F.explode(lines).alias("s")).where(F.col("s.rep") < repetitions)
+    null = null.select(*keys, whole(F.col("s.hi"), F.col("s.lo")).alias("null"))
+    high = div(units, HALF)
+    observed = finite.groupBy(*keys).agg(F.sum(high).alias("hi"), F.sum(units - high * HALF).alias("lo"))
+    observed = observed.select(*keys, whole(F.col("hi"), F.col("lo")).alias("observed"))
     if keys:
         compared = null.join(F.broadcast(observed), keys) if _small(observed) else null.join(observed, keys)
     else:

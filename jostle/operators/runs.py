@@ -12,8 +12,8 @@ from jostle.operators.census import classification_metrics
 from jostle.plans.ordering import percentiles
 from jostle.plans.staging import stage
 
-# Closed ranges of added bins; score thresholds.
-GAP_RANGES = ((0, 0), (1, 5), (6, 10), (11, 20), (21, 40), (41, 80), (81, 100000))
+# Ranges of added bins, the last one without an end; score thresholds.
+GAP_RANGES = ((0, 0), (1, 5), (6, 10), (11, 20), (21, 40), (41, 80), (81, None))
 THRESHOLDS = (("above_1e_5", 1e-5), ("above_1e_4", 1e-4), ("above_1e_3", 1e-3))
 
 
@@ -49,10 +49,11 @@ def delta(a: str = "scores_a", b: str = "scores_b") -> Column:
 
 
 def score_difference(pairs: DataFrame, keys: list[str], a: str = "scores_a", b: str = "scores_b", **how) -> DataFrame:
-    """Distribution of the per-source largest score difference."""
+    """Distribution of the per-source largest score difference; sources on one side only are ``missing``."""
     rows = stage(pairs.select(*keys, delta(a, b).alias("delta")), "delta")
     counts = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"),
+        F.count("delta").alias("samples"),
+        F.count_if(F.col("delta").isNull()).alias("missing"),
         F.count_if(F.col("delta") == 0).alias("exact_zero"),
         F.count_if(F.col("delta") != 0).alias("nonzero"),
         F.max("delta").alias("maximum"),
@@ -63,11 +64,12 @@ def score_difference(pairs: DataFrame, keys: list[str], a: str = "scores_a", b:
 
 
 def label_contrast(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Changed predictions split into correct-to-wrong, wrong-to-correct and other-wrong."""
+    """Changed predictions split into correct-to-wrong, wrong-to-correct and other-wrong, among the
+    sources predicted on both sides."""
     changed = F.col("a") != F.col("b")
     return pairs.groupBy(*keys).agg(
         F.count_if(changed).alias("changed_labels"),
-        F.avg(F.when(changed, 1.0).otherwise(0.0)).alias("changed_fraction"),
+        F.avg(F.when(changed, 1.0).when(~changed, 0.0)).alias("changed_fraction"),
         F.count_if(changed & (F.col("a") == F.col("label"))).alias("correct_to_wrong"),
         F.count_if(changed & (F.col("b") == F.col("label"))).alias("wrong_to_correct"),
         F.count_if(changed & (F.col("a") != F.col("label")) & (F.col("b") != F.col("label"))).alias("wrong_to_different_wrong"),
@@ -116,11 +118,11 @@ def condition_contrasts(runs: DataFrame, pairs: Sequence[tuple[int, int]], class
     )
 
 
-def gap_range(gap: Column, ranges: Sequence[tuple[int, int]] = GAP_RANGES) -> Column:
-    """Index of the closed range that holds the gap; NULL outside all."""
+def gap_range(gap: Column, ranges: Sequence[tuple[int, int | None]] = GAP_RANGES) -> Column:
+    """Index of the range that holds the gap (both ends inside, None: no end); NULL outside all."""
     column = F.lit(None).cast("int")
     for i, (lo, hi) in enumerate(ranges):
-        column = F.when(gap.between(lo, hi), F.lit(i)).otherwise(column)
+        column = F.when((gap >= lo) if hi is None else gap.between(lo, hi), F.lit(i)).otherwise(column)
     return column
 
 
@@ -176,13 +178,15 @@ def alignment_guard(a: DataFrame, b: DataFrame) -> DataFrame:
     right = b.select("source_id", F.struct(*columns).alias("b"))
     joined = left.join(right, "source_id", "full_outer")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    # What is absent cannot be verified: NULL on one side or both is a violation.
+    differs = lambda c: F.coalesce(F.col(f"a.{c}") != F.col(f"b.{c}"), F.lit(True))
+    negative = lambda s: F.col(s).isNotNull() & F.coalesce(F.col(f"{s}.padded_horizon") < F.col(f"{s}.native_horizon"), F.lit(True))
     rules = {
         "missing_source": ~both,
-        "label_mismatch": both & (F.col("a.label") != F.col("b.label")),
-        "horizon_mismatch": both & (F.col("a.native_horizon") != F.col("b.native_horizon")),
-        "input_substituted": both & (F.col("a.fingerprint") != F.col("b.fingerprint")),
-        "negative_padding": (F.col("a.padded_horizon") < F.col("a.native_horizon"))
-        | (F.col("b.padded_horizon") < F.col("b.native_horizon")),
+        "label_mismatch": both & differs("label"),
+        "horizon_mismatch": both & differs("native_horizon"),
+        "input_substituted": both & differs("fingerprint"),
+        "negative_padding": negative("a") | negative("b"),
     }
     row = joined.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
     lines = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in rules])
@@ -201,10 +205,11 @@ def compare_runs(fresh: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def parity_gate(pairs: DataFrame, tolerance: float) -> DataFrame:
-    """One row per pair; ``pass`` needs every source within tolerance and of the same class."""
-    within = (delta() <= tolerance) & (F.col("a") == F.col("b"))
+    """One row per pair; ``pass`` needs every source on both sides, within tolerance and of the same class."""
+    within = F.coalesce((delta() <= tolerance) & (F.col("a") == F.col("b")), F.lit(False))
     return pairs.groupBy("pair").agg(
         F.count(F.lit(1)).alias("sources"),
+        F.count_if(F.col("a").isNull() | F.col("b").isNull() | delta().isNull()).alias("missing"),
         F.max(delta()).alias("max_abs_error"),
         F.count_if(F.col("a") != F.col("b")).alias("class_disagreements"),
         F.count_if(delta() == 0).alias("bit_exact_sources"),

@@ -7,17 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Patterns of machine-specific text that a release must not carry.
-PATTERNS = {
-    "machine_path": r"/home/|/Users/|/tmp/|[A-Za-z]:\\",
-    "stamped_date": r"_20[0-9]{6}",
-    "history_word": r"\b(revision|recorded|historical)\b",
-    "digest": r"\b[0-9a-f]{40,64}\b",
-    "seed_number": r"seed[ =:_]+[0-9]{8}",
-    "email_address": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+",
-}
-
-
 def scan_patterns(texts: DataFrame, identity: str, text: str, patterns: Mapping[str, str], exempt: DataFrame | None = None) -> DataFrame:
     """matches of every pattern in every whole text that is not exempt: (id, pattern, matches).
 
