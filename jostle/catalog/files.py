@@ -34,7 +34,7 @@ def csv_rows(x):
         F.initcap(F.col("clean_correct").cast("string"))
     )
     return x.summary.select(
-        "source_id", "label", flag.alias("clean_correct"), (F.col("adverse_unique") / F.col("unique_candidates")).alias("adverse_rate"),
+        "source_id", "label", flag.alias("clean_correct"), F.try_divide("adverse_unique", "unique_candidates").alias("adverse_rate"),
         F.concat(F.lit("source "), F.col("source_id").cast("string")).alias("name"),
     )
 
@@ -67,7 +67,7 @@ def _(x):
     """A nested JSON report; an undefined share (NaN) becomes null."""
     share = F.when(F.col("class_changed_unique") > 0, F.col("adverse_unique") / F.greatest(F.col("class_changed_unique"), F.lit(1))).otherwise(F.lit(float("nan")))
     rows = x.summary.select(
-        "source_id", (F.col("adverse_unique") / F.col("unique_candidates")).alias("adverse_rate"), share.alias("changed_share"),
+        "source_id", F.try_divide("adverse_unique", "unique_candidates").alias("adverse_rate"), share.alias("changed_share"),
         F.struct(F.col("adverse_unique").alias("adverse"), F.col("unique_candidates").alias("candidates")).alias("counts"),
     )
     report = S.read_report(x.spark, S.write_report(rows, fresh_path(x.spark, "report")), T._parse_datatype_string(REPORT_SCHEMA))
@@ -219,7 +219,7 @@ def _(x):
 def _(x):
     """Margin against adverse rate of the correct sources."""
     return x.summary.where("clean_correct").select(
-        "source_id", "clean_margin", "horizon", F.round(F.col("adverse_unique") / F.col("unique_candidates"), 9).alias("adverse_rate"),
+        "source_id", "clean_margin", "horizon", F.round(F.try_divide("adverse_unique", "unique_candidates"), 9).alias("adverse_rate"),
         "adverse_unique", (F.col("adverse_unique") > 0).alias("adverse_sensitive"),
     )
 

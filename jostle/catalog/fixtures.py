@@ -92,6 +92,15 @@ class Fixture:
         """Candidates with the score arrays of neighbor and source."""
         return SC.score_moves(self.cells, self.sources, SCORER)
 
+    @property
+    def paired_moves(self) -> DataFrame:
+        """Candidates with the prediction of the other move of their cell."""
+        return SC.score_moves(self.cells, self.sources, SCORER, keep_scores=False, keep_opposite=True)
+
+    @property
+    def scored_pairs(self) -> DataFrame:
+        return SC.score_moves(self.cells, self.sources, SCORER, keep_opposite=True)
+
     @cached_property
     def sources_b(self) -> DataFrame:
         """The second model on the same inputs; labels come from the first one."""
@@ -106,7 +115,9 @@ class Fixture:
     def summary(self) -> DataFrame:
         """One row per source with candidate and outcome counts."""
         facts = self.sources.drop("scores", "nonzero")
-        return stage(facts.join(C.source_counts(self.moves), "source_id"), "summary")
+        counts = C.source_counts(self.moves)
+        names = [c for c in counts.columns if c != "source_id"]
+        return stage(facts.join(counts, "source_id", "left").fillna(0, names), "summary")
 
     @property
     def moves_b(self) -> DataFrame:

@@ -99,7 +99,7 @@ X.define(
 def rates(x):
     return x.summary.where("clean_correct").select(
         "source_id", "label", "clean_margin", "horizon", "adverse_unique",
-        (F.col("adverse_unique") / F.col("unique_candidates")).alias("adverse_rate"),
+        F.try_divide("adverse_unique", "unique_candidates").alias("adverse_rate"),
     )
 
 
@@ -312,7 +312,7 @@ X.define("contrasts", ("traces", "patches"), _contrast_cte())
 
 
 def contrasts(x):
-    geometry = C.source_geometry(x.scored, x.sources, W)
+    geometry = C.source_geometry(x.scored_pairs, x.sources, W)
     return I.source_contrasts(x.traces(x.moves, (2,)), x.patches(x.scored), geometry, X.STAGES, 2)
 
 

@@ -302,7 +302,7 @@ X.define(
     "SELECT * REPLACE (round(paired_direction_discordance, 9) AS paired_direction_discordance) FROM pair_counts",
 )
 def _(x):
-    return C.pair_directions(x.moves).withColumn(
+    return C.pair_directions(x.paired_moves).withColumn(
         "paired_direction_discordance", F.round("paired_direction_discordance", 9)
     )
 
@@ -356,7 +356,7 @@ def _geometry_sql() -> str:
 @query("source_geometry", ("moves", "pair_counts"), _geometry_sql())
 def _(x):
     ranked = running(x.sources, [], [F.col("source_id").asc()], out="audit_rank").withColumn("audit_rank", F.col("audit_rank") - 1)
-    wide = C.source_geometry(x.scored, ranked, W)
+    wide = C.source_geometry(x.scored_pairs, ranked, W)
     return wide.select(*[
         F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in wide.dtypes
     ])

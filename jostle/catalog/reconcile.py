@@ -19,7 +19,7 @@ LEAVES = ("label", "unique_candidates", "adverse_unique", "adverse_rate", "clean
 def leaf_table(x):
     return x.summary.select(
         "source_id", "label", "unique_candidates", "adverse_unique",
-        (F.col("adverse_unique") / F.col("unique_candidates")).alias("adverse_rate"), "clean_correct",
+        F.try_divide("adverse_unique", "unique_candidates").alias("adverse_rate"), "clean_correct",
     )
 
 

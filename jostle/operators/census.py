@@ -47,30 +47,30 @@ def outcome_totals(moves: DataFrame) -> DataFrame:
     )
 
 
+PAIRED = ("paired_neither_changed", "paired_next_only_changed", "paired_previous_only_changed", "paired_both_changed")
+
+
+def _pair_counts() -> list[Column]:
+    """The 2x2 table of cells with two moves, counted on their move to the previous bin."""
+    first = (F.col("direction") < 0) & F.col("opposite_prediction").isNotNull()
+    previous, after = _changed(), F.col("opposite_prediction") != F.col("clean_prediction")
+    cases = (~previous & ~after, ~previous & after, previous & ~after, previous & after)
+    return [F.count_if(first & case).alias(name) for name, case in zip(PAIRED, cases)]
+
+
+def _discordance() -> Column:
+    pairs = F.col(PAIRED[0]) + F.col(PAIRED[1]) + F.col(PAIRED[2]) + F.col(PAIRED[3])
+    return (F.col(PAIRED[2]) - F.col(PAIRED[1])) / F.greatest(F.lit(1), pairs)
+
+
 def pair_directions(moves: DataFrame) -> DataFrame:
     """Both moves of a cell side by side, counted per source as a 2x2 table.
 
-    A self equi-join on (source, bin, feature) written as one aggregation: each key has at most
-    two rows.
+    ``moves`` carry the prediction of the other move of their cell (``score_moves`` with ``keep_opposite``), so the
+    only shuffle is one partial sum per task and source.
     """
-    changed = F.when(_changed(), 1).otherwise(0)
-    cells = moves.groupBy("source_id", "from_bin", "feature").agg(
-        F.max(F.when(F.col("direction") < 0, changed)).alias("previous"),
-        F.max(F.when(F.col("direction") > 0, changed)).alias("next"),
-    )
-    both = F.col("previous").isNotNull() & F.col("next").isNotNull()
-    counted = cells.groupBy("source_id").agg(
-        F.count_if(both & (F.col("previous") + F.col("next") == 0)).alias("paired_neither_changed"),
-        F.count_if(both & (F.col("previous") < F.col("next"))).alias("paired_next_only_changed"),
-        F.count_if(both & (F.col("previous") > F.col("next"))).alias("paired_previous_only_changed"),
-        F.count_if(both & (F.col("previous") + F.col("next") == 2)).alias("paired_both_changed"),
-    )
-    pairs = (
-        F.col("paired_neither_changed") + F.col("paired_next_only_changed")
-        + F.col("paired_previous_only_changed") + F.col("paired_both_changed")
-    )
-    discordance = (F.col("paired_previous_only_changed") - F.col("paired_next_only_changed")) / F.greatest(F.lit(1), pairs)
-    return counted.withColumn("paired_direction_discordance", discordance)
+    counted = moves.groupBy("source_id").agg(*_pair_counts())
+    return counted.withColumn("paired_direction_discordance", _discordance())
 
 
 def source_counts(moves: DataFrame) -> DataFrame:
@@ -85,7 +85,9 @@ def source_counts(moves: DataFrame) -> DataFrame:
 
 
 def source_geometry(moves: DataFrame, sources: DataFrame, width: int) -> DataFrame:
-    """A2: one row per source with rates, counts, margins and splits; empty splits are NULL."""
+    """A2: one row per source with rates, counts, margins and splits, from one aggregation of ``moves`` (with the
+    opposite prediction). Empty splits are NULL; a source without a move has zero counts and NULL rates.
+    """
     tertile = time_part(F.col("from_bin"), F.col("horizon"), 3)
     quartile = feature_part(F.col("feature"), width, 4)
     aggs = [
@@ -114,12 +116,13 @@ def source_geometry(moves: DataFrame, sources: DataFrame, width: int) -> DataFra
         "clean_class_margin": S.target_margin(F.col("scores"), F.col("clean_prediction").cast("int")),
         "true_class_margin": S.target_margin(F.col("scores"), F.col("label").cast("int")),
     })
-    summary = rows.groupBy("source_id").agg(*aggs).withColumn(
+    summary = rows.groupBy("source_id").agg(*aggs, *_pair_counts()).withColumn(
         "previous_minus_next_class_change_rate",
         F.col("previous_class_change_rate") - F.col("next_class_change_rate"),
     )
+    counts = [c for c, t in summary.dtypes if t == "bigint" and c != "source_id" and not c.startswith("minimum_")]
     facts = sources.drop("scores", "nonzero")
-    return facts.join(summary, "source_id").join(pair_directions(moves), "source_id")
+    return facts.join(summary, "source_id", "left").fillna(0, counts).withColumn("paired_direction_discordance", _discordance())
 
 
 def classification_metrics(labelled: DataFrame, keys: list[str], classes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -187,9 +190,9 @@ def accuracy_decomposition(summary: DataFrame) -> DataFrame:
     weight, correct = F.col("unique_candidates"), F.when(F.col("clean_correct"), 1).otherwise(0)
     row = summary.agg(
         F.avg(correct.cast("double")).alias("equal_source_clean_accuracy"),
-        F.avg(F.col("correct_neighbors") / weight).alias("equal_source_neighbor_accuracy"),
+        F.avg(F.try_divide(F.col("correct_neighbors"), weight)).alias("equal_source_neighbor_accuracy"),
         (F.sum(correct * weight) / F.sum(weight)).alias("unique_candidate_clean_accuracy"),
-        (F.sum("correct_neighbors") / F.sum(weight)).alias("unique_candidate_neighbor_accuracy"),
+        F.try_divide(F.sum("correct_neighbors"), F.sum(weight)).alias("unique_candidate_neighbor_accuracy"),
         F.sum(F.col("corrective_unique") - F.col("adverse_unique")).alias("corrective_minus_adverse"),
     )
     gain = F.col("unique_candidate_neighbor_accuracy") - F.col("unique_candidate_clean_accuracy")
@@ -206,8 +209,8 @@ def panel_incidence(summary: DataFrame) -> DataFrame:
         F.count_if(F.col("corrective_unique") > 0).alias("corrective_sources"),
         F.count_if(F.col("lateral_unique") > 0).alias("lateral_sources"),
         F.try_divide(F.count_if(correct & (F.col("adverse_unique") > 0)), F.count_if(correct)).alias("adverse_source_incidence"),
-        F.avg(F.col("class_changed_unique") / F.col("unique_candidates")).alias("mean_source_class_change_rate"),
-        F.avg(F.when(correct, F.col("adverse_unique") / F.col("unique_candidates"))).alias("mean_adverse_rate"),
+        F.avg(F.try_divide("class_changed_unique", "unique_candidates")).alias("mean_source_class_change_rate"),
+        F.avg(F.when(correct, F.try_divide("adverse_unique", "unique_candidates"))).alias("mean_adverse_rate"),
     )
 
 

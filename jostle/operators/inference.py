@@ -406,7 +406,7 @@ def margin_association(summary: DataFrame, repetitions: int, seed: int, **how) -
     within-label permutation p."""
     rows = stage(
         summary.where("clean_correct").select(
-            "source_id", "label", "clean_margin", (F.col("adverse_unique") / F.col("unique_candidates")).alias("adverse_rate")
+            "source_id", "label", "clean_margin", F.try_divide("adverse_unique", "unique_candidates").alias("adverse_rate")
         ),
         "association",
     )

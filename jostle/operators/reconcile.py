@@ -154,14 +154,18 @@ def candidate_descriptors(scored: DataFrame) -> DataFrame:
 
 
 def compare_point(fresh: DataFrame, stored: DataFrame, tolerance: float, columns: Sequence[str] = SCALARS) -> DataFrame:
-    """Per candidate the list of failed checks and the largest difference."""
+    """Per candidate the list of failed checks and the largest difference. A candidate on one side
+    only fails as ``missing_fresh`` or ``missing_stored``; an undefined difference fails its column."""
     pick = lambda df, tag: df.select("source_id", "cand", F.struct("candidate_prediction", *columns).alias(tag))
-    joined = pick(fresh, "f").join(pick(stored, "s"), ["source_id", "cand"])
+    joined = pick(fresh, "f").join(pick(stored, "s"), ["source_id", "cand"], "full_outer")
+    both = F.col("f").isNotNull() & F.col("s").isNotNull()
     off = {c: F.abs(F.col(f"f.{c}") - F.col(f"s.{c}")) for c in columns}
     failed = F.filter(
         F.array(
-            F.when(F.col("f.candidate_prediction") != F.col("s.candidate_prediction"), F.lit("candidate_prediction")),
-            *[F.when((d > tolerance) | F.isnan(d), F.lit(c)) for c, d in off.items()],
+            F.when(F.col("f").isNull(), F.lit("missing_fresh")),
+            F.when(F.col("s").isNull(), F.lit("missing_stored")),
+            F.when(both & undecided_fails(F.col("f.candidate_prediction") != F.col("s.candidate_prediction")), F.lit("candidate_prediction")),
+            *[F.when(both & undecided_fails((d > tolerance) | F.isnan(d)), F.lit(c)) for c, d in off.items()],
         ),
         lambda name: name.isNotNull(),
     )
@@ -176,7 +180,7 @@ def coverage_check(requested: DataFrame, stored: DataFrame, chunk: str, width: i
     left = requested.select(chunk, "source_id", "cand", F.lit(1).alias("asked"))
     right = stored.select(chunk, "source_id", "cand", F.col("scores").alias("got"))
     joined = left.join(right, [chunk, "source_id", "cand"], "full_outer")
-    finite = ~F.exists("got", lambda v: v.isNull() | F.isnan(v.cast("double")))
+    finite = ~F.exists("got", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     return joined.groupBy(chunk).agg(
         F.count_if(F.col("asked").isNotNull()).alias("requested"),
         F.count_if(F.col("got").isNotNull()).alias("stored"),
@@ -206,7 +210,7 @@ def validate_candidates(stored: DataFrame, cells: DataFrame, sources: DataFrame)
         "direction": F.col("s").isNotNull() & (F.col("s.to_bin") - F.col("s.from_bin") != F.col("s.direction")),
     }
     counted = joined.groupBy("source_id").agg(
-        *[F.count_if(r).alias(n) for n, r in rules.items()],
+        *[F.count_if(undecided_fails(r)).alias(n) for n, r in rules.items()],
         F.min("s.label").alias("l0"), F.max("s.label").alias("l1"), F.min("s.clean_prediction").alias("p0"), F.max("s.clean_prediction").alias("p1"),
         F.count_if(F.col("s").isNotNull()).alias("n"), F.max(F.when(F.col("s").isNotNull(), F.col("cand"))).alias("last"),
     )
@@ -217,7 +221,7 @@ def validate_candidates(stored: DataFrame, cells: DataFrame, sources: DataFrame)
         "clean_prediction": ~(F.col("p0").eqNullSafe(F.col("clean")) & F.col("p1").eqNullSafe(F.col("clean"))),
         "index_not_dense": F.col("last") != F.col("n") - 1,
     }
-    row = per_source.agg(*[F.sum(n).alias(n) for n in rules], *[F.count_if(r).alias(n) for n, r in source_rules.items()])
+    row = per_source.agg(*[F.sum(n).alias(n) for n in rules], *[F.count_if(undecided_fails(r)).alias(n) for n, r in source_rules.items()])
     return as_checks(row, [*rules, *source_rules])
 
 
@@ -249,27 +253,33 @@ def rebuild_check(a: DataFrame, b: DataFrame, stored: DataFrame, labels: DataFra
     return as_checks(row.join(F.broadcast(mismatched)), ["implementations_differ", "stored_cells_differ", "labels_differ"])
 
 
+def undecided_fails(rule: Column) -> Column:
+    """A violation that is NULL has not been ruled out."""
+    return F.coalesce(rule, F.lit(True))
+
+
 def invariant_suite(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     """Rows (check, violations) for named predicates that must never hold on their table.
 
-    Each table is scanned once for all checks on it.
+    Each table is scanned once for all checks on it. A rule that NULL leaves undecided counts as broken.
     """
     tables: dict[int, tuple[DataFrame, list[tuple[str, Column]]]] = {}
     for name, (df, violation) in checks.items():
         tables.setdefault(id(df), (df, []))[1].append((name, violation))
     out = None
     for df, rules in tables.values():
-        row = df.agg(*[F.count_if(rule).alias(name) for name, rule in rules])
+        row = df.agg(*[F.count_if(undecided_fails(rule)).alias(name) for name, rule in rules])
         part = as_checks(row, [name for name, _ in rules])
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def require_clean(checks: DataFrame) -> None:
-    """Fail loudly with the violated checks (a report-sized table)."""
-    broken = checks.where(F.col("violations") > 0).orderBy("check").limit(50).collect()
-    if broken:
-        raise ValueError("; ".join(f"{r['check']}: {r['violations']}" for r in broken))
+    """Fail loudly with the number of violated checks and the first 50 of them."""
+    broken = checks.where(undecided_fails(F.col("violations") > 0))
+    shown = broken.orderBy("check").limit(50).collect()
+    if shown:
+        raise ValueError(f"{broken.count()} checks broken: " + "; ".join(f"{r['check']}: {r['violations']}" for r in shown))
 
 
 def contract_check(contracts: DataFrame, payload: Sequence[str], outputs: DataFrame, files: DataFrame) -> DataFrame:

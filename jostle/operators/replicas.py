@@ -22,13 +22,13 @@ def hierarchy(moves: DataFrame) -> DataFrame:
 
 
 def replica_outcomes(levelled: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per source: level counts T0..T3 and the split of T3, with the clean facts."""
+    """One row per source: level counts T0..T3 and the split of T3, with the clean facts; zeros without a move."""
     counts = levelled.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("candidates"),
         *[F.count_if(F.col("level") == i).alias(f"t{i}") for i in range(4)],
         *[F.count_if(F.col("transition_code") == c).alias(n) for c, n in ((1, "adverse"), (2, "corrective"), (3, "lateral"))],
     )
-    return sources.select("source_id", "label", "clean_prediction", "clean_correct").join(counts, "source_id")
+    return sources.select("source_id", "label", "clean_prediction", "clean_correct").join(counts, "source_id", "left").fillna(0, ["candidates", *OUTCOMES])
 
 
 def pair_replicas(outcomes: DataFrame, replica: str, values: tuple[str, str] = ("A", "B")) -> DataFrame:
@@ -43,7 +43,7 @@ def pair_replicas(outcomes: DataFrame, replica: str, values: tuple[str, str] = (
         aggs += [mine(o).alias(f"{v}_{o}") for o in OUTCOMES]
     paired = outcomes.groupBy("source_id", "label").agg(*aggs)
     a = values[0]
-    rates = {f"{v}_{o}_rate": F.col(f"{v}_{o}") / F.col(f"{v}_neighbors") for v in values for o in OUTCOMES}
+    rates = {f"{v}_{o}_rate": F.try_divide(f"{v}_{o}", f"{v}_neighbors") for v in values for o in OUTCOMES}
     return paired.withColumn("neighbors", F.col(f"{a}_neighbors")).withColumns(rates)
 
 
@@ -70,7 +70,8 @@ def replica_consistency(outcomes: DataFrame, paired: DataFrame, replica: str, va
         "partition_broken": both & (F.col("t0") + F.col("t1") + F.col("t2") + F.col("t3") != F.col("candidates")),
         "t3_split_broken": both & (F.col("adverse") + F.col("corrective") + F.col("lateral") != F.col("t3")),
     }
-    row = joined.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
+    # A rule that NULL leaves undecided counts as broken.
+    row = joined.agg(*[F.count_if(F.coalesce(rule, F.lit(True))).alias(name) for name, rule in rules.items()])
     out = F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in rules])
     return row.select(F.explode(out).alias("l")).select("l.*")
 

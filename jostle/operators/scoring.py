@@ -45,9 +45,21 @@ class LinearScorer:
         return F.expr(f"array({', '.join(scores)})")
 
 
-def score_sources(cells: DataFrame, scorer: LinearScorer, label: Callable[[Column, Column], Column]) -> DataFrame:
-    """Source table: clean scores, prediction, label (from id and clean prediction) and margin."""
-    clean = scorer.clean(cells).withColumn("clean_prediction", S.predict(F.col("scores")).cast("long"))
+def score_sources(
+    cells: DataFrame, scorer: LinearScorer, label: Callable[[Column, Column], Column], known: DataFrame | None = None
+) -> DataFrame:
+    """Source table: clean scores, prediction, label (from id and clean prediction) and margin.
+
+    ``known`` (source_id, horizon) lists all sources; those without a cell are scored as empty inputs.
+    """
+    clean = scorer.clean(cells)
+    if known is not None:
+        empty = F.array(*[F.lit(0).cast("long") for _ in range(scorer.classes)])
+        clean = known.select("source_id", "horizon").join(clean.drop("horizon"), "source_id", "left").withColumns({
+            "scores": F.coalesce(F.col("scores"), empty.cast(clean.schema["scores"].dataType)),
+            "input_count": F.coalesce("input_count", F.lit(0)), "nonzero": F.coalesce("nonzero", F.lit(0)),
+        })
+    clean = clean.withColumn("clean_prediction", S.predict(F.col("scores")).cast("long"))
     return clean.withColumn("label", label(F.col("source_id"), F.col("clean_prediction")).cast("long")).withColumns(
         {
             "clean_correct": F.col("label") == F.col("clean_prediction"),
@@ -57,10 +69,11 @@ def score_sources(cells: DataFrame, scorer: LinearScorer, label: Callable[[Colum
 
 
 def score_moves(
-    cells: DataFrame, sources: DataFrame, scorer: LinearScorer, keep_scores: bool = True, **how
+    cells: DataFrame, sources: DataFrame, scorer: LinearScorer, keep_scores: bool = True, keep_opposite: bool = False, **how
 ) -> DataFrame:
     """The candidate fact table: every move with its prediction and outcome code, and the score
-    arrays of neighbor and source unless ``keep_scores`` is off.
+    arrays of neighbor and source unless ``keep_scores`` is off. ``keep_opposite`` adds the prediction of the
+    other move of the same cell (NULL without one), so that pairs need no second meeting.
 
     Source columns are attached to the cells, half as many rows as moves. Both neighbors of a cell
     are scored on the cell's row and only then exploded: the generator keeps later filters on the
@@ -78,6 +91,9 @@ def score_moves(
         fields = [F.lit(step).alias("direction"), F.col(f"__p{i}").alias("prediction")]
         if keep_scores:
             fields.append(F.col(f"__s{i}").alias("scores"))
+        if keep_opposite:
+            other = t + 1 < F.col("horizon") if i == 0 else t > 0
+            fields.append(F.when(other, F.col(f"__p{1 - i}")).alias("opposite"))
         sides.append(F.when(exists, F.struct(*fields)))
     exploded = scored.withColumn("__move", F.explode(F.array(*sides))).where(F.col("__move").isNotNull())
     direction, prediction = F.col("__move.direction"), F.col("__move.prediction")
@@ -85,6 +101,8 @@ def score_moves(
     if "cand0" in cells.columns:
         index = [(F.col("cand0") + F.when((direction > 0) & (t > 0), 1).otherwise(0)).alias("cand")]
     vectors = [F.col("__move.scores").alias("scores"), "clean_scores"] if keep_scores else []
+    if keep_opposite:
+        vectors.append(F.col("__move.opposite").alias("opposite_prediction"))
     code = transition_code(F.col("label"), F.col("clean_prediction"), prediction, scorer.classes)
     return exploded.select(
         "source_id", *index, t.alias("from_bin"), (t + direction).alias("to_bin"), f.alias("feature"),
