@@ -99,6 +99,21 @@ def links(distinct: DataFrame, column: str = "fp", max_bits: int = MAX_BITS) ->
     return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
 
+def _classes(rows: DataFrame, doc_id: str, key: str, fp: str, max_bits: int) -> DataFrame:
+    """(fp, root, component_id, first) of each distinct fingerprint of ``rows``.
+
+    ``root`` tells components apart, ``component_id`` is the smallest id in one (null without any), and
+    ``first`` the number of the row that has it: the first of rows with equal ids.
+    """
+    place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(key).alias("row"))
+    own = stage(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("least")), "distinct")
+    roots = stage(components(links(own, "fp", max_bits)), "roots")
+    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = stage(rooted, "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("s"))
+    return stage(rooted.join(smallest, "root").select("fp", "root", F.col("s.id").alias("component_id"), F.col("s.row").alias("first")), "classes")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """All columns of ``docs`` plus ``row_key`` (unique), ``fingerprint`` (long) and ``component_id``.
 
@@ -109,29 +124,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     names = [free_name(docs, n) for n in ("row_key", "fingerprint", "component_id")]
     rows = keyed(docs.withColumn(names[1], fingerprints(F.col(text))), "fingerprints", names[0])
-    least = stage(rows.groupBy(F.col(names[1]).alias("fp")).agg(F.min(doc_id).alias("least")), "distinct")
-    roots = stage(components(links(least, "fp", max_bits)), "roots")
-    # Components and their smallest ids, for fingerprints with links only.
-    linked = roots.join(least, roots["node"] == least["fp"]).select("node", "root", "least")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
-    of_linked = linked.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
-    named = least.join(of_linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias(names[2]))
-    named = stage(named, "components")
-    # Named alike, so that the join keeps one of the two and no column of docs can be meant.
-    return rows.join(named.withColumnRenamed("fp", names[1]), names[1], "left").select(*docs.columns, *names)
+    classes = _classes(rows, doc_id, names[0], names[1], max_bits)
+    named = classes.select(F.col("fp").alias(names[1]), F.col("component_id").alias(names[2]))
+    # A hot fingerprint meets one row here, and nothing above needs its rows together: the join can be split.
+    return rows.join(named, names[1], "left").select(*docs.columns, *names)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
     Equal ids (repeated rows) are told apart by row number, so exactly one row stays; a row without
-    an id stays only where no other row of its component has one.
+    an id stays only where no other row of its component has one. Rows are never joined by fingerprint.
     """
-    marked = near_duplicates(docs, doc_id, text, max_bits)
-    key, fp, component = marked.columns[-3:]
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col(key).alias("k")))
-    # The smallest row of every fingerprint, then of every component, carries its row number.
-    by_print = marked.groupBy(component, fp).agg(first.alias("f"))
-    if_null = F.when(F.col(component).isNull(), F.col(fp))  # components without any id are kept apart
-    keepers = by_print.groupBy(F.col(component).alias("c"), if_null.alias("n")).agg(F.min("f").alias("f"))
-    return marked.join(keepers.select(F.col("f.k").alias(key)), key, "left_semi").select(*docs.columns)
+    key, fp = free_name(docs, "row_key"), free_name(docs, "fingerprint")
+    rows = keyed(docs.withColumn(fp, fingerprints(F.col(text))), "fingerprints", key)
+    keepers = _classes(rows, doc_id, key, fp, max_bits).select(F.col("first").alias(key)).distinct()
+    return rows.join(keepers, key, "left_semi").select(*docs.columns)
