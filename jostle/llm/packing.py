@@ -191,7 +191,7 @@ def pack(
     if length % grain:
         raise ValueError("grain must divide length")
     found = docs.select(F.col(doc_id).alias("doc_id"), token_pieces(F.col(text), tokenizer, length, end_id).alias("p"))
-    # The number holds the task in its upper bits; written once, it is the same for every reader.
+    # The number holds the task in its upper bits and counts in it; written once, it is the same for every reader.
     rows = stage(found.withColumn("row", F.monotonically_increasing_id()), "tokens")
     pieces = rows.select(
         "row", "doc_id", F.col("p.tokens").alias("doc_tokens"), F.posexplode("p.crcs").alias("at", "ids_crc32")
@@ -200,13 +200,14 @@ def pack(
         F.least(F.lit(length), F.col("doc_tokens") - F.col("at") * length).cast("long").alias("length"), "ids_crc32", "doc_tokens",
     )
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
-    pieces = pieces.withColumn("part", F.shiftright("row", 33))
+    # A block of 4,096 numbers of one task: no group is larger than its pieces.
+    pieces = pieces.withColumn("part", F.shiftright("row", 12))
     counts = stage(pieces.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n")), "histogram")
     histogram = sorted((r["class"], r["n"]) for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect())
     sizes, demand = np.array([c for c, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64)
     claims = _claims(sizes, plan_sequences(sizes, demand, length // grain))
 
-    # Rank in the class = rank among the pieces of the class and task + pieces of the class in earlier tasks.
+    # Rank in the class = rank among the pieces of the class and block + pieces of the class in earlier blocks.
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stage(counts.select("class", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "offsets")
     inside = Window.partitionBy("class", "part").orderBy("row", "start")
