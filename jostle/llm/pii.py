@@ -164,8 +164,9 @@ def spans(text: Column, kinds: tuple[Kind, ...] = KINDS, accept: float = ACCEPT)
         )
         return F.transform(_proposals(whole, kind, rank), add)
 
-    base = F.concat(*[scored(rank, kind) for rank, kind in enumerate(kinds) if kind.base])
-    more = F.concat(*[scored(rank, kind) for rank, kind in enumerate(kinds) if not kind.base])
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,hit:string,score:double>>")
+    base = F.concat(none, *[scored(rank, kind) for rank, kind in enumerate(kinds) if kind.base])
+    more = F.concat(none, *[scored(rank, kind) for rank, kind in enumerate(kinds) if not kind.base])
     apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     return F.array_sort(F.concat(base, F.filter(more, lambda s: (s["score"] >= accept) & apart(s))))
 

@@ -67,6 +67,33 @@ def op10_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+ORACLES["op10_line_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, text, coalesce(source, '(null)') AS host, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS own_lines FROM documents
+), g AS (
+  SELECT doc_id, u.i AS i, count(*) OVER (PARTITION BY doc_id, u.g) AS times FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {'i': i, 'g': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]})) AS u FROM d)
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY doc_id
+), l AS (
+  SELECT doc_id, host, text, regexp_replace(trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g') AS line,
+         len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda v: v <> '')) AS words
+  FROM (SELECT doc_id, host, text, unnest(own_lines) AS x FROM d)
+), c AS (
+  SELECT host, line FROM l WHERE words <= 40 GROUP BY host, line HAVING count(DISTINCT text) > 20
+), m AS (
+  SELECT doc_id, count(*) AS lines_removed, CAST(sum(words) AS BIGINT) AS words_removed FROM l JOIN c USING (host, line) WHERE words <= 40 GROUP BY doc_id
+), s AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(own_lines) - len(list_distinct(own_lines)) AS n_dup_lines,
+         coalesce(r.n, 0) AS n_repeat_words, coalesce(lines_removed, 0) AS lines_removed, coalesce(words_removed, 0) AS words_removed
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN m USING (doc_id)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT *, NOT base_failed AND n_words - words_removed >= 0.3 * n_words AS kept FROM f
+"""
+
+
 #: The rules that the URL query applies, as (action, host, path).
 URL_RULES = (
     ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
