@@ -13,7 +13,9 @@ from jostle.operators import moves as M
 from jostle.operators import runs as R
 from jostle.operators import scoring as SC
 from jostle.operators.census import classification_metrics
-from jostle.plans.staging import fan_out
+from jostle.plans.joins import attach
+from jostle.plans.ordering import running
+from jostle.plans.staging import fan_out, stage
 
 K, RK, W = X.CLASSES, X.RUN_CLASSES, X.WIDTH
 
@@ -37,19 +39,51 @@ def linear_model_factory(classes: int):
     return make
 
 
+def biased_model_factory(classes: int):
+    """The linear model with a bias on every fed bin, so that padding changes its scores."""
+
+    def make():
+        import numpy as np
+
+        linear = linear_model_factory(classes)()
+
+        def model(batch, lengths):
+            t = np.arange(batch.shape[1])
+            return linear(batch, lengths) + np.array([((t + c) % 5).sum() for c in range(classes)])[None, :]
+
+        return model
+
+    return make
+
+
+def batches_of(x):
+    """Groups of 256 sources by their position in id order, with the length they are padded to."""
+    placed = running(x.bounds.select("source_id", "horizon"), [], [F.col("source_id").asc()], out="rank")
+    return M.batch_groups(placed.withColumn("rank", F.col("rank") - 1), "rank", "horizon").select("source_id", "horizon", "batch", "padded_horizon")
+
+
+X.define(
+    "source_batches", ("bounds",),
+    """SELECT source_id, horizon, batch, max(horizon) OVER (PARTITION BY batch) AS padded_horizon FROM (
+      SELECT source_id, horizon, (row_number() OVER (ORDER BY source_id) - 1) // 256 AS batch FROM bounds)""",
+)
+
+
 @query(
-    "score_batches", ("sources",),
-    """SELECT source_id, mode, [CAST(scores[1] AS DOUBLE), scores[2], scores[3], scores[4], scores[5]] AS scores
-      FROM sources, (VALUES ('native'), ('padded'), ('reversed')) m(mode)""",
+    "score_batches", ("sources", "source_batches"),
+    f"""SELECT source_id, mode, [{', '.join(
+      f"CAST(s.scores[{c + 1}] AS DOUBLE) + list_sum(list_transform(range(CASE WHEN mode = 'native' THEN b.horizon ELSE b.padded_horizon END), lambda t: (t + {c}) % 5))" for c in range(K))}] AS scores
+      FROM sources s JOIN source_batches b USING (source_id), (VALUES ('native'), ('padded'), ('reversed'), ('singleton')) m(mode)""",
 )
 def _(x):
     inputs = SC.tensors(x.cells)
-    ranked = M.batch_groups(inputs, "source_id", "horizon")
-    native = SC.score_batches(inputs, linear_model_factory(K), W)
-    padded = SC.score_batches(ranked, linear_model_factory(K), W, padded="padded_horizon")
-    backward = SC.score_batches(ranked, linear_model_factory(K), W, padded="padded_horizon", reverse=True)
+    ranked = attach(inputs, stage(batches_of(x).drop("horizon"), "batches"), ["source_id"])
+    model, padded = biased_model_factory(K), "padded_horizon"
     out = None
-    for mode, scored in (("native", native), ("padded", padded), ("reversed", backward)):
+    for mode, scored in (
+        ("native", SC.score_batches(inputs, model, W)), ("padded", SC.score_batches(ranked, model, W, padded, "batch")),
+        ("reversed", SC.score_batches(ranked, model, W, padded, "batch", reverse=True)), ("singleton", SC.score_batches(ranked, model, W, padded)),
+    ):
         part = scored.withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
     return out
@@ -60,7 +94,7 @@ def step_logits(x):
 
     Occupied bins are sums over their cells; all bins get a bias, so empty ones count too.
     """
-    batches = M.batch_groups(x.bounds.select("source_id", "horizon"), "source_id", "horizon")
+    batches = batches_of(x).select("source_id", "horizon", "padded_horizon")
     size = x.bounds.agg(F.count(F.lit(1)) * F.max("horizon")).first()[0]
     steps = fan_out(batches, size, "source_id").select(
         "source_id", "horizon", "padded_horizon", F.explode(F.sequence(F.lit(0).cast("long"), F.col("padded_horizon") - 1)).alias("t")
@@ -76,10 +110,10 @@ def step_logits(x):
 
 
 X.define(
-    "logits", ("cells",),
+    "logits", ("cells", "source_batches"),
     f"""SELECT s.source_id, s.horizon, s.padded_horizon, g.t, [{', '.join(
         f"coalesce(z{c}, 0) / 16e0 + ((g.t + {c}) % 5) / 8e0" for c in range(K))}] AS z
-      FROM (SELECT source_id, horizon, max(horizon) OVER (PARTITION BY source_id // 256) AS padded_horizon FROM bounds) s,
+      FROM source_batches s,
       LATERAL (SELECT unnest(range(s.padded_horizon)) AS t) g
       LEFT JOIN (SELECT source_id, t, {', '.join(f"CAST(sum(n * {X.w_sql(c, 'f', 't')}) AS BIGINT) AS z{c}" for c in range(K))} FROM cells GROUP BY 1, 2) q
         ON q.source_id = s.source_id AND q.t = g.t""",

@@ -170,7 +170,7 @@ def compare_point(fresh: DataFrame, stored: DataFrame, tolerance: float, columns
         lambda name: name.isNotNull(),
     )
     return joined.select(
-        "source_id", "cand", F.array_join(failed, ",").alias("failed"), F.greatest(*off.values()).alias("max_difference")
+        "source_id", "cand", F.array_join(failed, ",").alias("failed"), (F.greatest(*off.values()) if len(off) > 1 else next(iter(off.values()))).alias("max_difference")
     )
 
 

@@ -135,34 +135,44 @@ def score_batches(
     make_model: Callable[[], Callable],
     width: int,
     padded: str = "horizon",
+    group: str | None = None,
     reverse: bool = False,
 ) -> DataFrame:
     """Apply a frozen model to padded batches through Arrow.
 
-    ``inputs`` are :func:`tensors` with a column ``padded`` giving the number of bins to feed.
-    ``make_model`` runs once per task and returns ``model(batch, lengths) -> scores`` for a
-    ``[B, T, width]`` batch with valid lengths. A non-finite or misshapen result fails the job.
+    ``inputs`` are :func:`tensors` with a column ``padded``, the number of bins to feed. The rows of a ``group``
+    are one batch, fed in order of source (or backwards) at the length of its longest ``padded``; without
+    ``group`` every row is a batch of one. So a result never depends on how rows lie in partitions, and a task holds
+    one group: rows x bins x ``width`` values. ``make_model`` runs once per task and returns
+    ``model(batch, lengths) -> scores`` for a ``[B, T, width]`` batch with valid lengths. A non-finite or misshapen
+    result fails the job.
     """
+    made: list = []
 
-    def run(frames: Iterator) -> Iterator:
+    def score(rows):
         import numpy as np
         import pandas as pd
 
-        model = make_model()
+        if not made:
+            made.append(make_model())
+        rows = rows.sort_values("source_id", ascending=not reverse)
+        batch = np.zeros((len(rows), int(rows[padded].max()), width), dtype=np.float64)
+        for i, (ts, fs, ns) in enumerate(zip(rows["ts"], rows["fs"], rows["ns"])):
+            batch[i, np.asarray(ts, dtype=int), np.asarray(fs, dtype=int)] = np.asarray(ns)
+        result = np.asarray(made[0](batch, rows["horizon"].to_numpy()))
+        if result.ndim != 2 or len(result) != len(rows) or not np.isfinite(result).all():
+            raise ValueError("invalid score output")
+        return pd.DataFrame({"source_id": rows["source_id"].to_numpy(), "scores": list(result)})
+
+    def alone(frames: Iterator) -> Iterator:
         for frame in frames:
-            if frame.empty:
-                continue
-            rows = frame.iloc[::-1] if reverse else frame
-            steps = int(rows[padded].max())
-            batch = np.zeros((len(rows), steps, width), dtype=np.float64)
-            for i, (ts, fs, ns) in enumerate(zip(rows["ts"], rows["fs"], rows["ns"])):
-                batch[i, np.asarray(ts), np.asarray(fs)] = np.asarray(ns)
-            result = np.asarray(model(batch, rows["horizon"].to_numpy()))
-            if result.ndim != 2 or len(result) != len(rows) or not np.isfinite(result).all():
-                raise ValueError("invalid score output")
-            yield pd.DataFrame({"source_id": rows["source_id"].to_numpy(), "scores": list(result)})
-
-    return inputs.mapInPandas(run, "source_id long, scores array<double>")
+            for i in range(len(frame)):
+                yield score(frame.iloc[i : i + 1])
+
+    schema = "source_id long, scores array<double>"
+    if group is None:
+        return inputs.mapInPandas(alone, schema)
+    return inputs.groupBy(group).applyInPandas(score, schema)
 
 
 def softmax_time_sum(logits: DataFrame, keys: list[str], column: str, classes: int) -> DataFrame:
