@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jostle.plans.joins import attach
-from jostle.plans.staging import stage
+from jostle.plans.staging import stage, staged as staged_once
 
 # Largest group that one task may sort.
 GROUP_ROWS = 2_000_000
@@ -51,7 +51,7 @@ def running(
     keys = list(keys)
     if not isinstance(weight, dict):
         weight = {out: F.lit(1).cast("long") if weight is None else weight}
-    staged = stage(df, "order")
+    staged = staged_once(df, "order")
     limit = GROUP_ROWS if group_rows is None else group_rows
     largest, total = largest_group(staged, keys)
     if largest <= limit:

@@ -14,7 +14,14 @@ from jostle.session import fresh_path
 def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._staged_table = True
+    return written
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if :func:`stage` returned it, else a staged copy."""
+    return df if getattr(df, "_staged_table", False) else stage(df, name)
 
 
 # Rows that one task may generate from its input.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFr
     """(path, sha256) of every file below ``folder`` that matches ``pattern``, hashed by the tasks
     that read them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    relative = F.regexp_replace(F.col("path"), f"^.*{folder.rstrip('/')}/", "")
+    relative = F.regexp_replace(F.col("path"), f"^.*?{re.escape(folder.rstrip('/'))}/", "")
     return files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"))
 
 

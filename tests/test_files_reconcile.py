@@ -32,8 +32,15 @@ def test_empty_table_is_refused(spark, rows, tmp_path):
         files.write_table(rows("a long", []), str(tmp_path / "x"))
 
 
-def test_reports_turn_nan_into_null(spark, rows, tmp_path):
-    path = files.write_report(rows("b double, a long", [(float("nan"), 1), (2.5, 2)]), str(tmp_path / "r"))
+def test_reports_hold_null_but_refuse_nan(spark, rows, tmp_path):
+    for odd in (float("nan"), float("-inf")):
+        with pytest.raises(PySparkException):
+            files.write_report(rows("b double, a long", [(odd, 1)]), str(tmp_path / f"odd{odd}"))
+        with pytest.raises(PySparkException):
+            files.write_report(rows("b array<double>", [([1.0, odd],)]), str(tmp_path / f"array{odd}"))
+    (tmp_path / "indented.json").write_text('{\n  "a": 1,\n  "b": [2.5]\n}\n')
+    assert [tuple(r) for r in files.read_report(spark, str(tmp_path / "indented.json"), whole=True).collect()] == [(1, [2.5])]
+    path = files.write_report(rows("b double, a long", [(None, 1), (2.5, 2)]), str(tmp_path / "r"))
     lines = sorted(line for p in (tmp_path / "r").glob("*.json") for line in p.read_text().splitlines())
     assert [json.loads(x) for x in lines] == [{"a": 1, "b": None}, {"a": 2, "b": 2.5}]
     with pytest.raises(AnalysisException):
