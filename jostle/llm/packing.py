@@ -31,6 +31,8 @@ END_ID = 2
 #: Column generation ends within this share of the optimum of the linear program.
 GAP = 2e-4
 ROUNDS = 2_000
+#: Texts whose new words are sought together.
+PACK_TEXTS = 250
 
 
 def token_pieces(text: Column, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> Column:
@@ -43,10 +45,12 @@ def token_pieces(text: Column, tokenizer: str, length: int = LENGTH, end_id: int
         encoder, size = WordEncoder(tokenizer), 4 * length
         for column in batches:
             counts, sums = [], []
-            for text in texts(column):
-                ids = encoder.pack(text) + end
-                counts.append(len(ids) // 4)
-                sums.append([zlib.crc32(ids[at : at + size]) for at in range(0, len(ids), size)])
+            own = list(texts(column))
+            for at_text in range(0, len(own), PACK_TEXTS):
+                for packed in encoder.pack(own[at_text : at_text + PACK_TEXTS]):
+                    ids = packed + end
+                    counts.append(len(ids) // 4)
+                    sums.append([zlib.crc32(ids[at : at + size]) for at in range(0, len(ids), size)])
             yield pa.StructArray.from_arrays(
                 [pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["tokens", "crcs"]
             )

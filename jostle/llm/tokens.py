@@ -7,20 +7,32 @@ import numpy as np
 #: Words that are encoded in one call.
 CALL_WORDS = 500
 #: Words whose ids a Python worker keeps in each of two generations, about 200 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: Signs that end words. A run of them after a letter is a word of its own to the tokenizer.
 SIGNS = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~'
 #: Fixed value: a special token of the vocabulary file that stands between words in such a call.
 BETWEEN = "<|startoftext|>"
 
 
+#: Words on which the shorter way to the ids of a plain word is tried before it is used.
+PROBE = ("hello", "été", "straße", "reingwh", "ciónlljaí", "x")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the
+    others for the letters from U+0100 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordEncoder:
     """Encodes texts word by word for tokenizers that cut at white space and drop it.
 
     The ids of a text are then those of its words in a row; frequent words are encoded once. Texts are cut
     only at blanks, tabs and line ends, which every such tokenizer treats as white space. A word of ASCII or
-    Latin letters (lower-cased, as the tokenizer does) with signs at its end is looked up as these two.
-    ``pack`` gives a text's ids as little-endian unsigned 32-bit integers.
+    Latin letters (lower-cased, as the tokenizer does) with signs at its end is looked up as these two, and its
+    letters are given to the merges directly. ``pack`` gives texts' ids as little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -31,13 +43,26 @@ class WordEncoder:
         if self.between is None:
             raise ValueError(f"the vocabulary has no {BETWEEN}")
         self.limit = limit
+        self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}  # as in the texts, and those of the generation before
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}  # words without signs, and signs
         self.older_parts: dict[str, bytes] = {}
+        self.direct = all(self._merged(w) == self._whole(w) for w in PROBE)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merged(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
 
     def _learn(self, words: list[str]) -> None:
         """Encode parts that no generation holds."""
+        if self.direct:
+            plain = [w for w in words if w.isalpha() and max(w) < "\u0100" and w == w.lower()]
+            self.parts.update((w, self._merged(w)) for w in plain)
+            words = list(set(words).difference(plain))
         for at in range(0, len(words), CALL_WORDS):
             part = words[at : at + CALL_WORDS]
             ids = np.array(self.tokenizer.encode(BETWEEN.join(part), add_special_tokens=False).ids, "<u4")
@@ -65,7 +90,7 @@ class WordEncoder:
             self.parts[part] = value
         return value is not None
 
-    def _fill(self, new: list[str]) -> None:
+    def _fill(self, new: set[str]) -> None:
         split = {}
         for word in new:
             value = self.older.get(word)
@@ -77,18 +102,20 @@ class WordEncoder:
         self._learn([p for p in unknown if BETWEEN not in p])
         for p in unknown:
             if BETWEEN in p:
-                self.parts[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                self.parts[p] = self._whole(p)
         for word, parts in split.items():
             self.words[word] = b"".join([self.parts[p] for p in parts])
 
-    def pack(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def pack(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. New words are sought in all of them together."""
         if len(self.words) > self.limit:
             self.older, self.words = self.words, {}
         if len(self.parts) > self.limit:
             self.older_parts, self.parts = self.parts, {}
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self._fill(list(set(words).difference(self.words)))
-            return b"".join([self.words[w] for w in words])
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(words)
+        self._fill(new.difference(self.words))
+        known = self.words
+        return [b"".join([known[w] for w in words]) for words in split]
