@@ -239,8 +239,12 @@ ODD_TEXTS = ["It's <|endoftext|> a<|startoftext|>b C'est d'été ÉTÉ! ΣΑΣ 
 
 def test_word_encoder_equals_the_tokenizer():
     encoder = WordEncoder(Q.vocabulary(), limit=20)
-    for text in [t or "" for _, t, _ in ODD] + ODD_TEXTS + [story(s, 50) for s in range(8)]:
-        assert np.frombuffer(encoder.pack(text), "<u4").tolist() == slow_ids(text)[:-1], text[:50]
+    assert encoder.direct
+    known = [t or "" for _, t, _ in ODD] + ODD_TEXTS + [story(s, 50) for s in range(8)]
+    for group in ([t] for t in known), (known[k : k + 3] for k in range(0, len(known), 3)):
+        for some in group:
+            for text, ids in zip(some, encoder.pack(some), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == slow_ids(text)[:-1], text[:50]
 
 
 def test_pieces_make_up_documents_and_fill_sequences(spark):
