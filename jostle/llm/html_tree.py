@@ -27,6 +27,8 @@ from jostle.llm.html_examples import LAYOUTS
 
 #: Corpus pages that are taken as labelled examples at most, chosen by hash.
 LABELLED_PAGES = 200
+#: Longer pages are no examples (they are extracted like all others).
+EXAMPLE_CHARS = 100_000
 STEPS = 150
 #: Nodes that one pass of messages holds; larger batches of pages are cut between pages.
 PASS_NODES = 200_000
@@ -343,10 +345,10 @@ def examples() -> tuple[list[Page], list[list[int]]]:
 
 def train(pages: DataFrame, source: str = "html", most: int = LABELLED_PAGES) -> Model:
     """The model from the examples and at most ``most`` labelled pages of the corpus; none are needed."""
-    share = F.pmod(F.xxhash64(source), F.lit(997))
-    wanted = pages.where(F.lower(F.col(source)).rlike("<(?:article|main)[\\s>]")).select(F.col(source).alias("h"), share.alias("s"))
-    # The smallest hashes of every task, then of all: no more than ``most`` pages meet.
-    rows = wanted.where(F.length("h") <= 100_000).orderBy("s", F.xxhash64("h", F.lit(2))).limit(most).collect()
+    wanted = pages.select(F.col(source).alias("h")).where(F.lower("h").rlike("<(?:article|main)[\\s>]") & (F.length("h") <= EXAMPLE_CHARS))
+    # By hash, so that every task sends its part of about ``most`` pages and no more.
+    share = 0.9 * most / max(wanted.count(), 1)
+    rows = wanted.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share * (1 << 30)).limit(most).collect()
     known, found = examples()
     for row in rows:
         page = parse(row["h"])
