@@ -350,7 +350,7 @@ def train(pages: DataFrame, source: str = "html", most: int = LABELLED_PAGES) ->
     share = 0.9 * most / max(wanted.count(), 1)
     rows = wanted.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share * (1 << 30)).limit(most).collect()
     known, found = examples()
-    for row in rows:
+    for row in sorted(rows, key=lambda r: r["h"]):  # whatever the order of tasks
         page = parse(row["h"])
         label = corpus_labels(page)
         if label is not None:
