@@ -19,9 +19,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jostle.llm.common import WordCache
-from jostle.plans.staging import stage
+from jostle.llm.common import WordCache, release_shuffles
+from jostle.plans.joins import attach
+from jostle.plans.staging import discard, stage
 
 LENGTH = 50
 GRAM = 8
@@ -30,6 +32,8 @@ RIGHT = LENGTH - WINDOW + 1
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOW = np.uint64((1 << 24) - 1)
+#: Ids of documents are below this.
+_UNNAMED = 1 << 62
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -143,33 +147,81 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def passages(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    """(doc_id, ident, text, content, matches) -> every passage of ``length`` words around a match, with its hashes."""
-    powers, cache = [Powers(b) for b in _BASES], _cache()
-    names = ("h1", "h2", "ident", "content", "doc_id", "word", "start", "end")
+    """(ident, tag, text, matches) -> (hash, ident, place): every passage of ``length`` words around a match.
+
+    ``place`` holds the tag of the text above 24 bits of the number of the first word.
+    """
+    powers, cache = Powers(_BASES[1]), _cache()
     for batch in batches:
         cache.trim()
-        columns: list[list[np.ndarray]] = [[] for _ in names]
-        ids: list = []
-        rows = zip(*(batch.column(n).to_pylist() for n in ("doc_id", "ident", "content", "text", "matches")), strict=True)
-        for doc_id, ident, content, text, matches in rows:
-            spans = np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64).reshape(-1, 2)
-            if len(spans) < length:
+        found, idents, places = [], [], []
+        rows = zip(*(batch.column(n).to_pylist() for n in ("ident", "tag", "text", "matches")), strict=True)
+        for ident, tag, text, matches in rows:
+            words = text.encode().split()
+            if len(words) < length:
                 continue
-            words = np.array([cache[text[a:b].encode()] for a, b in spans.tolist()], dtype=np.uint64)
             around = np.zeros(len(words) + 1, np.int64)
             at = np.array(matches, np.int64)
             np.add.at(around, np.clip(at - WINDOW + 1, 0, len(words)), 1)
             np.add.at(around, np.clip(at + 1, 0, len(words)), -1)
             starts = np.nonzero(np.cumsum(around)[: len(words) - length + 1] > 0)[0]
-            found = [Hashes(words, p).runs(starts, length).view(np.int64) for p in powers]
-            values = (*found, np.full(len(starts), ident), np.full(len(starts), content), starts, spans[starts, 0], spans[starts + length - 1, 1])
-            for column, value in zip([*columns[:4], *columns[5:]], values, strict=True):
-                column.append(value)
-            ids += [doc_id] * len(starts)
-        if ids:
-            kinds = (pa.int64(),) * 5 + (pa.int32(),) * 3
-            arrays = [pa.array(ids, pa.int64()) if n == "doc_id" else pa.array(np.concatenate(c), k) for n, c, k in zip(names, columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=list(names))
+            found.append(Hashes(np.array([cache[w] for w in words], dtype=np.uint64), powers).runs(starts, length).view(np.int64))
+            idents.append(np.full(len(starts), ident, np.int64))
+            places.append((tag << 24) | starts)
+        if found:
+            columns = [pa.array(np.concatenate(c), pa.int64()) for c in (found, idents, places)]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "ident", "place"])
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+def offsets(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Code points at which spans (first word, number of words) of a text begin and end."""
+    found = []
+    for value, own in zip(text, spans.to_pylist(), strict=True):
+        words = [m.span() for m in _WORD.finditer(value.as_py())]
+        found.append([{"start": words[x["word"]][0], "end": words[x["word"] + x["words"] - 1][1]} for x in own])
+    return pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
+    """(doc_id, text, ident, tag) of texts that can hold a passage; the tag tells texts of one id apart."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = own.where(F.length("text") >= 2 * length - 1)  # so many characters at least
+    # Texts without an id get one above all others, from their hash.
+    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(_UNNAMED))
+    own = own.withColumn("ident", F.coalesce("doc_id", unnamed))
+    return own.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 38)))
+
+
+def _matched(own: DataFrame, length: int) -> DataFrame:
+    """(ident, tag, matches): where the suffixes of a text have a neighbour with the same first words."""
+    keyed = own.select(F.xxhash64("ident", "tag").alias("ident"), "text").mapInArrow(lambda b: suffixes(b, length), "key long, ident long, pos int")
+    # Staged, because range partitioning samples its input first. Text and position cut through hot keys.
+    kept = stage(keyed, "suffixes")
+    ordered = kept.repartitionByRange("key", "ident", "pos").sortWithinPartitions("key", "ident", "pos")
+    matches = ordered.mapInArrow(neighbours, "ident long, pos int")
+    hits = stage(matches.groupBy(F.col("ident").alias("at")).agg(F.collect_set("pos").alias("matches")), "matches")  # bounded by the text
+    discard(kept)
+    return hits
+
+
+def _repeated(own: DataFrame, hits: DataFrame, length: int) -> DataFrame:
+    """(ident, tag, word, words, first): maximal runs of passages that another document holds."""
+    around = attach(own.withColumn("at", F.xxhash64("ident", "tag")), hits, ["at"], salts=1)
+    found = stage(around.select("ident", "tag", "text", "matches").mapInArrow(lambda b: passages(b, length), "hash long, ident long, place long"), "passages")
+    shared = found.groupBy("hash").agg(F.min("ident").alias("first"), F.max("ident").alias("most"))
+    shared = stage(shared.where(F.col("first") != F.col("most")).select("hash", "first"), "shared")
+    release_shuffles(found.sparkSession)
+    copies = found.join(shared, "hash").select("ident", F.shiftright("place", 24).alias("tag"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("word"), "first")
+    text_of = Window.partitionBy("ident", "tag").orderBy("word")
+    new = F.when(F.col("word") - F.lag("word").over(text_of) <= length, 0).otherwise(1)
+    numbered = copies.withColumn("new", new).withColumn("span", F.sum("new").over(text_of.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy("ident", "tag", "span").agg(
+        F.min("word").alias("word"), (F.max("word") - F.min("word") + length).alias("words"), F.min("first").alias("first")
+    )
+    spans = stage(spans.groupBy("ident", "tag").agg(F.collect_list(F.struct("word", "words", "first")).alias("spans")), "spans")
+    discard(found)
+    return spans
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -178,31 +230,22 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Words are separated by ASCII white space and compared as they are. Rows that share an id are one
     document and do not repeat each other; without an id, equal texts are one document (reported with
-    its null id). ``first_doc_id`` is the smallest id that holds part of the span (null if it has none); a
+    its null id). ``first_doc_id`` is the smallest id that holds part of the span (null if that document has none); a
     document is the first itself where the two are equal. Spans that overlap or touch are one. Null, empty
-    and shorter texts have no span; repeated rows give their spans once.
+    and shorter texts have no span; repeated rows give their spans once. Passages are compared by 64-bit
+    hashes, and only around suffixes whose own first words agree by another one.
     """
     if length < WINDOW + GRAM - 1:
         raise ValueError(f"length must be at least {WINDOW + GRAM - 1}")
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    own = own.where(F.length("text") >= 2 * length - 1)  # so many characters at least
-    own = own.withColumn("ident", F.coalesce("doc_id", F.xxhash64("text")))
-    keyed = own.select("ident", "text").mapInArrow(lambda b: suffixes(b, length), "key long, ident long, pos int")
-    # Staged, because range partitioning samples its input first. Ident and position cut through hot keys.
-    ordered = stage(keyed, "suffixes").repartitionByRange("key", "ident", "pos").sortWithinPartitions("key", "ident", "pos")
-    matches = ordered.mapInArrow(neighbours, "ident long, pos int")
-    hits = stage(matches.groupBy("ident").agg(F.collect_set("pos").alias("matches")), "matches")  # bounded by the text
-    around = own.withColumn("content", F.xxhash64("text")).join(hits, "ident").select("doc_id", "ident", "content", "text", "matches")
-    schema = "h1 long, h2 long, ident long, content long, doc_id long, word int, start int, end int"
-    found = stage(around.mapInArrow(lambda b: passages(b, length), schema), "passages")
-    shared = found.groupBy("h1", "h2").agg(F.min("ident").alias("least"), F.max("ident").alias("most"), F.min("doc_id").alias("first"))
-    shared = stage(shared.where(F.col("least") != F.col("most")).select("h1", "h2", "first"), "shared")
-    copies = found.join(shared, ["h1", "h2"])
-    text_of = Window.partitionBy("ident", "content").orderBy("word")
-    new = F.when(F.col("word") - F.lag("word").over(text_of) <= length, 0).otherwise(1)
-    spans = copies.withColumn("new", new).withColumn("span", F.sum("new").over(text_of.rowsBetween(Window.unboundedPreceding, 0)))
-    return spans.groupBy("ident", "content", "span").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"),
-        F.min("word").cast("long").alias("start_word"), (F.max("word") - F.min("word") + length).cast("long").alias("n_words"),
-        F.min("first").alias("first_doc_id"),
-    ).select("doc_id", "start", "end", "start_word", "n_words", "first_doc_id")
+    own = _texts(docs, doc_id, text, length)
+    hits = _matched(own, length)
+    release_shuffles(docs.sparkSession)
+    spans = _repeated(own, hits, length)
+    release_shuffles(docs.sparkSession)
+    placed = attach(own, spans, ["ident", "tag"], salts=1).withColumn("at", offsets("text", "spans"))
+    each = placed.select("doc_id", "ident", "tag", F.explode(F.arrays_zip("spans", "at")).alias("s"))
+    named = F.when(F.col("s.spans.first") < _UNNAMED, F.col("s.spans.first"))
+    return each.select(
+        "doc_id", F.col("s.at.start").alias("start"), F.col("s.at.end").alias("end"), F.col("s.spans.word").cast("long").alias("start_word"),
+        F.col("s.spans.words").cast("long").alias("n_words"), named.alias("first_doc_id"),
+    ).distinct()
