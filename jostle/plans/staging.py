@@ -24,6 +24,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df if getattr(df, "_staged_table", False) else stage(df, name)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`stage` wrote and that no lazy result still reads."""
+    if not getattr(df, "_staged_table", False):
+        raise ValueError("not a staged table")
+    context = df.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if folder is not None:
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # Rows that one task may generate from its input.
 ROWS_PER_TASK = 1_000_000
 
