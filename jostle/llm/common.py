@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import gc
+import sys
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jostle.plans.staging import stage
 
+# Functions travel to the executors with their code, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["jostle.llm"])
+
 #: The white space that separates words, as a Java regular expression: space and \t to \r.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Values of words that a Python worker keeps; beyond it the cache starts anew, so memory is bounded.

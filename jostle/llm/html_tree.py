@@ -395,11 +395,11 @@ def extract(pages: DataFrame, model: Model, source: str = "html", out: str = "te
 
     If ``pages`` has a column ``out``, the new one gets trailing underscores. Blocks are joined by one line end; white space inside a block is one blank; nothing is cut off.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # a few hundred potentials
+    shared = pages.sparkSession.sparkContext.broadcast((model.vocabulary, model.weights, model.pairs))  # a few hundred potentials
 
     @F.arrow_udf(T.StringType())
     def extracted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array(main_texts(list(texts(column)), shared.value), pa.string())
+            yield pa.array(main_texts(list(texts(column)), Model(*shared.value)), pa.string())
 
     return pages.withColumn(free_name(pages, out), extracted(F.col(source)))

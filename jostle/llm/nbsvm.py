@@ -216,21 +216,20 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(text: Column, model: Model) -> Column:
     """The score of a text between 0 and 1; null and empty texts get the score of a text without n-grams."""
-    shared = _broadcast(model)
+    shared = _broadcast((model.weights, model.bias, model.slope, model.shift))
 
     @F.arrow_udf(T.DoubleType())
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache, m = _features(), shared.value
-        ratio, weights = m.weights
+        cache, ((ratio, weights), bias, slope, shift) = _features(), shared.value
         for column in batches:
             cache.trim()
-            margins = np.array([_margin(indicators(t, cache), ratio, weights, m.bias) for t in texts(column)], dtype=float)
-            yield pa.array(1 / (1 + np.exp(-np.clip(m.slope * margins + m.shift, -500, 500))), pa.float64())
+            margins = np.array([_margin(indicators(t, cache), ratio, weights, bias) for t in texts(column)], dtype=float)
+            yield pa.array(1 / (1 + np.exp(-np.clip(slope * margins + shift, -500, 500))), pa.float64())
 
     return scores(text)
 
 
-def _broadcast(model: Model):
+def _broadcast(model: tuple):
     """Two numbers per bucket: 4 MB whatever the corpus."""
     from pyspark.sql import SparkSession
 
