@@ -81,6 +81,18 @@ def _account(hit: Column) -> Column:
     return F.when(F.length(code).between(15, 34), mod97(code)).otherwise(False)
 
 
+# The countries of ISO 13616 account numbers (and of those in use by agreement) by length.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: The country gives the length, so what follows a number after a blank is not taken into it.
+_ACCOUNTS = "|".join(
+    rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_COUNTRIES.items()
+)
+
 #: In the order that decides between spans with the same start.
 KINDS = (
     Kind(
@@ -109,7 +121,7 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])(?:" + _ACCOUNTS + r")(?![A-Za-z0-9])",
         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"), _account,
         0.8, 0.2, r"iban|bank|account|konto|cuenta|compte", False,
     ),
