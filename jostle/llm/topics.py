@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,14 +60,28 @@ def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmax(vectors @ centroids.T, axis=1)
 
 
+def _seeds(rows: DataFrame, vector: str) -> list[bytes]:
+    """The ``SEED_ROWS`` distinct vectors with the smallest hashes; each task sends so many at most."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[int, bytes]] = set()
+        for batch in batches:
+            held.update((xxhash.xxh3_64_intdigest(v) >> 1, v) for v in batch.column(0).to_pylist())
+            held = set(heapq.nsmallest(SEED_ROWS, held))
+        found = sorted(held)
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([v for _, v in found], pa.binary())], names=["h", "v"])
+
+    sent = rows.select(vector).mapInArrow(least, "h long, v binary").distinct()
+    return [bytes(r["v"]) for r in sent.orderBy("h", "v").limit(SEED_ROWS).collect()]
+
+
 def centroids(rows: DataFrame, vector: str = "vector", topics: int = TOPICS) -> np.ndarray:
     """Centroids of the vectors of ``rows`` (staged: it is read once a round).
 
-    The driver gets ``SEED_ROWS`` vectors, and then one sum per topic and round; sums are integers, so the
-    result does not depend on the order of tasks. Fewer distinct vectors than topics leave topics unused.
+    The driver gets the ``SEED_ROWS`` vectors with the smallest hashes of all rows, and then one sum per topic and round; sums are integers, so the
+    result does not depend on the order of tasks or files. Fewer distinct vectors than topics leave topics unused.
     """
-    seeds = rows.where(F.pmod(F.xxhash64(vector), F.lit(64)) == 0).select(vector).limit(SEED_ROWS)
-    seeds = sorted(bytes(r[0]) for r in seeds.collect()) or sorted(bytes(r[0]) for r in rows.select(vector).limit(SEED_ROWS).collect())
+    seeds = sorted(_seeds(rows, vector))
     if not seeds:
         return np.zeros((1, DIMENSIONS))
     pool = np.array([np.frombuffer(s, "<i2") for s in seeds], dtype=float)
