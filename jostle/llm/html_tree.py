@@ -35,9 +35,13 @@ PASS_NODES = 200_000
 
 # Element names of HTML by their role in parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style template noscript iframe svg math object canvas audio video textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("script style template noscript iframe svg object canvas audio video textarea title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+#: Elements that may end in their own start tag.
+FOREIGN = frozenset(["svg"])
+#: Skipped elements whose content is markup: without an end tag they do not hide the rest of the page.
+OPEN_ENDED = frozenset("svg object canvas audio video".split())
 #: An element that ends an open one of these names, up to an element of the third set.
 ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -53,6 +57,7 @@ PAIR_KINDS = {name: k + 1 for k, name in enumerate("p h1 h2 h3 h4 li ul ol div s
 _TOKEN = re.compile(
     r"""<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)"""
 )
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in SKIPPED}
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z]{2,}")
 
@@ -74,7 +79,6 @@ def parse(source: str) -> Page:
     open_: list[tuple[str, int]] = [("#page", 0)]  # all open elements with the block that holds their text
     pieces: list[str] = []
     links, at, size = 0, 0, len(source)
-    lower = None
 
     def flush() -> None:
         if pieces:
@@ -117,10 +121,13 @@ def parse(source: str) -> Page:
             continue
         if name in SKIPPED:
             if name not in INLINE:
-                lower = source.lower() if lower is None else lower
-                end = lower.find(f"</{name}", at)
-                end = size if end < 0 else source.find(">", end) + 1 or size
-                at = end
+                if name in FOREIGN and (m[3] if m[2] else m[6]).endswith("/"):
+                    continue
+                end = _END[name].search(source, at)
+                if end is not None:
+                    at = source.find(">", end.end()) + 1 or size
+                elif name not in OPEN_ENDED:  # the content of these is read on as browsers do
+                    at = size
             continue
         if name in CLOSES_P:
             for depth in range(len(open_) - 1, 0, -1):
