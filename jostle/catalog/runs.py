@@ -427,7 +427,9 @@ def _(x):
       FROM moves a JOIN moves_b b ON a.source_id = b.source_id AND a.cand = b.cand WHERE a.transition_code <> 0 GROUP BY 1""",
 )
 def _(x):
-    return rounded(R.replay_agreement(x.moves, {"first": x.moves, "second": x.moves_b}))
+    """The columns and rows of the SQL; the operator also gives the missing counts and the total."""
+    found = R.replay_agreement(x.moves, {"first": x.moves, "second": x.moves_b})
+    return rounded(found.where("transition_code IS NOT NULL").drop("missing_first", "missing_second"))
 
 
 @query(

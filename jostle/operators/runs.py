@@ -252,7 +252,8 @@ def replay_agreement(canonical: DataFrame, runs: dict[str, DataFrame]) -> DataFr
     """How two replays of the class-changing candidates agree with the recorded outcome.
 
     ``canonical`` and each run are candidate tables keyed by (source_id, cand); a run carries its
-    own clean prediction and outcome code.
+    own clean prediction and outcome code. A candidate that a run lacks stays in ``candidates`` and counts as
+    disagreement there; ``missing_{run}`` tells how many. The row with a null code is the total.
     """
     (name_a, a), (name_b, b) = runs.items()
     key = ["source_id", "cand"]
@@ -262,12 +263,14 @@ def replay_agreement(canonical: DataFrame, runs: dict[str, DataFrame]) -> DataFr
     def pick(df: DataFrame, tag: str) -> DataFrame:
         return df.select(
             *key, F.col("candidate_prediction").alias(f"{tag}_prediction"), F.col("transition_code").alias(f"{tag}_code"),
-            F.col("clean_prediction").alias(f"{tag}_clean"),
+            F.col("clean_prediction").alias(f"{tag}_clean"), F.lit(True).alias(f"{tag}_there"),
         )
 
-    joined = base.join(pick(a, "a"), key).join(pick(b, "b"), key)
-    return joined.groupBy(F.col("code").alias("transition_code")).agg(
+    joined = base.join(pick(a, "a"), key, "left").join(pick(b, "b"), key, "left")
+    return joined.rollup(F.col("code").alias("transition_code")).agg(
         F.count(F.lit(1)).alias("candidates"),
+        F.count_if(F.col("a_there").isNull()).alias(f"missing_{name_a}"),
+        F.count_if(F.col("b_there").isNull()).alias(f"missing_{name_b}"),
         F.avg(F.when(F.col("a_prediction") == F.col("b_prediction"), 1.0).otherwise(0.0)).alias("label_agreement"),
         F.count_if(F.col("a_prediction") == F.col("recorded")).alias(f"{name_a}_same_class"),
         F.count_if(F.col("b_prediction") == F.col("recorded")).alias(f"{name_b}_same_class"),
