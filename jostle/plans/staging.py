@@ -11,9 +11,18 @@ from pyspark.sql import DataFrame
 from jostle.session import fresh_path
 
 
+# Once a table is written, nothing reads the shuffle files behind it; Spark then deletes them at the end of the write.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._staged_table = True
     return written
