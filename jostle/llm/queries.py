@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jostle.llm import bloom_cascade, html_tree, line_rules, multi_index, nbsvm, packing, pii, raking, simhash, sparse_suffix
+from jostle.llm import (
+    bloom_cascade, chat_format, gnat, html_tree, line_rules, multi_index, nbsvm, packing, pii, prefix_trie, raking, simhash, sparse_suffix,
+)
 from jostle.llm.common import table, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +141,89 @@ def op2_multi_index(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_sparse_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return sparse_suffix.repeated_passages(table(spark, folder, "documents"))
+
+
+#: The conversation that the contract adds, both of whose turns say this.
+EXTRA_ID, EXTRA_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+@query
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    extra = spark.range(2).select(
+        F.lit(EXTRA_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(EXTRA_TEXT).alias("text"),
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digest(chat_format.format_conversations(rows))
+
+
+ORACLES["op11_chat_format"] = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (CAST(-7 AS BIGINT), CAST(0 AS BIGINT), 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), f AS (
+  SELECT *, coalesce(lag(role) OVER w <> role, true) AS begins FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(replace(replace(text, chr(92), chr(92) || chr(92)), '|', chr(92) || '|')) + CASE WHEN begins
+    THEN length('<|turn|><|text|><|end|>') + length(replace(replace(role, chr(92), chr(92) || chr(92)), '|', chr(92) || '|')) ELSE length('<|part|>') END) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = r"""
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, turns, 3 & xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))))) AS h FROM own
+), built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[:CAST(c.h AS INTEGER)], c.turns[CAST(c.h AS INTEGER) + 1:]) AS turns FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), member AS (
+  SELECT conv_id, d, turns[:d] AS node, d = len(turns) AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM built)
+), node AS (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM member GROUP BY node, d
+), kids AS (
+  SELECT node[:depth - 1] AS node, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1
+), facts AS (
+  SELECT node.*, coalesce(kids.n, 0) AS n_children,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(regexp_split_to_array(node[depth].text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS saved FROM node LEFT JOIN kids USING (node)
+), sums AS (
+  SELECT up AS node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT node[:k] AS up, n_children, saved FROM (SELECT *, unnest(range(depth + 1)) AS k FROM facts)) GROUP BY up
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM facts f JOIN sums s ON s.node = f.node LEFT JOIN node p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.node = f.node[:f.depth - 1]
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    seventh = F.pmod("vec_id", F.lit(7)) == 0
+    label = F.when(seventh, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return gnat.hard_negatives(table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, label)
+
+
+ORACLES["op13_hard_negatives"] = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS y
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.n AS an, a.id AS anchor_id, a.label = b.label AS same, b.id, CAST(list_inner_product(a.y, b.y) AS BIGINT) AS score FROM v a JOIN v b ON a.n <> b.n WHERE a.id % 100 = 0
+), p AS (
+  SELECT an, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY an ORDER BY score DESC, id) AS place FROM s WHERE same
+), h AS (
+  SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.an, p.place ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.an = p.an AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score WHERE p.place <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM h WHERE rank <= 5
+"""
