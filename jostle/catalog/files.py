@@ -64,8 +64,8 @@ REPORT_SCHEMA = "adverse_rate double, changed_share double, counts struct<advers
       adverse_unique AS adverse, unique_candidates AS candidates FROM summary""",
 )
 def _(x):
-    """A nested JSON report; an undefined share (NaN) becomes null."""
-    share = F.when(F.col("class_changed_unique") > 0, F.col("adverse_unique") / F.greatest(F.col("class_changed_unique"), F.lit(1))).otherwise(F.lit(float("nan")))
+    """A nested JSON report; an undefined share is null (a NaN would be refused)."""
+    share = F.when(F.col("class_changed_unique") > 0, F.col("adverse_unique") / F.greatest(F.col("class_changed_unique"), F.lit(1)))
     rows = x.summary.select(
         "source_id", F.try_divide("adverse_unique", "unique_candidates").alias("adverse_rate"), share.alias("changed_share"),
         F.struct(F.col("adverse_unique").alias("adverse"), F.col("unique_candidates").alias("candidates")).alias("counts"),

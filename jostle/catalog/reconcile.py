@@ -8,9 +8,11 @@ from jostle.catalog import fixtures as X
 from jostle.catalog.registry import query
 from jostle.functions.hashing import canonical_hash
 from jostle.functions.ints import div
+from jostle.operators import documents as D
 from jostle.operators import events as E
 from jostle.operators import reconcile as R
 from jostle.operators import texts as T
+from jostle.plans.ordering import running
 
 mod = lambda c, k: F.pmod(F.col(c), F.lit(k))
 LEAVES = ("label", "unique_candidates", "adverse_unique", "adverse_rate", "clean_correct")
@@ -56,45 +58,83 @@ def _(x):
     return out.withColumn("max_accepted_difference", F.round("max_accepted_difference", 12))
 
 
+def audit_items(x):
+    """One item of the audit document for each source."""
+    return x.summary.select(
+        F.col("source_id").alias("id"), "label", "clean_correct", "unique_candidates",
+        F.try_divide("adverse_unique", "unique_candidates").alias("adverse_rate"),
+        F.struct(F.col("adverse_unique").alias("adverse"), F.col("class_changed_unique").alias("changed")).alias("counts"),
+        F.array("adverse_unique", "unique_candidates").alias("pair"),
+    )
+
+
+def path_of(*parts):
+    return F.concat(*[F.lit(p) if p[0] != "@" else F.col(p[1:]).cast("string") for p in parts])
+
+
 @query(
     "resolve_path", ("summary",),
-    "SELECT CAST(unique_candidates AS VARCHAR) AS value FROM summary WHERE source_id = (SELECT max(source_id) FROM summary WHERE clean_correct)",
+    """SELECT path, status, CAST(matches AS BIGINT) AS matches, CAST(position AS BIGINT) AS position, kind, text, CAST(number AS DOUBLE) AS number FROM (
+      WITH s AS (SELECT *, row_number() OVER (ORDER BY source_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS twins FROM summary)
+      SELECT concat('sources[id=', source_id, ',clean_correct=true].unique_candidates') AS path, CASE WHEN clean_correct THEN 'FOUND' ELSE 'MISSING' END AS status, CASE WHEN clean_correct THEN 1 ELSE 0 END AS matches,
+        NULL AS position, CASE WHEN clean_correct THEN 'number' END AS kind, CASE WHEN clean_correct THEN CAST(unique_candidates AS VARCHAR) END AS text, CASE WHEN clean_correct THEN unique_candidates END AS number FROM s
+      UNION ALL SELECT concat('sources[', place, '].counts.adverse'), 'FOUND', 1, NULL, 'number', CAST(adverse_unique AS VARCHAR), adverse_unique FROM s
+      UNION ALL SELECT concat('sources[', place, '].counts.nothing'), 'MISSING', 0, NULL, NULL, NULL, NULL FROM s
+      UNION ALL SELECT concat('sources[label=', label, '].id'), CASE WHEN min(twins) = 1 THEN 'FOUND' ELSE 'AMBIGUOUS' END, min(twins), NULL, CASE WHEN min(twins) = 1 THEN 'number' END,
+        CASE WHEN min(twins) = 1 THEN CAST(min(source_id) AS VARCHAR) END, CASE WHEN min(twins) = 1 THEN min(source_id) END FROM s GROUP BY label
+      UNION ALL SELECT concat('sources[id=', source_id, '].pair'), 'FOUND', 1, NULL, 'list', NULL, 2 FROM s
+      UNION ALL SELECT concat('sources[id=', source_id, '].pair'), 'FOUND', 1, p, 'number', CAST(v AS VARCHAR), v FROM (SELECT source_id, unnest([0, 1]) AS p, unnest([adverse_unique, unique_candidates]) AS v FROM s)
+      UNION ALL SELECT 'sources', 'FOUND', 1, NULL, 'list', NULL, count(*) FROM s
+      UNION ALL SELECT 'sources', 'FOUND', 1, place, 'object', NULL, NULL FROM s
+      UNION ALL SELECT unnest(['sources..id', 'sources[id].label', 'sources[0', '']), 'INVALID', 0, NULL, NULL, NULL, NULL)""",
 )
 def _(x):
-    """sources[source_id=<last correct one>,clean_correct=true].unique_candidates"""
-    flat = R.flatten_rows(x.summary.select("source_id", F.col("source_id").alias("id"), "clean_correct", "unique_candidates"), "sources", ["source_id"])
-    leaves = flat.select(
-        F.get(F.split("path", "/"), F.lit(0)).alias("table"), F.get(F.split("path", "/"), F.lit(1)).alias("item"),
-        F.get(F.split("path", "/"), F.lit(2)).alias("column"), F.col("text").alias("value"),
-    )
-    last = x.summary.where("clean_correct").agg(F.max("source_id").alias("m")).first()["m"]
-    return R.resolve_path(leaves, "sources", {"id": str(last), "clean_correct": "true"}, "unique_candidates")
+    """Selectors, positions, lists and faulty paths of every source, all in one pass."""
+    nodes = D.document_nodes(audit_items(x), "sources", ["id"])
+    placed = running(x.summary.select("source_id", "label"), [], [F.col("source_id").asc()], out="place").withColumn("at", F.col("place") - 1)
+    each = placed.select(F.explode(F.array(
+        path_of("sources[id=", "@source_id", ",clean_correct=true].unique_candidates"), path_of("sources[", "@at", "].counts.adverse"),
+        path_of("sources[", "@at", "].counts.nothing"), path_of("sources[label=", "@label", "].id"), path_of("sources[id=", "@source_id", "].pair"),
+    )).alias("path"))
+    fixed = x.spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in ("sources", "sources..id", "sources[id].label", "sources[0", "")])).alias("path"))
+    return D.resolve_paths(nodes, each.unionByName(fixed))
 
 
 @query(
     "check_cells", ("summary",),
-    """SELECT concat(kind, '-', source_id) AS id, concat('sources/', source_id, '/', CASE WHEN kind = 'count' AND source_id % 10 = 0 THEN 'nowhere' ELSE
-        CASE kind WHEN 'count' THEN 'unique_candidates' WHEN 'percent' THEN 'adverse_rate' ELSE 'clean_correct' END END) AS path,
-      CASE WHEN kind = 'count' AND source_id % 10 = 0 THEN 'MISSING' WHEN kind = 'count' AND source_id % 9 = 0 THEN 'FAIL' WHEN kind = 'percent' AND source_id % 8 = 0 THEN 'FAIL' ELSE 'PASS' END AS status
-      FROM (SELECT source_id, unnest(['count', 'percent', 'bool']) AS kind FROM summary)""",
+    """SELECT concat(kind, '-', source_id) AS id, CASE WHEN kind = 'count' AND source_id % 10 = 0 THEN concat('sources[id=', source_id, '].nowhere') ELSE concat('sources[id=', source_id, '].',
+        CASE kind WHEN 'count' THEN 'unique_candidates' WHEN 'percent' THEN 'adverse_rate' WHEN 'bool' THEN 'clean_correct' ELSE 'pair' END) END AS path,
+      CASE WHEN why IS NULL THEN 'PASS' ELSE 'FAIL' END AS status, why AS reason,
+      CASE WHEN why = 'missing' THEN NULL WHEN kind = 'count' THEN CAST(unique_candidates AS DOUBLE) WHEN kind = 'percent' THEN round(100 * (adverse_unique / unique_candidates), 6) END AS computed,
+      CASE WHEN why = 'missing' THEN NULL WHEN kind = 'count' THEN CASE WHEN source_id % 9 = 0 THEN -1e0 ELSE 0e0 END
+        WHEN kind = 'percent' THEN round(100 * (adverse_unique / unique_candidates) - (round(100 * (adverse_unique / unique_candidates), 2) + CASE WHEN source_id % 8 = 0 THEN 0.02 ELSE 0 END), 6)
+        WHEN kind = 'list' AND source_id % 7 = 0 THEN 1e0 END AS difference,
+      CASE kind WHEN 'count' THEN 0e0 WHEN 'percent' THEN 0.005e0 WHEN 'list' THEN 0.5e0 END AS tolerance
+      FROM (SELECT *, CASE WHEN kind = 'count' AND source_id % 10 = 0 THEN 'missing' WHEN kind = 'count' AND source_id % 9 = 0 THEN 'value' WHEN kind = 'percent' AND source_id % 8 = 0 THEN 'value'
+        WHEN kind = 'list' AND source_id % 6 = 0 THEN 'length' WHEN kind = 'list' AND source_id % 7 = 0 THEN 'value' END AS why
+        FROM (SELECT *, unnest(['count', 'percent', 'bool', 'list']) AS kind FROM summary))""",
 )
 def _(x):
-    """Three printed cells per source, some misprinted and some pointing nowhere."""
-    base = leaf_table(x)
-    values = R.flatten_rows(base, "sources", ["source_id"]).select("path", F.col("text").alias("value"))
-    path = lambda name: F.concat(F.lit("sources/"), F.col("source_id").cast("string"), F.lit(f"/{name}"))
-    entry = lambda kind, where, how, printed, decimals, scale: F.struct(
-        F.concat(F.lit(f"{kind}-"), F.col("source_id").cast("string")).alias("id"), where.alias("path"), F.lit(how).alias("kind"),
-        printed.cast("string").alias("printed"), F.lit(decimals).alias("decimals"), F.lit(scale).alias("scale"),
+    """Four printed cells per source, some misprinted, some too long and some pointing nowhere."""
+    base, path = audit_items(x), lambda name: path_of("sources[id=", "@id", f"].{name}")
+    entry = lambda kind, where, how, printed, decimals, scale, items=None: F.struct(
+        F.concat(F.lit(f"{kind}-"), F.col("id").cast("string")).alias("id"), where.alias("path"), F.lit(how).alias("kind"), printed.cast("string").alias("printed"),
+        (F.lit(None) if items is None else items).cast("array<double>").alias("items"), F.lit(decimals).alias("decimals"), F.lit(scale).alias("scale"),
     )
+    items = F.array(F.get("pair", F.lit(0)) + F.when(mod("id", 7) == 0, 1).otherwise(0), F.get("pair", F.lit(1)))
+    items = F.when(mod("id", 6) == 0, F.concat(items, F.array(F.lit(0).cast("long")))).otherwise(items)
     cells = base.select(F.explode(F.array(
-        entry("count", F.when(mod("source_id", 10) == 0, path("nowhere")).otherwise(path("unique_candidates")), "number",
-              F.col("unique_candidates") + F.when(mod("source_id", 9) == 0, 1).otherwise(0), 0, 1.0),
-        entry("percent", path("adverse_rate"), "number",
-              F.round(100 * F.col("adverse_rate"), 2) + F.when(mod("source_id", 8) == 0, 0.02).otherwise(0.0), 2, 100.0),
+        entry("count", F.when(mod("id", 10) == 0, path("nowhere")).otherwise(path("unique_candidates")), "number",
+              F.col("unique_candidates") + F.when(mod("id", 9) == 0, 1).otherwise(0), 0, 1.0),
+        entry("percent", path("adverse_rate"), "number", F.round(100 * F.col("adverse_rate"), 2) + F.when(mod("id", 8) == 0, 0.02).otherwise(0.0), 2, 100.0),
         entry("bool", path("clean_correct"), "bool", F.col("clean_correct"), 0, 1.0),
+        entry("list", path("pair"), "list", F.lit(None), 0, 1.0, items),
     )).alias("c")).select("c.*")
-    return R.check_cells(values, cells)
+    out = D.check_cells(D.document_nodes(base, "sources", ["id"]), cells)
+    shown = F.when(~F.startswith("id", F.lit("bool")), F.expr("try_cast(computed as double)"))
+    return out.select(
+        "id", "path", "status", "reason", F.round(shown, 6).alias("computed"), F.round("difference", 6).alias("difference"), F.round("tolerance", 6).alias("tolerance")
+    )
 
 
 @query(
@@ -112,6 +152,62 @@ def _(x):
     return judged.groupBy("failed").agg(F.count(F.lit(1)).alias("candidates"), F.round(F.max("max_difference"), 6).alias("max_difference"))
 
 
+FAULTS = {
+    "missing_stored": "cand % 90 = 13", "trace_metrics": "cand % 50 = 3 OR cand % 80 = 9", "missing_patch_scores": "changed AND cand % 60 = 11",
+    "patch_scores": "changed AND cand % 60 <> 11 AND (cand % 40 = 7 OR cand % 70 = 5)", "patch_predictions": "changed AND cand % 60 <> 11 AND cand % 30 = 4",
+    "positive_controls": "changed AND cand % 60 <> 11 AND cand % 70 = 5",
+}
+
+
+def _points_sql() -> str:
+    names = ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in FAULTS.items() if name != "missing_stored")
+    there = "cand % 90 <> 13"
+    return f"""SELECT failed, count(*) AS candidates, round(max(scores), 6) AS max_score_difference, round(max(traces), 6) AS max_trace_difference, round(max(patches), 6) AS max_patch_difference, round(max(controls), 6) AS max_control_difference
+      FROM (SELECT CASE WHEN {FAULTS['missing_stored']} THEN 'missing_stored' ELSE concat_ws(',', {names}) END AS failed, CASE WHEN {there} THEN 0e0 END AS scores,
+        CASE WHEN {there} THEN CASE WHEN cand % 50 = 3 THEN 0.01e0 ELSE 0e0 END END AS traces,
+        CASE WHEN changed AND {there} AND cand % 60 <> 11 THEN CASE WHEN cand % 70 = 5 THEN 2e0 WHEN cand % 40 = 7 THEN 1e0 ELSE 0e0 END END AS patches,
+        CASE WHEN changed AND cand % 60 <> 11 THEN CASE WHEN cand % 70 = 5 THEN 2e0 ELSE 0e0 END END AS controls
+        FROM (SELECT *, transition_code <> 0 AS changed FROM moves)) GROUP BY 1"""
+
+
+@query("compare_outputs", ("moves",), _points_sql())
+def _(x):
+    """Fresh against stored outputs on all grains; traces, replacements and controls are off or absent for some candidates."""
+    patches = x.patches(x.scored)
+    stored_there = mod("cand", 90) != 13
+    raised = lambda column, at, amount: F.transform(column, lambda v, i: v + F.when((i == 0) & at, amount).otherwise(0))
+    fresh_patches = patches.where(mod("cand", 60) != 11).withColumn("patch_scores", raised("patch_scores", (F.col("stage") == 3) & (mod("cand", 70) == 5), 2))
+    fresh = R.output_cells(R.candidate_descriptors(x.scored), x.traces(x.moves), fresh_patches, controls=(0, 3, 6))
+    traces = x.traces(x.moves).where(stored_there & ((mod("cand", 80) != 9) | (F.col("stage") != 6) | (F.col("metric") != 0)))
+    fault = (mod("cand", 50) == 3) & (F.col("stage") == 2) & (F.col("metric") == 1)
+    traces = traces.withColumn("value", F.col("value") + F.when(fault, 0.01).otherwise(0.0))
+    kept = patches.where(stored_there).withColumns({
+        "patch_scores": raised("patch_scores", (F.col("stage") == 1) & (mod("cand", 40) == 7), 1),
+        "patch_prediction": F.col("patch_prediction") + F.when((F.col("stage") == 5) & (mod("cand", 30) == 4), 1).otherwise(0),
+    })
+    stored = R.output_cells(R.candidate_descriptors(x.scored).where(stored_there), traces, kept)
+    judged = R.compare_outputs(fresh, stored, 1e-4, 1e-6)
+    worst = [F.round(F.max(c), 6).alias(c) for c in ("max_score_difference", "max_trace_difference", "max_patch_difference", "max_control_difference")]
+    return judged.groupBy("failed").agg(F.count(F.lit(1)).alias("candidates"), *worst)
+
+
+@query(
+    "replacement_coverage", ("moves",),
+    """SELECT *, missing + unexpected + partial + misshapen = 0 AS complete FROM (SELECT source_id // 10 AS chunk, count(*) FILTER (c) AS requested, count(*) FILTER (k) AS stored, count(*) FILTER (c AND NOT k) AS missing,
+      count(*) FILTER (k AND NOT c) AS unexpected, count(*) FILTER (k AND cand % 35 = 4) AS partial, count(*) FILTER (k AND (cand % 45 = 6 OR cand % 55 = 8)) AS misshapen FROM (
+        SELECT source_id, cand, transition_code <> 0 AND cand % 100 <> 1 AS c, transition_code <> 0 AND cand % 50 <> 2 AS k FROM moves) WHERE c OR k GROUP BY 1)""",
+)
+def _(x):
+    """Replacements of changed candidates: some not asked for, not stored, without a stage, a class, or a finite value."""
+    patches = x.patches(x.scored).withColumn("chunk", div(F.col("source_id"), 10))
+    requested = x.moves.where("transition_code <> 0 AND cand % 100 <> 1").withColumn("chunk", div(F.col("source_id"), 10))
+    kept = patches.where((mod("cand", 50) != 2) & ((mod("cand", 35) != 4) | (F.col("stage") != 2)))
+    scores = F.transform("patch_scores", lambda v: v.cast("double"))
+    first = lambda at: F.transform(scores, lambda v, i: F.when((i == 0) & at, float("nan")).otherwise(v))
+    cut = F.when((mod("cand", 45) == 6) & (F.col("stage") == 4), F.slice(scores, 1, X.CLASSES - 1)).otherwise(first((mod("cand", 55) == 8) & (F.col("stage") == 1)))
+    return R.replacement_coverage(requested, kept.withColumn("patch_scores", cut), "chunk", X.STAGES, X.CLASSES)
+
+
 @query(
     "coverage_check", ("moves",),
     """SELECT *, missing = 0 AND unexpected = 0 AND invalid = 0 AS complete FROM (SELECT source_id // 10 AS chunk, count(*) FILTER (c) AS requested, count(*) FILTER (k) AS stored, count(*) FILTER (c AND NOT k) AS missing,

@@ -174,6 +174,108 @@ def compare_point(fresh: DataFrame, stored: DataFrame, tolerance: float, columns
     )
 
 
+# Grains of a stored output, in the order of its cells.
+PREDICTION, SCALAR, TRACE, REPLACED, REPLACED_PREDICTION, CONTROL = range(6)
+
+
+def _cells(grain: int, a: Column, b: Column, value: Column, other: Column | None = None) -> Column:
+    """One cell of an output; ``other`` is the value it must have where that is known beside it."""
+    none = F.lit(None).cast("double")
+    return F.struct(
+        F.lit(grain).alias("grain"), a.cast("int").alias("a"), b.cast("int").alias("b"), value.cast("double").alias("value"),
+        (none if other is None else other.cast("double")).alias("other"),
+    )
+
+
+def output_cells(candidates: DataFrame, traces: DataFrame, patches: DataFrame, columns: Sequence[str] = SCALARS, controls: Sequence[int] = ()) -> DataFrame:
+    """All numbers of candidate outputs as rows (source_id, cand, grain, a, b, value, other).
+
+    ``candidates`` carry the prediction and scalar ``columns``, ``traces`` are (stage, metric, value), ``patches`` (stage, patch_scores,
+    patch_prediction). At the stages ``controls`` a replacement must give the scores of the source (column clean_scores).
+    """
+    zero, key = F.lit(0), ["source_id", "cand"]
+    own = F.array(_cells(PREDICTION, zero, zero, F.col("candidate_prediction")), *[_cells(SCALAR, zero, F.lit(k), F.col(c)) for k, c in enumerate(columns)])
+    scores = F.transform("patch_scores", lambda v, i: _cells(REPLACED, F.col("stage"), i, v))
+    parts = [scores, F.array(_cells(REPLACED_PREDICTION, F.col("stage"), zero, F.col("patch_prediction")))]
+    if controls:
+        held = F.transform("patch_scores", lambda v, i: _cells(CONTROL, F.col("stage"), i, v, F.get("clean_scores", i)))
+        parts.append(F.when(F.col("stage").isin(list(controls)), held).otherwise(F.slice(held, 1, 0)))
+    rows = candidates.select(*key, F.explode(own).alias("c")).unionByName(
+        traces.select(*key, _cells(TRACE, F.col("stage"), F.col("metric"), F.col("value")).alias("c"))
+    ).unionByName(patches.select(*key, F.explode(F.concat(*parts)).alias("c")))
+    return rows.select(*key, "c.*")
+
+
+def compare_outputs(
+    fresh: DataFrame, stored: DataFrame, score_tolerance: float, trace_tolerance: float, columns: Sequence[str] = SCALARS
+) -> DataFrame:
+    """R5 on all grains: per candidate the failed checks and the largest difference of scores, traces, replacements and controls.
+
+    Both sides are :func:`output_cells`, those of ``fresh`` with controls. A trace cell of one side only fails ``trace_metrics``, a stored
+    replacement without a fresh one ``missing_patch_scores``; a fresh one that was not stored is held to its controls only. A
+    candidate of one side only fails as such and for nothing else. An undefined difference fails, and so does a repeated cell.
+
+    All cells of both sides go through one shuffle on the candidate; cells and candidates are then grouped where they lie.
+    """
+    key, cell = ["source_id", "cand"], ["grain", "a", "b"]
+    none = F.lit(None).cast("double")
+    left = fresh.select(*key, *cell, F.col("value").alias("f"), F.when(F.col("grain") == CONTROL, F.col("other")).alias("s"), F.lit(1).alias("nf"), F.when(F.col("grain") == CONTROL, 1).otherwise(0).alias("ns"))
+    right = stored.where(F.col("grain") != CONTROL).select(*key, *cell, none.alias("f"), F.col("value").alias("s"), F.lit(0).alias("nf"), F.lit(1).alias("ns"))
+    met = left.unionByName(right).repartition(*[F.col(c) for c in key]).groupBy(*key, *cell).agg(
+        F.max("f").alias("f"), F.max("s").alias("s"), F.sum("nf").alias("nf"), F.sum("ns").alias("ns")
+    )
+    grain, both = F.col("grain"), (F.col("nf") > 0) & (F.col("ns") > 0)
+    off = F.when(both, F.abs(F.col("f") - F.col("s")))
+    limit = F.when(grain.isin(PREDICTION, REPLACED_PREDICTION), 0.0).when(grain == TRACE, trace_tolerance).otherwise(score_tolerance)
+    wrong = both & (undecided_fails((off > limit) | F.isnan(off)) | (F.col("nf") > 1) | (F.col("ns") > 1))
+    lone = ~both & (grain == TRACE)
+    judged = met.select(*key, grain, "b", off.alias("off"), wrong.alias("wrong"), lone.alias("lone"), F.col("nf").alias("nf"), F.col("ns").alias("ns"))
+    is_ = lambda g: F.col("grain") == g
+    failed = lambda g: F.bool_or(is_(g) & (F.col("wrong") | F.col("lone")))
+    worst = lambda *g: F.max(F.when(F.col("grain").isin(*g), F.col("off")))
+    per = judged.groupBy(*key).agg(
+        F.bool_or(is_(PREDICTION) & (F.col("nf") > 0)).alias("in_fresh"), F.bool_or(is_(PREDICTION) & (F.col("ns") > 0)).alias("in_stored"),
+        failed(PREDICTION).alias("candidate_prediction"), *[F.bool_or(is_(SCALAR) & (F.col("b") == k) & F.col("wrong")).alias(c) for k, c in enumerate(columns)],
+        failed(TRACE).alias("trace_metrics"), F.bool_or(is_(REPLACED) & (F.col("nf") == 0)).alias("missing_patch_scores"), failed(REPLACED).alias("patch_scores"),
+        failed(REPLACED_PREDICTION).alias("patch_predictions"), failed(CONTROL).alias("positive_controls"),
+        worst(SCALAR).alias("max_score_difference"), worst(TRACE).alias("max_trace_difference"), worst(REPLACED).alias("max_patch_difference"), worst(CONTROL).alias("max_control_difference"),
+    )
+    names = ["candidate_prediction", *columns, "trace_metrics", "missing_patch_scores", "patch_scores", "patch_predictions", "positive_controls"]
+    listed = F.array_join(F.filter(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]), lambda n: n.isNotNull()), ",")
+    shown = F.when(~F.col("in_fresh"), "missing_fresh").when(~F.col("in_stored"), "missing_stored").otherwise(listed)
+    return per.select(*key, shown.alias("failed"), "max_score_difference", "max_trace_difference", "max_patch_difference", "max_control_difference")
+
+
+def replacement_coverage(requested: DataFrame, patches: DataFrame, chunk: str, stages: int, classes: int) -> DataFrame:
+    """R7, replacements: per chunk whether the stored ones are exactly the requested candidates, at every stage, in every class.
+
+    ``patches`` are (chunk, source_id, cand, stage, patch_scores). A row becomes a bitmap of the classes it has finite values for, a
+    candidate one of the stages it has and one of the stages whose classes are all there; these are compared as bits, so up to 62 of
+    each. ``partial`` lacks a stage, ``misshapen`` has one with another number of classes, a value that is not finite, or beyond the last stage.
+    """
+    if not (0 < stages < 63 and 0 < classes < 63):
+        raise ValueError("bitmaps hold up to 62 stages and classes")
+    key, one = [chunk, "source_id", "cand"], F.lit(1).cast("long")
+    number = lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) != float("inf"))
+    bits = F.aggregate(
+        F.transform(F.slice("patch_scores", 1, 62), lambda v, i: F.when(number(v), F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long"))),
+        F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y),
+    )
+    known = F.col("stage").between(0, stages - 1)
+    whole = (F.size("patch_scores") == classes) & (bits == (1 << classes) - 1)
+    stage_bit = F.when(known, F.call_function("shiftleft", one, F.col("stage").cast("int"))).otherwise(F.lit(0).cast("long"))
+    held = patches.groupBy(*key).agg(
+        F.bit_or(stage_bit).alias("present"), F.bit_or(F.when(known & F.coalesce(whole, F.lit(False)), stage_bit).otherwise(F.lit(0).cast("long"))).alias("whole"),
+        F.bool_or(~F.coalesce(known, F.lit(False))).alias("beyond"),
+    )
+    joined = requested.select(*key, F.lit(True).alias("asked")).join(held, key, "full_outer")
+    asked, there, every = F.col("asked").isNotNull(), F.col("present").isNotNull(), (1 << stages) - 1
+    return joined.groupBy(chunk).agg(
+        F.count_if(asked).alias("requested"), F.count_if(there).alias("stored"), F.count_if(asked & ~there).alias("missing"), F.count_if(~asked).alias("unexpected"),
+        F.count_if(there & (F.col("present") != every)).alias("partial"), F.count_if(there & ((F.col("whole") != F.col("present")) | F.col("beyond"))).alias("misshapen"),
+    ).withColumn("complete", (F.col("missing") + F.col("unexpected") + F.col("partial") + F.col("misshapen")) == 0)
+
+
 def coverage_check(requested: DataFrame, stored: DataFrame, chunk: str, width: int) -> DataFrame:
     """Per chunk whether the stored outputs are exactly the requested candidates with score arrays
     of the right length and finite values."""
