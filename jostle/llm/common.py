@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -74,15 +73,6 @@ class WordCache(dict):
             self.clear()
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps before a step that needs the disk.
-
-    Spark deletes them when the driver's garbage collector finds their plans unused, which may be late.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def texts(column) -> Iterator[str]:
     """Python strings of an Arrow column, null as empty."""
     for value in column:

@@ -1,8 +1,9 @@
 """Quality rules by words, repeated windows and the frequency of lines across documents.
 
-A line is normalised (small letters, single blanks, digits as 0) and hashed; the distinct texts that hold it
-are counted per host. Lines above the limit are taken out, and a document that keeps too little of
-itself is rejected. Everything is a column expression, an aggregation or an equality join.
+A line of any length is normalised (small letters, single blanks, digits as 0) and hashed; the distinct documents that
+hold it are counted per host, where equal texts are one document. Lines above a share of the host's documents are taken
+out, and a document that keeps too little of itself is rejected. Everything is a column expression, an aggregation or
+an equality join.
 """
 
 from __future__ import annotations
@@ -14,10 +15,8 @@ from jostle.llm.common import SPACE, free_name, keyed, word_array
 from jostle.plans.joins import attach
 from jostle.plans.staging import stage
 
-#: A line in more distinct texts of a host than this is boilerplate.
-LINE_TEXTS = 20
-#: A line of more words is a passage; copies of passages are the business of deduplication.
-LINE_WORDS = 40
+#: A line in more than this share of a host's documents is boilerplate, and more than so many must hold it.
+LINE_SHARE, LINE_TEXTS = 0.05, 5
 #: The share of its words that a document must keep.
 LEAST_SHARE = 0.3
 LEAST_WORDS = 50
@@ -68,26 +67,38 @@ def measures(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _common(each: DataFrame, rows: DataFrame, line_texts: int, line_share: float) -> DataFrame:
+    """(host, hash) of the lines above the limit, staged; ``each`` are (host, content, hash), ``rows`` (host, content).
+
+    Distinct (host, line, text) come first: a line in every document is then counted from partial counts.
+    """
+    held = each.groupBy("host", "hash", "content").agg(F.lit(1).alias("one"))
+    counted = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > line_texts)
+    sizes = rows.where(F.col("content").isNotNull()).groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    found = attach(counted, stage(sizes, "hosts"), ["host"], spread=F.col("hash"))
+    return stage(found.where(F.col("texts") > line_share * F.col("size")).select("host", "hash"), "common")
+
+
+def _content(text: str) -> Column:
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
+
+
 def judge(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-    line_texts: int = LINE_TEXTS, line_words: int = LINE_WORDS, least_share: float = LEAST_SHARE,
+    line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE, least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, the measures, base_failed, lines_removed, words_removed and kept.
 
     ``docs`` should be staged or a table; rows are told apart by number, so repeated ids stay apart. A
-    null text has no words; a null host is a host of its own. Equal texts count once for a line, so
+    null text has no words; a null host is a host of its own. Equal texts of a host are one document there, so
     copies of a document do not make boilerplate of it. A text without words is base_failed.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("\x00null")).alias("host"))
     line = lambda x: F.struct(F.xxhash64(normalised(x)).alias("hash"), F.size(word_array(x)).alias("words"))
-    made = measures(own, "text").withColumns({"lines": F.transform(_lines(F.col("text")), line), "content": F.xxhash64("text")})
+    made = measures(own, "text").withColumns({"lines": F.transform(_lines(F.col("text")), line), "content": _content("text")})
     rows = keyed(made.drop("text"), "rules", "row_key")
-    each = rows.select("row_key", "host", "content", F.explode("lines").alias("line"))
-    each = each.select("row_key", "host", "content", "line.hash", "line.words").where(F.col("words") <= line_words)
-    # Distinct (host, line, text) first: a line in every document is then counted from partial counts.
-    held = each.groupBy("host", "hash", "content").agg(F.lit(1).alias("one"))
-    common = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > line_texts)
-    hits = attach(each, stage(common.select("host", "hash"), "common"), ["host", "hash"], spread=F.col("row_key"))
+    each = rows.select("row_key", "host", "content", F.explode("lines").alias("line")).select("row_key", "host", "content", "line.hash", "line.words")
+    hits = attach(each, _common(each, rows, line_texts, line_share), ["host", "hash"], spread=F.col("row_key"))
     removed = hits.groupBy("row_key").agg(F.count(F.lit(1)).alias("lines_removed"), F.sum("words").cast("long").alias("words_removed"))
     marked = rows.join(removed, "row_key", "left").fillna(0, ["lines_removed", "words_removed"])
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -104,16 +115,14 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     Unlike :func:`judge` this carries texts: the common lines of a row are gathered (a row holds no more
     of them than it has lines) and taken out of its text.
     """
-    line_texts, line_words = limits.get("line_texts", LINE_TEXTS), limits.get("line_words", LINE_WORDS)
     key = free_name(docs, "line_key")
     rows = keyed(docs, "texts", key)
     verdict = judge(rows.withColumnRenamed(key, "own_key").select(F.col("own_key").alias("k"), F.col(text).alias("t"), F.col(host).alias("h")), "k", "t", "h", **limits)
     kept = rows.join(verdict.where("kept").select(F.col("doc_id").alias(key)), key, "left_semi")
     place = F.coalesce(F.col(host).cast("string"), F.lit("\x00null"))
-    each = rows.select(key, place.alias("host"), F.xxhash64(text).alias("content"), F.explode(_lines(F.col(text))).alias("line"))
-    each = each.where(F.size(word_array(F.col("line"))) <= line_words).withColumn("hash", F.xxhash64(normalised(F.col("line"))))
-    held = each.groupBy("host", "hash", "content").agg(F.lit(1).alias("one"))
-    common = stage(held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_texts).select("host", "hash"), "common")
+    placed = rows.select(key, place.alias("host"), _content(text).alias("content"), text)
+    each = placed.select(key, "host", "content", F.explode(_lines(F.col(text))).alias("line")).withColumn("hash", F.xxhash64(normalised(F.col("line"))))
+    common = _common(each, placed, limits.get("line_texts", LINE_TEXTS), limits.get("line_share", LINE_SHARE))
     gone = attach(each, common, ["host", "hash"], spread=F.col(key)).groupBy(key).agg(F.collect_set("line").alias("gone"))
     column = free_name(docs, "gone_lines")
     joined = kept.join(gone.withColumnRenamed("gone", column), key, "left")

@@ -28,9 +28,7 @@ from jostle.plans.staging import stage
 
 BUCKETS = 1 << 18
 #: Labelled rows that the hinge-loss fit uses at most, chosen by hash; the ratios use all of them.
-FIT_ROWS = 12_000
-#: Indicators of one text that the fit uses at most, chosen by hash; scoring uses all.
-FIT_ITEMS = 2_000
+FIT_ROWS = 6_000
 SMOOTHING = 1.0
 COST = 0.1
 EPOCHS = 12
@@ -42,7 +40,7 @@ _SHAPE = re.compile(r"[A-ZÀ-ÖØ-Þ]+|[a-zß-öø-ÿ]+|[0-9]+")
 def _shape(word: str) -> int:
     """A small code of a word's form: runs of capitals A, small letters a, digits 0; other characters stay."""
     form = _SHAPE.sub(lambda m: "A" if m[0][0].isupper() else "0" if m[0][0].isdigit() else "a", word)
-    return zlib.crc32(form[:12].encode()) or 1
+    return zlib.crc32(form.encode()) or 1
 
 
 def _features() -> WordCache:
@@ -173,7 +171,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     label = sample.column("label").to_numpy()
     if not {0, 1} <= set(label.tolist()):  # so few rows that the hashes missed a class
         return fit(rows.withColumn("pick", F.lit(0)), fit_rows) if total <= fit_rows * 2 else _even(size)
-    items = [np.asarray(x.values, np.int64) for x in sample.column("items").combine_chunks()]
+    items = [np.asarray(x.values) for x in sample.column("items").combine_chunks()]
     signs = np.where(label == 1, 1.0, -1.0)
     # Each row stands for as many labelled rows of its class; the square root keeps a rare class heard.
     weight = np.where(label == 1, size[1] / quota[1], size[0] / quota[0])
@@ -205,12 +203,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _features()
     for batch in batches:
         cache.trim()
-        found = []
-        for text in texts(batch.column("text")):
-            items = indicators(text, cache)
-            if len(items) > FIT_ITEMS:
-                items = np.sort(items[np.argsort((items * 2654435761) % (1 << 32))[:FIT_ITEMS]])
-            found.append(items.tolist())
+        found = [indicators(text, cache).astype(np.int32) for text in texts(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "items"])
 
 

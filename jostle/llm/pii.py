@@ -3,9 +3,10 @@
 Everything is a column expression, so a scan finds, scores and replaces in one pass without a shuffle.
 
 Positions come from two passes of a pattern: ``split`` gives what lies between the matches and
-``regexp_extract_all`` the matches, and their lengths add up to offsets in code points. The patterns are
+``regexp_extract_all`` the matches, and their running lengths are offsets in code points. The patterns are
 written so that a long text costs linear time: possessive quantifiers, and a run of characters is
-tried once, from its start or from the end of the match before (``\\G``).
+tried once, from its start or from the end of the match before (``\\G``). So do the steps after them: context is put together from the
+matches and gaps next to a span, overlaps are found in the sorted spans by running ends, and texts are cut by pieces.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jostle.llm.common import free_name
+from jostle.llm.scans import let, part, pieces, scan
 
 CONTEXT_CHARS = 48
 ACCEPT = 0.5
@@ -134,31 +136,48 @@ KINDS = (
 )
 
 
-def _proposals(text: Column, kind: Kind, rank: int) -> Column:
-    """Confirmed spans of a kind: array of (start, rank, end, hit), in order, code points, end exclusive."""
+_SPANS = "array<struct<start:int,rank:int,end:int,hit:string,score:double>>"
+#: Matches are at least so long, so this many of them fill the context before or after a span.
+_LEAST_MATCH = 2
+_BEFORE, _AFTER = -(-CONTEXT_CHARS // _LEAST_MATCH), -(-CONTEXT_CHARS // 2 // _LEAST_MATCH)
+
+
+def _scored(text: Column, kind: Kind, rank: int) -> Column:
+    """Confirmed spans of a kind with their scores, in order; code points, end exclusive.
+
+    The context of a span is taken from the ends of the gaps around it and from the matches between them.
+    """
     gaps, hits = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    empty = "struct<at:int,spans:array<struct<start:int,rank:int,end:int,hit:string>>>"
-
-    def step(seen, pair):
-        start = seen["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(empty[empty.index("array"):-1]).alias("spans"))
-    # The text after the last match has no hit beside it and is left out.
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    spans = F.aggregate(pairs, zero, step, lambda seen: seen["spans"])
-    confirmed = F.filter(spans, lambda s: kind.valid(s["hit"]))
-    return F.when(kind.hint(text), confirmed).otherwise(zero["spans"])
-
-
-def _score(text: Column, span: Column, kind: Kind) -> Column:
-    before = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    around = F.concat(
-        F.substr(text, before + 1, span["start"] - before), F.lit(" "), F.substr(text, span["end"] + 1, F.lit(CONTEXT_CHARS // 2))
+
+    def spans_of(pairs: Column, ends: Column, last: Column) -> Column:
+        def around(i: Column) -> Column:
+            first = F.greatest(i - _BEFORE, F.lit(0))
+            back = F.transform(F.slice(pairs, first + 1, i - first), lambda p: F.concat(p["tail"], p["hit"]))
+            ahead = F.transform(F.slice(pairs, i + 2, F.lit(_AFTER)), lambda p: F.concat(p["head"], p["hit"]))
+            # A gap of full width hides what lies beyond it, so its end and its beginning are enough.
+            before = F.right(F.concat(F.array_join(back, ""), F.get(pairs, i)["tail"]), F.lit(CONTEXT_CHARS))
+            after = F.left(F.concat(F.array_join(ahead, ""), last), F.lit(CONTEXT_CHARS // 2))
+            return F.lower(F.concat(before, F.lit(" "), after))
+
+        def span(p: Column, i: Column) -> Column:
+            end = F.get(ends, i).cast("int")
+            score = F.lit(kind.prior) + F.when(around(i).rlike(kind.context), F.lit(kind.boost)).otherwise(0.0)
+            return F.struct((end - F.length(p["hit"])).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), p["hit"].alias("hit"), score.alias("score"))
+
+        made = F.transform(pairs, lambda p, i: F.when(kind.valid(p["hit"]), span(p, i)))
+        return F.filter(made, lambda s: s.isNotNull()).cast(_SPANS)
+
+    cut = lambda g, h: F.struct(
+        F.length(g).alias("width"), F.right(g, F.lit(CONTEXT_CHARS)).alias("tail"), F.left(g, F.lit(CONTEXT_CHARS // 2)).alias("head"), h.alias("hit")
     )
-    return F.lit(kind.prior) + F.when(F.lower(around).rlike(kind.context), F.lit(kind.boost)).otherwise(0.0)
+    # The gap after the last match has no match beside it.
+    made = let(gaps, lambda g: F.struct(
+        F.zip_with(F.slice(g, 1, F.size(g) - 1), hits, cut).alias("pairs"), F.left(F.element_at(g, -1), F.lit(CONTEXT_CHARS // 2)).alias("last")
+    ))
+    found = let(made, lambda m: let(
+        scan(F.transform(m["pairs"], lambda p: p["width"] + F.length(p["hit"])), lambda x, y: x + y), lambda ends: spans_of(m["pairs"], ends, m["last"])
+    ))
+    return F.when(kind.hint(text), found).otherwise(F.array().cast(_SPANS))
 
 
 def spans(text: Column, kinds: tuple[Kind, ...] = KINDS, accept: float = ACCEPT) -> Column:
@@ -168,19 +187,29 @@ def spans(text: Column, kinds: tuple[Kind, ...] = KINDS, accept: float = ACCEPT)
     One of another kind needs ``accept`` and no overlap with a base span. A null text has no spans.
     """
     whole = F.coalesce(text, F.lit(""))
+    none = F.array().cast(_SPANS)
+    every = F.concat(none, *[
+        scored if kind.base else F.filter(scored, lambda s: s["score"] >= accept)
+        for kind, scored in ((kind, _scored(whole, kind, rank)) for rank, kind in enumerate(kinds))
+    ])
+    base = [rank for rank, kind in enumerate(kinds) if kind.base]
+    is_base = lambda s: s["rank"].isin(base)
+    far = 1 << 40
+
+    def apart(ordered: Column) -> Column:
+        # Ends of the base spans up to each span, and, from the back, starts of those after it.
+        ends = scan(F.transform(ordered, lambda s: F.when(is_base(s), s["end"]).otherwise(-1)), F.greatest)
+        starts = scan(F.reverse(F.transform(ordered, lambda s: F.when(is_base(s), s["start"].cast("long")).otherwise(far))), F.least)
+        n = F.size(ordered)
+
+        def kept(both: Column) -> Column:
+            ended = lambda i: F.coalesce(F.get(both["ends"], i - 1), F.lit(-1))
+            begun = lambda i: F.coalesce(F.get(both["starts"], n - 2 - i), F.lit(far))
+            return F.filter(ordered, lambda s, i: is_base(s) | ((ended(i) <= s["start"]) & (begun(i) >= s["end"])))
 
-    def scored(rank: int, kind: Kind) -> Column:
-        add = lambda s: F.struct(
-            s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["hit"].alias("hit"),
-            _score(whole, s, kind).alias("score"),
-        )
-        return F.transform(_proposals(whole, kind, rank), add)
+        return let(F.struct(ends.alias("ends"), starts.alias("starts")), kept)
 
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,hit:string,score:double>>")
-    base = F.concat(none, *[scored(rank, kind) for rank, kind in enumerate(kinds) if kind.base])
-    more = F.concat(none, *[scored(rank, kind) for rank, kind in enumerate(kinds) if not kind.base])
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.array_sort(F.concat(base, F.filter(more, lambda s: (s["score"] >= accept) & apart(s))))
+    return let(F.array_sort(every), lambda o: F.when(F.exists(o, lambda s: ~is_base(s)), apart(o)).otherwise(o))
 
 
 def _listed(chosen: Column, kinds: tuple[Kind, ...]) -> Column:
@@ -220,15 +249,15 @@ def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
     found = find(docs, text, column, kinds)
     names = F.array(*[F.lit(f"<{k.name.upper()}>") for k in kinds])
 
-    def step(seen, span):
-        apart = span["start"] >= seen["at"]
-        kept = F.substr(F.col(text), seen["at"] + 1, F.greatest(span["start"] - seen["at"], F.lit(0)))
-        piece = F.when(apart, F.concat(kept, F.get(names, span["rank"]))).otherwise("")
-        return F.struct(
-            F.greatest(seen["at"], span["end"]).alias("at"), F.concat(seen["parts"], F.array(piece)).alias("parts")
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    rest = lambda seen: F.concat(F.array_join(seen["parts"], ""), F.substr(F.col(text), seen["at"] + 1))
-    changed = F.when(F.size(column) > 0, F.aggregate(column, zero, step, rest)).otherwise(F.col(text))
-    return found.withColumn(text, changed).select(*docs.columns)
+    def replaced(chosen: Column, cut: Column, ends: Column) -> Column:
+        """What lies between the spans, with a name for each one that begins after all before it have ended."""
+        past = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        named = F.transform(chosen, lambda s, i: F.when(
+            s["start"] >= past(i), F.concat(part(cut, past(i), s["start"].cast("long")), F.get(names, s["rank"]))
+        ).otherwise(""))
+        rest = part(cut, F.element_at(ends, -1), F.length(text).cast("long"))
+        return F.concat(F.array_join(named, ""), rest)
+
+    ends = scan(F.transform(F.col(column), lambda s: s["end"]), F.greatest)
+    changed = let(F.struct(pieces(F.col(text)).alias("cut"), ends.alias("ends")), lambda v: replaced(F.col(column), v["cut"], v["ends"]))
+    return found.withColumn(text, F.when(F.size(column) > 0, changed).otherwise(F.col(text))).select(*docs.columns)

@@ -83,9 +83,9 @@ WITH d AS (
          len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda v: v <> '')) AS words
   FROM (SELECT doc_id, host, text, unnest(own_lines) AS x FROM d)
 ), c AS (
-  SELECT host, line FROM l WHERE words <= 40 GROUP BY host, line HAVING count(DISTINCT text) > 20
+  SELECT l.host, line FROM l JOIN (SELECT host, count(DISTINCT text) AS size FROM d GROUP BY host) h ON h.host = l.host GROUP BY l.host, line, size HAVING count(DISTINCT text) > greatest(5, 0.05 * size)
 ), m AS (
-  SELECT doc_id, count(*) AS lines_removed, CAST(sum(words) AS BIGINT) AS words_removed FROM l JOIN c USING (host, line) WHERE words <= 40 GROUP BY doc_id
+  SELECT doc_id, count(*) AS lines_removed, CAST(sum(words) AS BIGINT) AS words_removed FROM l JOIN c USING (host, line) GROUP BY doc_id
 ), s AS (
   SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(own_lines) - len(list_distinct(own_lines)) AS n_dup_lines,

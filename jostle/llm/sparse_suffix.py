@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jostle.llm.common import WordCache, release_shuffles
+from jostle.llm.common import WordCache
 from jostle.plans.joins import attach
 from jostle.plans.staging import discard, stage
 
@@ -147,14 +147,11 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def passages(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    """(ident, tag, text, matches) -> (hash, ident, place): every passage of ``length`` words around a match.
-
-    ``place`` holds the tag of the text above 24 bits of the number of the first word.
-    """
+    """(ident, tag, text, matches) -> (hash, ident, tag, word): every passage of ``length`` words around a match, by its first word."""
     powers, cache = Powers(_BASES[1]), _cache()
     for batch in batches:
         cache.trim()
-        found, idents, places = [], [], []
+        found, idents, tags, places = [], [], [], []
         rows = zip(*(batch.column(n).to_pylist() for n in ("ident", "tag", "text", "matches")), strict=True)
         for ident, tag, text, matches in rows:
             words = text.encode().split()
@@ -167,10 +164,11 @@ def passages(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterato
             starts = np.nonzero(np.cumsum(around)[: len(words) - length + 1] > 0)[0]
             found.append(Hashes(np.array([cache[w] for w in words], dtype=np.uint64), powers).runs(starts, length).view(np.int64))
             idents.append(np.full(len(starts), ident, np.int64))
-            places.append((tag << 24) | starts)
+            tags.append(np.full(len(starts), tag, np.int64))
+            places.append(starts.astype(np.int32))
         if found:
-            columns = [pa.array(np.concatenate(c), pa.int64()) for c in (found, idents, places)]
-            yield pa.RecordBatch.from_arrays(columns, names=["hash", "ident", "place"])
+            columns = [pa.array(np.concatenate(c), t) for c, t in ((found, pa.int64()), (idents, pa.int64()), (tags, pa.int64()), (places, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "ident", "tag", "word"])
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
@@ -208,11 +206,10 @@ def _matched(own: DataFrame, length: int) -> DataFrame:
 def _repeated(own: DataFrame, hits: DataFrame, length: int) -> DataFrame:
     """(ident, tag, word, words, first): maximal runs of passages that another document holds."""
     around = attach(own.withColumn("at", F.xxhash64("ident", "tag")), hits, ["at"], salts=1)
-    found = stage(around.select("ident", "tag", "text", "matches").mapInArrow(lambda b: passages(b, length), "hash long, ident long, place long"), "passages")
+    found = stage(around.select("ident", "tag", "text", "matches").mapInArrow(lambda b: passages(b, length), "hash long, ident long, tag long, word int"), "passages")
     shared = found.groupBy("hash").agg(F.min("ident").alias("first"), F.max("ident").alias("most"))
     shared = stage(shared.where(F.col("first") != F.col("most")).select("hash", "first"), "shared")
-    release_shuffles(found.sparkSession)
-    copies = found.join(shared, "hash").select("ident", F.shiftright("place", 24).alias("tag"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("word"), "first")
+    copies = found.join(shared, "hash").select("ident", "tag", "word", "first")
     text_of = Window.partitionBy("ident", "tag").orderBy("word")
     new = F.when(F.col("word") - F.lag("word").over(text_of) <= length, 0).otherwise(1)
     numbered = copies.withColumn("new", new).withColumn("span", F.sum("new").over(text_of.rowsBetween(Window.unboundedPreceding, 0)))
@@ -239,9 +236,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         raise ValueError(f"length must be at least {WINDOW + GRAM - 1}")
     own = _texts(docs, doc_id, text, length)
     hits = _matched(own, length)
-    release_shuffles(docs.sparkSession)
     spans = _repeated(own, hits, length)
-    release_shuffles(docs.sparkSession)
     placed = attach(own, spans, ["ident", "tag"], salts=1).withColumn("at", offsets("text", "spans"))
     each = placed.select("doc_id", "ident", "tag", F.explode(F.arrays_zip("spans", "at")).alias("s"))
     named = F.when(F.col("s.spans.first") < _UNNAMED, F.col("s.spans.first"))
