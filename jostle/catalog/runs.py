@@ -13,6 +13,7 @@ from jostle.operators import moves as M
 from jostle.operators import runs as R
 from jostle.operators import scoring as SC
 from jostle.operators.census import classification_metrics
+from jostle.operators.intervals import interval_join
 from jostle.plans.joins import attach
 from jostle.plans.ordering import running
 from jostle.plans.staging import fan_out, stage
@@ -420,16 +421,53 @@ def _(x):
 
 @query(
     "replay_agreement", ("moves", "moves_b"),
-    """SELECT a.transition_code, count(*) AS candidates, round(avg(CASE WHEN a.candidate_prediction = b.candidate_prediction THEN 1e0 ELSE 0e0 END), 9) AS label_agreement,
-      count(*) AS first_same_class, count(*) FILTER (b.candidate_prediction = a.candidate_prediction) AS second_same_class,
-      count(*) AS first_same_type, count(*) FILTER (b.transition_code = a.transition_code) AS second_same_type,
-      count(*) FILTER (a.candidate_prediction = a.clean_prediction) AS first_returns_to_clean
-      FROM moves a JOIN moves_b b ON a.source_id = b.source_id AND a.cand = b.cand WHERE a.transition_code <> 0 GROUP BY 1""",
+    """SELECT a.transition_code, count(*) AS candidates, count(*) FILTER (a.cand % 70 = 4) AS missing_first, count(*) FILTER (b.cand IS NULL) AS missing_second,
+      round(avg(CASE WHEN a.candidate_prediction = b.candidate_prediction AND a.cand % 70 <> 4 THEN 1e0 ELSE 0e0 END), 9) AS label_agreement,
+      count(*) FILTER (a.cand % 70 <> 4) AS first_same_class, count(*) FILTER (b.candidate_prediction = a.candidate_prediction) AS second_same_class,
+      count(*) FILTER (a.cand % 70 <> 4) AS first_same_type, count(*) FILTER (b.transition_code = a.transition_code) AS second_same_type,
+      count(*) FILTER (a.candidate_prediction = a.clean_prediction AND a.cand % 70 <> 4) AS first_returns_to_clean
+      FROM moves a LEFT JOIN (SELECT * FROM moves_b WHERE cand % 90 <> 5) b ON a.source_id = b.source_id AND a.cand = b.cand WHERE a.transition_code <> 0 GROUP BY ROLLUP (a.transition_code)""",
 )
 def _(x):
-    """The columns and rows of the SQL; the operator also gives the missing counts and the total."""
-    found = R.replay_agreement(x.moves, {"first": x.moves, "second": x.moves_b})
-    return rounded(found.where("transition_code IS NOT NULL").drop("missing_first", "missing_second"))
+    """Both replays lack some candidates; the row without a code is the total."""
+    lack = lambda df, rule: df.where(rule)
+    return rounded(R.replay_agreement(x.moves, {"first": lack(x.moves, "cand % 70 <> 4"), "second": lack(x.moves_b, "cand % 90 <> 5")}))
+
+
+FIRST_ADVERSE = "SELECT source_id, min(cand) AS cand, arg_min(candidate_prediction, cand) AS prediction FROM {} WHERE transition_code = 1 GROUP BY 1"
+
+
+@query(
+    "recovered_sets", ("moves", "moves_b"),
+    f"""SELECT * FROM (WITH r AS (SELECT 'recorded' AS run, * FROM ({FIRST_ADVERSE.format('moves')}) UNION ALL SELECT 'same', * FROM ({FIRST_ADVERSE.format('moves')})
+        UNION ALL SELECT 'later', * FROM ({FIRST_ADVERSE.format('(SELECT * FROM moves WHERE cand % 3 <> 0)')}) UNION ALL SELECT 'other', * FROM ({FIRST_ADVERSE.format('moves_b')}))
+      SELECT n.run, (SELECT count(*) FROM r WHERE r.run = n.run) AS sources,
+        NOT EXISTS ((SELECT source_id FROM r WHERE r.run = n.run EXCEPT SELECT source_id FROM r WHERE r.run = 'recorded') UNION ALL (SELECT source_id FROM r WHERE r.run = 'recorded' EXCEPT SELECT source_id FROM r WHERE r.run = n.run)) AS same_sources,
+        NOT EXISTS ((SELECT source_id, cand, prediction FROM r WHERE r.run = n.run EXCEPT SELECT source_id, cand, prediction FROM r WHERE r.run = 'recorded')
+          UNION ALL (SELECT source_id, cand, prediction FROM r WHERE r.run = 'recorded' EXCEPT SELECT source_id, cand, prediction FROM r WHERE r.run = n.run)) AS same_witnesses
+      FROM (SELECT unnest(['recorded', 'same', 'later', 'other']) AS run) n)""",
+)
+def _(x):
+    """Four runs: the recorded one, an equal one, one that misses some candidates, and the other model."""
+    return R.recovered_sets({"recorded": x.moves, "same": x.moves, "later": x.moves.where("cand % 3 <> 0"), "other": x.moves_b})
+
+
+INTERVALS_SQL = """SELECT source_id AS range_id, CASE WHEN source_id % 4 = 0 THEN NULL ELSE clean_margin - source_id % 30 END AS lo, CASE WHEN source_id % 9 = 0 THEN NULL ELSE clean_margin + source_id % 7 - 2 END AS hi FROM sources WHERE source_id % 5 = 0"""
+
+
+@query(
+    "interval_join", ("sources",),
+    f"""SELECT * FROM (WITH r AS ({INTERVALS_SQL}), v AS (SELECT source_id, CASE WHEN source_id % 8 = 0 THEN NULL ELSE clean_margin END AS margin FROM sources),
+      m AS (SELECT * FROM v JOIN r ON (lo IS NULL OR lo <= margin) AND (hi IS NULL OR margin <= hi) WHERE margin IS NOT NULL)
+      SELECT * FROM m UNION ALL SELECT *, NULL, NULL, NULL FROM v WHERE source_id NOT IN (SELECT source_id FROM m) UNION ALL SELECT NULL, NULL, * FROM r WHERE range_id NOT IN (SELECT range_id FROM m))""",
+)
+def _(x):
+    """Clean margins in a table of overlapping ranges, some open, some empty; margins that are NULL are in none."""
+    id_, margin = F.col("source_id"), F.col("clean_margin")
+    ranges = x.sources.where(F.pmod(id_, F.lit(5)) == 0).select(
+        id_.alias("range_id"), F.when(F.pmod(id_, F.lit(4)) != 0, margin - F.pmod(id_, F.lit(30))).alias("lo"), F.when(F.pmod(id_, F.lit(9)) != 0, margin + F.pmod(id_, F.lit(7)) - 2).alias("hi")
+    )
+    return interval_join(x.sources.select("source_id", F.when(F.pmod(id_, F.lit(8)) != 0, margin).alias("margin")), "margin", ranges)
 
 
 @query(

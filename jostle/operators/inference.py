@@ -15,7 +15,7 @@ from jostle.functions.ints import div
 from jostle.functions.rng import INDICES, SIGNS, digest, draw, index_of, sign_bits
 from jostle.plans.joins import attach
 from jostle.plans.ordering import GROUP_ROWS, largest_group, midranks, percentiles, running
-from jostle.plans.staging import fan_out, stage
+from jostle.plans.staging import fan_out, stage, staged
 
 # Fixed-point scale of contrasts in exact comparisons, split in two summable halves.
 SCALE, HALF = 1e12, 1_000_000
@@ -151,6 +151,35 @@ def _index(values: DataFrame, keys: Sequence[str], identity: str, **how) -> Data
     return attach(placed, stage(sizes, "sizes"), list(keys), spread=F.col("slot"))
 
 
+# Rows of a stratum that are packed into arrays of one row; larger strata are drawn by joins, with equal results.
+PACK_ROWS = 500_000
+
+
+def _packed(values: DataFrame, groups: Sequence[str], columns: Sequence[str], identity: str, limit: int | None) -> DataFrame | None:
+    """One staged row (``groups``, n, <columns as arrays in id order>) for each stratum, or None if the largest exceeds ``limit``."""
+    staged_ = staged(values.select(*groups, identity, *columns), "strata")
+    if largest_group(staged_, groups)[0] > (PACK_ROWS if limit is None else limit):
+        return None
+    entries = F.sort_array(F.collect_list(F.struct(identity, *columns)))
+    rows = staged_.groupBy(*groups).agg(entries.alias("__rows")) if groups else staged_.agg(entries.alias("__rows"))
+    packed = rows.select(*groups, F.size("__rows").cast("long").alias("n"), *[F.col(f"__rows.{c}").alias(c) for c in columns])
+    return stage(packed.where("n > 0"), "packed")
+
+
+def _per_block(packed: DataFrame, groups: Sequence[str], blocks: int) -> DataFrame:
+    """Every stratum once for each block of repetitions, spread over the tasks by what each has to draw; n values at a time."""
+    facts = packed.select(*groups, "n")
+    total = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * blocks
+    every = fan_out(facts.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), max(1, total // 4), *groups, "__block")
+    keyed = packed.drop("n")
+    return attach(every, keyed, list(groups)) if groups else every.join(F.broadcast(keyed))  # one row
+
+
+def _slots(each) -> Column:
+    """An array with ``each(slot)`` for slots 0 to n - 1."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), each)
+
+
 def _repeat(rows: DataFrame, repetitions: int, out: str = "rep") -> DataFrame:
     """Every row once per repetition; ``rows`` reads a staged table, so counting it is cheap."""
     spread = fan_out(rows, rows.count() * repetitions, *rows.columns)
@@ -166,6 +195,7 @@ def bootstrap_means(
     strata: Sequence[str] = (),
     identity: str = "source_id",
     draw_key: Sequence[str] | None = None,
+    pack_rows: int | None = None,
     **how,
 ) -> DataFrame:
     """Means of ``metrics`` per (keys, rep) over a resample of each stratum to its own size.
@@ -174,11 +204,37 @@ def bootstrap_means(
     repetition and slot (default: the strata).
     """
     groups = [*keys, *strata]
-    indexed = stage(_index(values, groups, identity, **how), "indexed")
     key = [F.col(c) for c in (strata if draw_key is None else draw_key)]
     seed_column = seed if isinstance(seed, Column) else F.lit(seed)
+    seeded = values.withColumn("__seed", seed_column)
+    packed = _packed(seeded, groups, [*metrics, "__seed"], identity, pack_rows)
+    if packed is None:
+        return _joined_means(seeded, metrics, repetitions, keys, groups, key, identity, **how)
+    # A row holds a stratum and draws for the repetitions of one digest; only sums leave it.
+    blocks = _per_block(packed, groups, -(-repetitions // INDICES))
+    hexed = blocks.withColumn("__hex", _slots(lambda j: digest(F.get("__seed", F.lit(0)), F.col("__block"), *key, j)))
+    drawn_by = lambda p: F.transform("__hex", lambda h: index_of(F.col("n"), h, p).cast("int"))
+    drawn = hexed.select(*groups, "__block", "n", *metrics, *[drawn_by(p).alias(f"__at{p}") for p in range(INDICES)])
+    total = lambda m, p: F.aggregate(f"__at{p}", F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(m, i).cast("double"), F.lit(0.0)))
+    there = lambda m, p: F.size(F.filter(f"__at{p}", lambda i: F.get(m, i).isNotNull()))
+    known = {m: F.when(F.exists(m, lambda v: v.isNull()), 1).otherwise(0) for m in metrics}
+    parts = F.array(*[
+        F.struct(
+            (F.col("__block") * INDICES + p).alias("rep"), *[total(m, p).alias(m) for m in metrics],
+            *[F.when(known[m] == 1, there(m, p)).otherwise(F.col("n").cast("int")).alias(f"n_{m}") for m in metrics],
+        ) for p in range(INDICES)
+    ])
+    sums = drawn.select(*keys, F.explode(parts).alias("d")).select(*keys, "d.*").where(F.col("rep") < repetitions)
+    return sums.groupBy(*keys, "rep").agg(*[F.try_divide(F.sum(m), F.sum(f"n_{m}")).alias(m) for m in metrics])
+
+
+def _joined_means(
+    values: DataFrame, metrics: Sequence[str], repetitions: int, keys: Sequence[str], groups: Sequence[str], key: list[Column], identity: str, **how
+) -> DataFrame:
+    """The same draws for strata of any size: one row for each draw, joined to the stratum."""
+    indexed = stage(_index(values, groups, identity, **how), "indexed")
     # Repetitions that share a digest come from one row.
-    blocks = _repeat(indexed.select(*groups, "slot", "n", seed_column.alias("__seed")), -(-repetitions // INDICES), "__block")
+    blocks = _repeat(indexed.select(*groups, "slot", "n", "__seed"), -(-repetitions // INDICES), "__block")
     hexed = blocks.withColumn("__hex", digest(F.col("__seed"), F.col("__block"), *key, F.col("slot")))
     parts = F.array(*[
         F.struct((F.col("__block") * INDICES + p).alias("rep"), index_of(F.col("n"), F.col("__hex"), p).alias("slot")) for p in range(INDICES)
@@ -263,7 +319,7 @@ def stratified_bootstrap(values: DataFrame, value: str, label: str, repetitions:
 
 
 def within_label_permutation(
-    rows: DataFrame, x: str, y: str, label: str, repetitions: int, seed: int, identity: str = "source_id", **how
+    rows: DataFrame, x: str, y: str, label: str, repetitions: int, seed: int, identity: str = "source_id", pack_rows: int | None = None, **how
 ) -> DataFrame:
     """One-sided p that the rank correlation is as low as observed when y is permuted within
     labels.
@@ -275,6 +331,30 @@ def within_label_permutation(
     doubled = ranked.select(
         identity, label, (F.col("rx") * 2).cast("long").alias("rx"), (F.col("ry") * 2).cast("long").alias("ry")
     )
+    product = lambda a, b: (a * b).cast("decimal(38,0)")
+    packed = _packed(doubled, [label], ["rx", "ry"], identity, pack_rows)
+    if packed is None:
+        return _joined_permutation(doubled, label, repetitions, seed, identity, **how)
+    # A row holds a label and one repetition: its slots sorted by their random keys are the permutation.
+    every = _per_block(packed, [label], repetitions)
+    order = F.array_sort(_slots(lambda j: F.struct(draw(seed, F.col("__block"), F.col(label), j).alias("key"), j.cast("int").alias("slot"))))
+    zero = F.lit(0).cast("decimal(38,0)")
+    moved = lambda acc, z: (acc + F.coalesce(product(F.get("ry", z["slot"]), z["x"]), zero)).cast("decimal(38,0)")
+    meet = F.zip_with(F.col("__order"), F.col("rx"), lambda o, v: F.struct(o["slot"].alias("slot"), v.alias("x")))
+    part = every.withColumn("__order", order).select("__block", F.aggregate(meet, zero, moved).alias("null"))
+    null = part.groupBy("__block").agg(F.sum("null").alias("null"))
+    observed = packed.select(F.explode(F.arrays_zip("rx", "ry")).alias("z")).agg(F.sum(product(F.col("z.rx"), F.col("z.ry"))).alias("observed"))
+    return _as_low(null, observed, repetitions)
+
+
+def _as_low(null: DataFrame, observed: DataFrame, repetitions: int) -> DataFrame:
+    return null.join(F.broadcast(observed)).agg(
+        ((1 + F.count_if(F.col("null") <= F.col("observed"))) / F.lit(1.0 + repetitions)).alias("p_value")
+    )
+
+
+def _joined_permutation(doubled: DataFrame, label: str, repetitions: int, seed: int, identity: str, **how) -> DataFrame:
+    """The same permutations for labels of any size: one row for each slot and repetition, ordered and joined."""
     indexed = stage(_index(doubled, [label], identity, **how), "permuted")
     shuffled = _repeat(indexed.select(label, "slot"), repetitions).withColumn(
         "__key", draw(seed, F.col("rep"), F.col(label), F.col("slot"))
@@ -285,10 +365,7 @@ def within_label_permutation(
     sides = attach(sides, indexed.select(label, F.col("slot").alias("target"), "rx"), [label, "target"])
     product = (F.col("rx") * F.col("ry")).cast("decimal(38,0)")
     null = sides.groupBy("rep").agg(F.sum(product).alias("null"))
-    observed = indexed.agg(F.sum(product).alias("observed"))
-    return null.join(F.broadcast(observed)).agg(
-        ((1 + F.count_if(F.col("null") <= F.col("observed"))) / F.lit(1.0 + repetitions)).alias("p_value")
-    )
+    return _as_low(null, indexed.agg(F.sum(product).alias("observed")), repetitions)
 
 
 def paired_stratified_bootstrap(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,23 +141,38 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return F.try_divide(center - spread, scale), F.try_divide(center + spread, scale)
 
 
+def _deviance(x: Column, mean: Column) -> Column:
+    """x log(x / mean) - (x - mean), without the cancellation of its parts."""
+    return F.when(x == 0, mean).otherwise(x * F.log1p((x - mean) / mean) - (x - mean))
+
+
+def _stirling(x: Column) -> Column:
+    """log x! less Stirling's formula: exact up to 15, then its series, whose next term is below 1e-15."""
+    small = F.element_at(F.array(*[F.lit(math.lgamma(k + 1) - (0.5 * math.log(2 * math.pi * k) + k * math.log(k) - k) if k else 0.0) for k in range(16)]), (F.least(x, F.lit(15)) + 1).cast("int"))
+    y = 1 / F.greatest(x, F.lit(1.0))
+    series = y / 12 - F.pow(y, 3) / 360 + F.pow(y, 5) / 1260 - F.pow(y, 7) / 1680 + F.pow(y, 9) / 1188
+    return F.when(x <= 15, small).otherwise(series)
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
-    """Exact two-sided binomial p of ``b`` against ``c`` discordant pairs.
+    """Exact two-sided binomial p of ``b`` against ``c`` discordant pairs, to a relative error of about 1e-10.
 
-    Terms run over the smaller side only; each is the previous one times (n-k)/(k+1), in logs.
+    The largest term is taken from Stirling's formula with corrections, the others follow by their ratios (low - j) / (high + j + 1). These
+    fall off like exp(-2 j j / n), so after 6 sqrt(n) + 40 terms what is left is below 1e-15 of the sum: 10^9 pairs cost 190,000 steps.
     """
-    n, low = b + c, F.least(b, c)
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
-    steps = F.when(low > 0, F.sequence(F.lit(0).cast("long"), F.greatest(low - 1, F.lit(0).cast("long")))).otherwise(
-        F.array().cast("array<bigint>")
+    n, low, high = (b + c).cast("double"), F.least(b, c).cast("double"), F.greatest(b, c).cast("double")
+    log_most = F.when(low == 0, -n * F.log(F.lit(2.0))).otherwise(
+        _stirling(n) - _stirling(low) - _stirling(high) - _deviance(low, n / 2) - _deviance(high, n / 2) + 0.5 * F.log(n / (2 * math.pi * low * high))
     )
+    count = F.least(low, F.ceil(6 * F.sqrt(n)) + 40).cast("int")
+    steps = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
-    def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log((n - k) / (k + 1))
-        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
+    def step(acc: Column, j: Column) -> Column:
+        term = acc["term"] * (low - j) / (high + j + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    tail = F.aggregate(steps, start, step)["sum"]
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * tail))
+    tail = F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), step)["sum"]
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * tail * F.exp(log_most)))
 
 
 def paired_agreement(rows: DataFrame, keys: list[str], a: Column, b: Column) -> DataFrame:

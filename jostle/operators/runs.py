@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jostle.functions import scores as S
@@ -144,11 +144,14 @@ def gap_range_join(rows: DataFrame, gap: str, ranges: Sequence[tuple[int, int]]
 
 
 def gap_change_rates(rows: DataFrame, gap: str, changed: str, ranges: Sequence[tuple[int, int]] = GAP_RANGES) -> DataFrame:
-    """Sources, changed ones and their share per range; empty ranges give 0 and NULL."""
-    counted = rows.groupBy(gap_range(F.col(gap), ranges).alias("range")).agg(
+    """Sources, changed ones and their share per range; empty ranges give 0 and NULL. Rows whose gap is in no range (NULL or negative)
+    make one more row, without bounds."""
+    counted = rows.groupBy(F.coalesce(gap_range(F.col(gap), ranges), F.lit(-1)).alias("range")).agg(
         F.count(F.lit(1)).alias("sources"), F.count_if(F.col(changed)).alias("changed")
     )
-    return range_table(rows.sparkSession, ranges).join(counted, "range", "left").select(
+    # A row for each range and at most one more.
+    met = range_table(rows.sparkSession, ranges).join(counted, "range", "full_outer")
+    return met.select(
         "lo", "hi",
         F.coalesce("sources", F.lit(0)).cast("long").alias("sources"),
         F.coalesce("changed", F.lit(0)).cast("long").alias("changed"),
@@ -292,3 +295,24 @@ def source_sets(runs: dict[str, DataFrame], code: int = 1) -> DataFrame:
     return tagged.groupBy("source_id").agg(
         *[F.bool_or(F.col("run") == name).alias(f"in_{name}") for name in runs], F.count(F.lit(1)).alias("runs")
     )
+
+
+def recovered_sets(runs: dict[str, DataFrame], code: int = 1) -> DataFrame:
+    """Whether every run finds the same vulnerable sources, and the same first candidate in each, as the first run.
+
+    Rows (run, sources, same_sources, same_witnesses). A set is told by its size and the wide sum of hashes of its members, which
+    needs no order and no collecting: one row a run is compared, however many sources there are.
+    """
+    total = lambda *columns: F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    digests = None
+    for place, (name, moves) in enumerate(runs.items()):
+        first = moves.where(F.col("transition_code") == code).groupBy("source_id").agg(F.min_by(F.struct("cand", "candidate_prediction"), "cand").alias("w"))
+        row = first.agg(F.count(F.lit(1)).alias("sources"), total("source_id").alias("members"), total("source_id", "w.cand", "w.candidate_prediction").alias("witnesses"))
+        row = row.select(F.lit(place).alias("place"), F.lit(name).alias("run"), "*")
+        digests = row if digests is None else digests.unionByName(row)
+    every = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a run
+    base = lambda c: F.first(c).over(every)
+    return digests.select(
+        "run", "sources", ((F.col("sources") == base("sources")) & (F.col("members") == base("members"))).alias("same_sources"),
+        ((F.col("sources") == base("sources")) & (F.col("witnesses") == base("witnesses"))).alias("same_witnesses"),
+    )

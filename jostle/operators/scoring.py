@@ -218,20 +218,33 @@ def prefix_extra_split(logits: DataFrame, column: str, classes: int) -> DataFram
     )
 
 
+def stencil(gradients: DataFrame) -> DataFrame:
+    """(source_id, t, f, before, here, after): each gradient cell beside those of the bins next to it, NULL where there is none.
+
+    Every cell is sent to three bins once and they meet in one grouped maximum.
+    """
+    parts = F.array(*[F.struct((F.col("t") + d).alias("t"), F.lit(-d).alias("side")) for d in (-1, 0, 1)])
+    sent = gradients.select("source_id", "f", "g", F.explode(parts).alias("to"))
+    at = lambda d: F.max(F.when(F.col("to.side") == d, F.col("g")))
+    met = sent.groupBy("source_id", F.col("to.t").alias("t"), "f").agg(at(-1).alias("before"), at(0).alias("here"), at(1).alias("after"))
+    return met.where(F.col("here").isNotNull())
+
+
 def gradient_moves(moves: DataFrame, gradients: DataFrame) -> DataFrame:
-    """Per move the gain ``g[to] - g[from]`` for each target class.
+    """Per move the gain ``g[to] - g[from]`` for each target class; NULL where a cell has no gradient.
 
-    ``gradients`` hold one array over targets per (source_id, t, f), so both lookups are equi-joins
-    on the full cell key.
+    ``gradients`` hold one array over targets per (source_id, t, f). The neighbours are brought to each cell first (:func:`stencil`), so
+    the moves are shuffled once, by the cell they leave.
     """
-    at = gradients.select("source_id", F.col("t").alias("to_bin"), F.col("f").alias("feature"), F.col("g").alias("__to"))
-    of = gradients.select("source_id", F.col("t").alias("from_bin"), F.col("f").alias("feature"), F.col("g").alias("__from"))
-    return (
-        moves.join(at, ["source_id", "to_bin", "feature"])
-        .join(of, ["source_id", "from_bin", "feature"])
-        .withColumn("gains", F.zip_with("__to", "__from", lambda a, b: a - b))
-        .drop("__to", "__from")
-    )
+    cells = stencil(gradients).select("source_id", F.col("t").alias("from_bin"), F.col("f").alias("feature"), "before", "here", "after")
+    joined = moves.join(cells, ["source_id", "from_bin", "feature"], "left")
+    to = F.when(F.col("to_bin") == F.col("from_bin") + 1, F.col("after")).when(F.col("to_bin") == F.col("from_bin") - 1, F.col("before"))
+    return joined.withColumn("gains", F.zip_with(to, "here", lambda a, b: a - b)).drop("before", "here", "after")
+
+
+def gradient_coverage(gains: DataFrame) -> DataFrame:
+    """Moves of each source, and those without a gradient at one of their cells."""
+    return gains.groupBy("source_id").agg(F.count(F.lit(1)).alias("moves"), F.count_if(F.col("gains").isNull()).alias("without_gradient"))
 
 
 def directional_gain(gains: DataFrame, margins: DataFrame, **how) -> DataFrame:
