@@ -174,6 +174,42 @@ def _(x):
     return M.verify_manifest(_digests(x).select("path", "sha256"), _manifest(x))
 
 
+FILES_SQL = """SELECT doc_id // 50 AS chunk, sha256(string_agg(concat(doc_id, ' ', lang, ' ', n_chars) || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents WHERE doc_id IS NOT NULL GROUP BY 1"""
+
+
+@query(
+    "verify_files", (),
+    f"""SELECT concat('chunk=', chunk) AS path, CASE chunk % 5 WHEN 1 THEN 'modified' WHEN 2 THEN 'unexpected' ELSE 'ok' END AS status FROM ({FILES_SQL})
+      UNION ALL SELECT concat('gone/chunk=', chunk), 'missing' FROM ({FILES_SQL}) WHERE chunk % 5 = 3""",
+)
+def _(x):
+    """Files that Spark writes, one for fifty documents, hashed where they lie and held against a manifest of their expected content."""
+    chunk = div(F.col("doc_id"), 50)
+    docs = x.table("documents").where("doc_id is not null").select(chunk.alias("chunk"), "doc_id", F.concat_ws(" ", "doc_id", "lang", "n_chars").alias("value"))
+    folder = fresh_path(x.spark, "listed")
+    docs.repartition("chunk").sortWithinPartitions("chunk", "doc_id").select("chunk", "value").write.partitionBy("chunk").text(folder)
+    found = M.file_digests(x.spark, folder, "*.txt").withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    lines = docs.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("doc_id", "value"))).alias("l"))  # fifty rows
+    listed = lines.select("chunk", F.sha2(F.concat(F.array_join(F.transform("l", lambda v: v["value"]), "\n"), F.lit("\n")), 256).alias("sha256"))
+    place = F.concat(F.lit("chunk="), F.col("chunk").cast("string"))
+    fifth = F.pmod(F.col("chunk"), F.lit(5))
+    manifest = listed.where(fifth != 2).select(place.alias("path"), F.when(fifth == 1, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    gone = listed.where(fifth == 3).select(F.concat(F.lit("gone/"), place).alias("path"), "sha256")
+    return M.verify_manifest(found, manifest.unionByName(gone))
+
+
+@query(
+    "read_inferred_csv", ("summary",),
+    "SELECT source_id, CAST(label AS BIGINT) AS label, clean_correct, round(adverse_unique / unique_candidates, 9) AS adverse_rate, concat('source ', source_id) AS name FROM summary",
+)
+def _(x):
+    """The same rows without a schema: types are inferred, and a byte-order mark before the first name is dropped."""
+    rows = csv_rows(x)
+    path = S.write_table(rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]), fresh_path(x.spark, "csv"), "csv")
+    back = S.read_typed_csv(x.spark, path)
+    return back.select(F.col("source_id").cast("long").alias("source_id"), F.col("label").cast("long").alias("label"), "clean_correct", F.round("adverse_rate", 9).alias("adverse_rate"), "name")
+
+
 @query("manifest_difference", (), f"SELECT * FROM ({STATUS_SQL}) WHERE status IN ('unexpected', 'missing')")
 def _(x):
     return M.manifest_difference(_digests(x).select("path", "sha256"), _manifest(x))

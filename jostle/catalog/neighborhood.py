@@ -14,6 +14,7 @@ from jostle.operators import events as E
 from jostle.operators import moves as M
 from jostle.plans.joins import attach
 from jostle.plans.ordering import running
+from jostle.plans.staging import stage
 
 D, W, K = X.STEP, X.WIDTH, X.CLASSES
 
@@ -23,7 +24,7 @@ D, W, K = X.STEP, X.WIDTH, X.CLASSES
 
 @query("bin_events", ("cells",), "SELECT source_id, horizon, t, f, n FROM cells")
 def _(x):
-    return E.bin_events(x.events, E.event_bounds(x.events, D), D)
+    return E.bin_events(x.events, x.bounds, D)
 
 
 @query("bin_events_oracle", ("cells",), "SELECT source_id, horizon, t, f, n FROM cells")
@@ -53,7 +54,7 @@ def _(x):
     events = attach(rows, order, ["event_type"]).select(
         F.col("user_id").alias("source_id"), E.micros(F.col("ts")).alias("us"), "unit"
     )
-    bounds = E.event_bounds(events, USER_STEP)
+    bounds = stage(E.event_bounds(events, USER_STEP), "bounds")
     return E.bin_events(events, bounds, USER_STEP)
 
 

@@ -72,6 +72,25 @@ def path_of(*parts):
     return F.concat(*[F.lit(p) if p[0] != "@" else F.col(p[1:]).cast("string") for p in parts])
 
 
+@query(
+    "tolerant_differences", ("summary",),
+    """SELECT concat('sources/', source_id, '/', name) AS path, round(CASE WHEN why IS NULL THEN 1e-7 WHEN why = 'number' THEN 1e-7 END, 9) AS absolute_difference,
+      CASE name WHEN 'adverse_rate' THEN 1e-6 ELSE 1e-12 END AS absolute_tolerance, why AS reason
+      FROM (SELECT source_id, 'adverse_rate' AS name, NULL AS why FROM summary WHERE source_id % 4 = 0 UNION ALL SELECT source_id, 'unique_candidates', 'number' FROM summary WHERE source_id % 6 = 0
+        UNION ALL SELECT source_id, 'clean_correct', 'value' FROM summary WHERE source_id % 5 = 0)""",
+)
+def _(x):
+    """Every leaf that is not the same: accepted differences of rates, refused ones of counts and flags."""
+    actual = leaf_table(x).withColumn("unique_candidates", F.col("unique_candidates").cast("double"))
+    expected = actual.withColumns({
+        "adverse_rate": F.col("adverse_rate") + F.when(mod("source_id", 4) == 0, 1e-7).otherwise(0.0),
+        "unique_candidates": F.col("unique_candidates") + F.when(mod("source_id", 6) == 0, 1e-7).otherwise(0.0),
+        "clean_correct": F.when(mod("source_id", 5) == 0, ~F.col("clean_correct")).otherwise(F.col("clean_correct")),
+    })
+    out = R.tolerant_differences(R.flatten_rows(actual, "sources", ["source_id"]), R.flatten_rows(expected, "sources", ["source_id"]), "_rate$")
+    return out.select("path", F.round("absolute_difference", 9).alias("absolute_difference"), "absolute_tolerance", "reason")
+
+
 @query(
     "resolve_path", ("summary",),
     """SELECT path, status, CAST(matches AS BIGINT) AS matches, CAST(position AS BIGINT) AS position, kind, text, CAST(number AS DOUBLE) AS number FROM (
@@ -334,3 +353,16 @@ X.define("kept", (), "SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id
 def _(x):
     exempt = x.table("labels").where("toxic = 1").select("doc_id")
     return T.scan_patterns(x.table("documents"), "doc_id", "text", PATTERNS, exempt)
+
+
+def _matches_sql() -> str:
+    parts = [
+        f"SELECT doc_id, line, '{name}' AS pattern, unnest(range(1, len(hits) + 1)) AS occurrence, unnest(hits) AS match FROM (SELECT doc_id, line, regexp_extract_all(text, '{regex}') AS hits FROM lines)" for name, regex in PATTERNS.items()
+    ]
+    return "SELECT * FROM (WITH lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM kept)) " + " UNION ALL ".join(parts) + ")"
+
+
+@query("list_matches", ("kept",), _matches_sql())
+def _(x):
+    exempt = x.table("labels").where("toxic = 1").select("doc_id")
+    return T.list_matches(x.table("documents"), "doc_id", "text", PATTERNS, exempt)

@@ -9,6 +9,8 @@ from jostle.catalog.neighborhood import rounded
 from jostle.catalog.registry import query
 from jostle.operators import inference as I
 from jostle.operators import replicas as P
+from jostle.plans.joins import attach
+from jostle.plans.ordering import running
 from jostle.plans.staging import stage
 
 REPS, SEED = 20_000, 701
@@ -70,6 +72,32 @@ def _(x):
     return P.replica_consistency(outcomes(x), falsified, "replica")
 
 
+CHECKS = ["prediction_disagrees_with_scores", "repeated_source", "missing_source", "panel_source_missing", "panel_prediction_differs", "panel_label_differs"]
+
+
+@query(
+    "validation_consistency", ("sources", "outcomes"),
+    f"""SELECT * FROM (WITH n AS (SELECT source_id, row_number() OVER (ORDER BY source_id) - 1 AS place FROM sources),
+        p AS (SELECT replica, o.source_id, place FROM outcomes o JOIN n USING (source_id))
+      SELECT replica, unnest({CHECKS}) AS "check", unnest([count(*) FILTER (place % 20 = 3 AND place % 9 <> 4), count(*) FILTER (place % 15 = 2 AND place % 9 <> 4), count(*) FILTER (place % 9 = 4 AND place < last), count(*) FILTER (place % 9 = 4),
+        count(*) FILTER (place % 20 = 3 AND place % 9 <> 4), CASE WHEN replica = 'B' THEN count(*) FILTER (place % 11 = 5 AND place % 9 <> 4) ELSE 0 END]) AS violations
+      FROM (SELECT *, max(place) FILTER (place % 9 <> 4) OVER () AS last FROM p) GROUP BY replica)""",
+)
+def _(x):
+    """Validation runs numbered like the panel; some sources are missing, repeated, or stored with a wrong prediction or label."""
+    place = running(x.sources.select("source_id"), [], [F.col("source_id").asc()], out="place").withColumn("place", F.col("place") - 1)
+    place = stage(place, "places")
+    at = lambda k, r: F.pmod(F.col("place"), F.lit(k)) == r
+    runs = x.sources.withColumn("replica", F.lit("A")).unionByName(x.sources_b.withColumn("replica", F.lit("B")), allowMissingColumns=True)
+    kept = attach(runs.select("replica", "source_id", "scores", F.col("clean_prediction").alias("prediction"), "label"), place, ["source_id"]).where(~at(9, 4))
+    wrong = kept.select(
+        "replica", F.col("place").alias("source_id"), "scores", F.when(at(20, 3), F.pmod(F.col("prediction") + 1, F.lit(X.CLASSES))).otherwise(F.col("prediction")).alias("prediction"),
+        F.when(at(11, 5) & (F.col("replica") == "B"), F.col("label") + 1).otherwise(F.col("label")).alias("label"), F.explode(F.when(at(15, 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    panel = attach(outcomes(x), place, ["source_id"]).drop("source_id").withColumnRenamed("place", "source_id")
+    return P.validation_consistency(panel, wrong.drop("copy"), "replica")
+
+
 @query(
     "replica_table", ("outcomes",),
     f"""SELECT replica, count(*) AS sources, CAST(sum(candidates) AS BIGINT) AS neighbors, {', '.join(f'CAST(sum("{o}") AS BIGINT) AS "{o}"' for o in P.OUTCOMES)},

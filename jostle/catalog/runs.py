@@ -12,7 +12,7 @@ from jostle.operators import events as E
 from jostle.operators import moves as M
 from jostle.operators import runs as R
 from jostle.operators import scoring as SC
-from jostle.operators.census import classification_metrics
+from jostle.operators.census import class_report, classification_metrics
 from jostle.operators.intervals import interval_join
 from jostle.plans.joins import attach
 from jostle.plans.ordering import running
@@ -154,6 +154,33 @@ def _(x):
     )
 
 
+NATIVE_SQL = "list_transform(v, lambda q, i: q + ((source_id + i - 1) % 4) / 2e0)"
+
+
+def _padding_sql() -> str:
+    prefix = ", ".join(f"coalesce(sum(p[{c + 1}]) FILTER (t < horizon), 0e0)" for c in range(K))
+    extra = ", ".join(f"coalesce(sum(p[{c + 1}]) FILTER (t >= horizon), 0e0)" for c in range(K))
+    full = ", ".join(f"sum(p[{c + 1}])" for c in range(K))
+    return f"""SELECT count(*) AS sources, count(*) FILTER (source_id % 13 = 0) AS incomplete, count(*) FILTER (rn <> rf) AS recorded_changes, count(*) FILTER (rn = rf AND padded_horizon > horizon) AS unchanged_with_padding,
+        count(*) FILTER (own <> f) AS padding_label_changes, count(*) FILTER (own <> p) AS prefix_only_differs, count(*) FILTER (own <> f AND own = p) AS restored_without_extra, count(*) FILTER (own <> wx) AS native_plus_extra_changes,
+        count(*) FILTER (own IS DISTINCT FROM rn) AS native_disagreements, count(*) FILTER (f IS DISTINCT FROM rf) AS padded_disagreements
+      FROM (SELECT *, CASE WHEN source_id % 13 <> 0 THEN (own + CASE WHEN source_id % 17 = 0 THEN 1 ELSE 0 END) % {K} END AS rn, CASE WHEN source_id % 13 <> 0 THEN f END AS rf FROM (
+        SELECT source_id, horizon, padded_horizon, {X.predict_sql('a')} AS f, {X.predict_sql('v')} AS p, {X.predict_sql('n')} AS own, {X.predict_sql("list_transform(list_zip(n, e), lambda q: q[1] + q[2])")} AS wx FROM (
+          SELECT *, {NATIVE_SQL} AS n FROM (SELECT source_id, horizon, padded_horizon, [{full}] AS a, [{prefix}] AS v, [{extra}] AS e FROM steps GROUP BY 1, 2, 3))))"""
+
+
+@query("padding_summary", ("steps",), _padding_sql())
+def _(x):
+    """Native runs that differ a little from the valid prefix; every thirteenth source has no recorded run."""
+    split = stage(SC.prefix_extra_split(step_logits(x), "z", K), "split")
+    native = split.select("source_id", F.transform("prefix", lambda q, i: q + F.pmod(F.col("source_id") + i, F.lit(4)) / F.lit(2.0)).alias("native_scores"))
+    own = S.predict(F.col("native_scores")).cast("long")
+    recorded = native.join(split.select("source_id", F.col("padded_prediction").alias("padded_recorded")), "source_id").where(F.pmod(F.col("source_id"), F.lit(13)) != 0).select(
+        "source_id", F.pmod(own + F.when(F.pmod(F.col("source_id"), F.lit(17)) == 0, 1).otherwise(0), F.lit(K)).alias("native_recorded"), "padded_recorded"
+    )
+    return SC.padding_summary(split, native, recorded)
+
+
 # ---------------------------------------------------------------- descriptors
 
 
@@ -245,6 +272,17 @@ def _(x):
     return rounded(classification_metrics(R.with_predictions(x.runs), ["condition"], RK)[1])
 
 
+@query(
+    "class_report", ("class_metrics",),
+    f"""SELECT condition, class, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted, coalesce(hits, 0) AS hits, round(coalesce(recall, 0e0), 9) AS recall, round(coalesce(precision, 0e0), 9) AS precision, round(coalesce(f1, 0e0), 9) AS f1
+      FROM (SELECT * FROM (SELECT DISTINCT condition FROM class_metrics), (SELECT unnest(range({RK + 2})) AS class)) LEFT JOIN class_metrics USING (condition, class)""",
+)
+def _(x):
+    """A row for each of two more classes than occur."""
+    per_class = classification_metrics(R.with_predictions(x.runs), ["condition"], RK)[1]
+    return rounded(class_report(per_class, ["condition"], RK + 2))
+
+
 @query("confusion_matrix", ("run_labels",), "SELECT condition, label, prediction, count(*) AS n FROM run_labels GROUP BY ALL")
 def _(x):
     return classification_metrics(R.with_predictions(x.runs), ["condition"], RK)[0]

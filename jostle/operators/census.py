@@ -164,6 +164,16 @@ def classification_metrics(labelled: DataFrame, keys: list[str], classes: int) -
     return confusion, per_class, overall
 
 
+def class_report(per_class: DataFrame, keys: list[str], classes: int) -> DataFrame:
+    """A3, dense: a row for every class of every key; a class that is neither labelled nor predicted has zeros.
+
+    Works on the aggregated classes: ``classes`` rows a key.
+    """
+    every = per_class.select(*keys).distinct().withColumn("class", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(classes - 1).cast("long"))))
+    values = [c for c in per_class.columns if c not in (*keys, "class")]
+    return every.join(per_class, [*keys, "class"], "left").fillna(0, values)
+
+
 def class_transition_matrix(moves: DataFrame) -> DataFrame:
     """A4: clean-to-candidate class counts, unique and event-weighted."""
     return moves.groupBy("clean_prediction", "candidate_prediction").agg(
@@ -313,7 +323,8 @@ def concentration(values: DataFrame, value: str, identity: str, **how) -> DataFr
     The rank in the Gini sum is the position in (value, id) order.
     """
     v = F.col(value)
-    ranked = running(values.select(identity, v.cast("long").alias("v")), [], [F.col("v").asc(), F.col(identity).asc()], out="rank", **how)
+    kind = "long" if dict(values.dtypes)[value] in ("tinyint", "smallint", "int", "bigint", "boolean") else "double"
+    ranked = running(values.select(identity, v.cast(kind).alias("v")), [], [F.col("v").asc(), F.col(identity).asc()], out="rank", **how)
     row = ranked.agg(
         F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"),
         F.sum(F.col("rank").cast("double") * F.col("v")).alias("ranked"),

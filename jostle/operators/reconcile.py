@@ -73,6 +73,20 @@ def _mismatch(limit: Column) -> Column:
     )
 
 
+def tolerant_differences(
+    actual: DataFrame, expected: DataFrame, loose_pattern: str, loose: float = 1e-6, strict: float = 1e-12
+) -> DataFrame:
+    """R2, rows: (path, computed, recorded, absolute_difference, absolute_tolerance, reason) for every leaf that is not the same.
+
+    ``reason`` is NULL for a difference within the tolerance of its path.
+    """
+    limit = F.when(F.col("path").rlike(loose_pattern), F.lit(loose)).otherwise(F.lit(strict))
+    judged = _meet(actual, expected).withColumns({"reason": _mismatch(limit), "absolute_tolerance": limit})
+    return judged.where(F.col("reason").isNotNull() | (F.col("difference") > 0)).select(
+        "path", F.col("a.text").alias("computed"), F.col("e.text").alias("recorded"), F.col("difference").alias("absolute_difference"), "absolute_tolerance", "reason"
+    )
+
+
 def compare_tolerant(
     actual: DataFrame, expected: DataFrame, loose_pattern: str, loose: float = 1e-6, strict: float = 1e-12
 ) -> DataFrame:

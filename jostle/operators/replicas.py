@@ -78,6 +78,33 @@ def replica_consistency(outcomes: DataFrame, paired: DataFrame, replica: str, va
     return row.select(F.explode(out).alias("l")).select("l.*")
 
 
+def validation_consistency(outcomes: DataFrame, validation: DataFrame, replica: str) -> DataFrame:
+    """R8, validation: violations of what ties a panel to the full validation runs of its replicas, as (replica, check, violations).
+
+    ``validation`` are (``replica``, source_id, scores, prediction, label) of all validation sources. Their ids are 0 to n - 1, each once; a stored
+    prediction is the first largest score; every panel source is among them with the panel's prediction and label.
+    """
+    stored = validation.select(replica, "source_id", F.col("prediction").alias("v_prediction"), F.col("label").alias("v_label"))
+    broken = lambda rule: F.count_if(F.coalesce(rule, F.lit(True)))
+    whole = validation.groupBy(replica, "source_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(S.predict(F.col("scores")) != F.col("prediction"), F.lit(True))).alias("off")
+    ).groupBy(replica).agg(
+        F.count_if("off").alias("prediction_disagrees_with_scores"), F.count_if(F.col("n") > 1).alias("repeated_source"),
+        (F.max("source_id") + 1 - F.count(F.lit(1))).cast("long").alias("missing_source"),
+    )
+    # Repeated sources are counted above; one row each meets the panel.
+    once = stored.groupBy(replica, "source_id").agg(F.min("v_prediction").alias("v_prediction"), F.min("v_label").alias("v_label"), F.lit(True).alias("there"))
+    panel = outcomes.select(replica, "source_id", "clean_prediction", "label").join(once, [replica, "source_id"], "left")
+    there = F.col("there").isNotNull()
+    tied = panel.groupBy(replica).agg(
+        F.count_if(~there).alias("panel_source_missing"), broken(there & (F.col("v_prediction") != F.col("clean_prediction"))).alias("panel_prediction_differs"),
+        broken(there & (F.col("v_label") != F.col("label"))).alias("panel_label_differs"),
+    )
+    names = ["prediction_disagrees_with_scores", "repeated_source", "missing_source", "panel_source_missing", "panel_prediction_differs", "panel_label_differs"]
+    lines = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("violations")) for n in names])
+    return whole.join(tied, replica, "full_outer").select(replica, F.explode(lines).alias("l")).select(replica, "l.*")
+
+
 def replica_table(outcomes: DataFrame, replica: str) -> DataFrame:
     """Per replica the level totals, the split of T1, and correct, robust and vulnerable sources."""
     correct = F.col("clean_correct")

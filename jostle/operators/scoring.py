@@ -218,6 +218,30 @@ def prefix_extra_split(logits: DataFrame, column: str, classes: int) -> DataFram
     )
 
 
+def padding_summary(split: DataFrame, native: DataFrame, recorded: DataFrame) -> DataFrame:
+    """D7, summary: one row on how padding changes labels and whether the added bins alone explain it.
+
+    ``split`` is :func:`prefix_extra_split`, ``native`` (source_id, native_scores) the run without padding, ``recorded`` (source_id,
+    native_recorded, padded_recorded) the predictions of an earlier run. Sources are those of ``split``; one without a native or recorded row is
+    counted as ``incomplete`` and as a disagreement with what was recorded, but as no change.
+    """
+    key = "source_id"
+    joined = split.join(native.select(key, "native_scores"), key, "left").join(recorded.select(key, "native_recorded", "padded_recorded"), key, "left")
+    label = lambda scores: S.predict(scores).cast("long")
+    named = joined.withColumns({
+        "own": label(F.col("native_scores")), "with_extra": label(F.zip_with("native_scores", "extra", lambda a, b: a + b)),
+        "recorded_change": F.col("native_recorded") != F.col("padded_recorded"),
+    })
+    own, full, prefix = F.col("own"), F.col("padded_prediction"), F.col("prefix_prediction")
+    return named.agg(
+        F.count(F.lit(1)).alias("sources"), F.count_if(own.isNull() | F.col("recorded_change").isNull()).alias("incomplete"),
+        F.count_if("recorded_change").alias("recorded_changes"), F.count_if(~F.col("recorded_change") & (F.col("padded_horizon") > F.col("horizon"))).alias("unchanged_with_padding"),
+        F.count_if(own != full).alias("padding_label_changes"), F.count_if(own != prefix).alias("prefix_only_differs"),
+        F.count_if((own != full) & (own == prefix)).alias("restored_without_extra"), F.count_if(own != F.col("with_extra")).alias("native_plus_extra_changes"),
+        F.count_if(~own.eqNullSafe(F.col("native_recorded"))).alias("native_disagreements"), F.count_if(~full.eqNullSafe(F.col("padded_recorded"))).alias("padded_disagreements"),
+    )
+
+
 def stencil(gradients: DataFrame) -> DataFrame:
     """(source_id, t, f, before, here, after): each gradient cell beside those of the bins next to it, NULL where there is none.
 

@@ -20,10 +20,12 @@ def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Status of every path in either table: ok, modified, missing or unexpected. A digest in the
     manifest that is not 64 hex digits fails the job."""
     digest = F.when(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.col("sha256")).otherwise(F.raise_error(F.lit("invalid digest in manifest")))
-    joined = files.withColumnRenamed("sha256", "found").join(manifest.select("path", digest.alias("listed")), "path", "full_outer")
+    found = files.select("path", F.col("sha256").alias("found"), F.lit(True).alias("there"))
+    joined = found.join(manifest.select("path", digest.alias("listed"), F.lit(True).alias("known")), "path", "full_outer")
+    # A file whose digest is NULL is there; it just does not match.
     status = (
-        F.when(F.col("found").isNull(), "missing").when(F.col("listed").isNull(), "unexpected")
-        .when(F.col("found") != F.col("listed"), "modified").otherwise("ok")
+        F.when(F.col("there").isNull(), "missing").when(F.col("known").isNull(), "unexpected")
+        .when(F.col("found").eqNullSafe(F.col("listed")), "ok").otherwise("modified")
     )
     return joined.select("path", status.alias("status"))
 

@@ -35,10 +35,7 @@ def test_flagship(spark):
     assert got["class_preserved"] == (10477, 11766) and got["adverse"] == (177, 191) and got["lateral"] == (0, 0)
 
 
-@pytest.mark.parametrize("name", [
-    "bin_events", "enumerate_moves", "source_geometry", "distribution_by_outcome", "contrast_family", "policy_sweep", "search_table",
-    "rank_agreement", "paired_stratified_bootstrap", "condition_contrasts", "invariant_suite", "unpack_ragged", "within_label_permutation",
-])
+@pytest.mark.parametrize("name", sorted(load().QUERIES))
 def test_query_equals_sql(spark, con, name):
     df = queries()[name](spark, DATA)
     columns = sorted(df.columns)
