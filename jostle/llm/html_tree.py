@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,7 +56,9 @@ NOT_MAIN = frozenset("nav aside form footer button select dialog menu".split())
 PAIR_KINDS = {name: k + 1 for k, name in enumerate("p h1 h2 h3 h4 li ul ol div section article main blockquote td tr table header footer nav aside form".split())}
 
 _TOKEN = re.compile(
-    r"""<!--(?s:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)"""
+    # A comment may end at once (<!-->, <!--->). In a tag only a value after "=" may be quoted, so that other quotes hide nothing.
+    r"""<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'=][^\s>]*+)|=)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)"""
 )
 _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in SKIPPED}
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -78,6 +81,7 @@ def parse(source: str) -> Page:
     page = Page(["#page"], [-1], [""], [], [0])
     open_: list[tuple[str, int]] = [("#page", 0)]  # all open elements with the block that holds their text
     pieces: list[str] = []
+    counts: dict[str, int] = defaultdict(int)  # open elements by name, so that an end without a beginning costs nothing
     links, at, size = 0, 0, len(source)
 
     def flush() -> None:
@@ -91,7 +95,9 @@ def parse(source: str) -> Page:
         nonlocal links
         if any(block != open_[depth - 1][1] for _, block in open_[depth:]):
             flush()
-        links -= sum(name == "a" for name, _ in open_[depth:])
+        for name, _ in open_[depth:]:
+            links -= name == "a"
+            counts[name] -= 1
         del open_[depth:]
 
     while at < size:
@@ -109,19 +115,19 @@ def parse(source: str) -> Page:
             at = start + 1
             continue
         at = m.end()
-        name = m[2] or m[5]
+        name = m[2]
         if name is None:
             continue
         name = name.lower()
-        if m[1] or m[4]:
-            for depth in range(len(open_) - 1, 0, -1):
+        if m[1]:
+            for depth in range(len(open_) - 1 if counts[name] else 0, 0, -1):
                 if open_[depth][0] == name:
                     leave(depth)
                     break
             continue
         if name in SKIPPED:
             if name not in INLINE:
-                if name in FOREIGN and (m[3] if m[2] else m[6]).endswith("/"):
+                if name in FOREIGN and m[3].endswith("/"):
                     continue
                 end = _END[name].search(source, at)
                 if end is not None:
@@ -130,7 +136,7 @@ def parse(source: str) -> Page:
                     at = size
             continue
         if name in CLOSES_P:
-            for depth in range(len(open_) - 1, 0, -1):
+            for depth in range(len(open_) - 1 if counts["p"] else 0, 0, -1):
                 if open_[depth][0] == "p":
                     leave(depth)
                     break
@@ -138,7 +144,7 @@ def parse(source: str) -> Page:
                     break
         elif name in ENDS:
             ended, until = ENDS[name]
-            for depth in range(len(open_) - 1, 0, -1):
+            for depth in range(len(open_) - 1 if any(counts[e] for e in ended) else 0, 0, -1):
                 if open_[depth][0] in ended:
                     leave(depth)
                     break
@@ -155,10 +161,11 @@ def parse(source: str) -> Page:
             flush()
             page.tags.append(name)
             page.parents.append(block)
-            page.attributes.append(m[3] if m[2] else m[6])
+            page.attributes.append(m[3])
             page.linked.append(0)
             block = len(page.tags) - 1
         links += name == "a"
+        counts[name] += 1
         open_.append((name, block))
     flush()
     return page

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jostle.plans.joins import BROADCAST_BYTES, measured_bytes
 from jostle.plans.staging import stage
 
 NEIGHBOURS = 10
@@ -138,17 +139,17 @@ def nearest_rows(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
 def _needed(index: DataFrame, queries: DataFrame, books, counts: np.ndarray, k: int, recall: float) -> int:
     """Candidates that the sampled queries need for ``recall``, by the cells of their true neighbours."""
     sample = queries.orderBy(F.xxhash64("row", F.lit(3))).limit(SAMPLE_QUERIES).select("row", "id", "v").collect()
-    asked = [(r["row"], r["id"], np.array(r["v"], float)) for r in sample]
+    asked = [(r["row"], np.array(r["v"], float)) for r in sample]
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list] = {row: [] for row, _, _ in asked}
+        best: dict[int, list] = {row: [] for row, _ in asked}
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            for row, own, vector in asked:
-                other = np.nonzero(ids != own)[0]
+            a, b, rows_ = (batch.column(c).to_numpy() for c in ("a", "b", "row"))
+            for row, vector in asked:
+                other = np.nonzero(rows_ != row)[0]
                 at, distance = nearest_rows(vector, vectors[other], ids[other], k)
                 at = other[at]
                 merged = best[row] + list(zip(distance.tolist(), ids[at].tolist(), a[at].tolist(), b[at].tolist(), strict=True))
@@ -158,13 +159,13 @@ def _needed(index: DataFrame, queries: DataFrame, books, counts: np.ndarray, k:
         kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row", "d", "id", "a", "b"])
 
-    near = index.select("id", "v", "a", "b").mapInArrow(scanned, "row long, d double, id long, a int, b int")
+    near = index.select("row", "id", "v", "a", "b").mapInArrow(scanned, "row long, d double, id long, a int, b int")
     place = F.row_number().over(Window.partitionBy("row").orderBy("d", "id"))
     true: dict[int, list] = {}
     for r in near.withColumn("n", place).where(F.col("n") <= k).collect():  # k rows for each sampled query
         true.setdefault(r["row"], []).append((r["a"], r["b"]))
     costs = []
-    for row, _, vector in asked:
+    for row, vector in asked:
         wanted = true.get(row, [])
         seen = {(a, b): total for a, b, total in visit(vector, books, counts)}
         costs += [seen[c] for c in wanted]
@@ -177,8 +178,8 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the nearest found rows of each row for which ``queries`` holds.
 
-    ``score`` is the Euclidean distance of the original vectors; ties go to the smaller id. Rows with
-    the query's id are not its candidates. Rows without an id, and unusable vectors (null, zero, a component
+    ``score`` is the Euclidean distance of the original vectors; ties go to the smaller id. A row is not its
+    own candidate, but another row with its id is. Rows without an id, and unusable vectors (null, zero, a component
     null or not finite), take no part; neither do vectors of another than the commonest length. A repeated
     query row is answered once for each row.
     """
@@ -224,19 +225,21 @@ def search(
     blocks = max(1, -(-asked // CHUNK_QUERIES))
     probes = asking.repartition(max(1, min(asked, index.sparkSession.sparkContext.defaultParallelism * 2)), "row")
     probes = probes.mapInArrow(visited, "row long, id long, v array<double>, a int, bs array<int>, chunk int")
-    probes = probes.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    probes = stage(probes.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")), "probes")
     many = F.get(F.array(*[F.lit(int(c)) for c in chunks]), F.col("a"))
-    dealt = index.select("id", "v", "a", "b", F.pmod(F.xxhash64("row"), many).cast("int").alias("chunk"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A vector goes to the blocks in which some query visits its cell, and to no others.
+    pairs = stage(probes.where("chunk = 0").select("a", F.explode("bs").alias("b"), "block").distinct(), "pairs")
+    dealt = index.select("row", "id", "v", "a", "b", F.pmod(F.xxhash64("row"), many).cast("int").alias("chunk"))
+    dealt = dealt.join(F.broadcast(pairs) if measured_bytes(pairs) <= BROADCAST_BYTES else pairs, ["a", "b"])
 
     def reranked(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if left.num_rows and right.num_rows:
-            vectors_, ids, seconds = _matrix(right.column("v")), right.column("id").to_numpy(), right.column("b").to_numpy()
+            vectors_, ids, seconds, rows_ = _matrix(right.column("v")), *(right.column(c).to_numpy() for c in ("id", "b", "row"))
             order = np.argsort(seconds, kind="stable")
-            vectors_, ids, seconds = vectors_[order], ids[order], seconds[order]
+            vectors_, ids, seconds, rows_ = vectors_[order], ids[order], seconds[order], rows_[order]
             for row, own_id, values, bs in zip(*(left.column(n).to_pylist() for n in ("row", "id", "v", "bs")), strict=True):
-                at = np.nonzero(np.isin(seconds, bs) & (ids != own_id))[0]
+                at = np.nonzero(np.isin(seconds, bs) & (rows_ != row))[0]
                 near, distance = nearest_rows(np.array(values, float), vectors_[at], ids[at], neighbours)
                 found += [(row, own_id, int(i), float(d)) for i, d in zip(ids[at[near]], distance, strict=True)]
         columns = list(zip(*found, strict=True)) if found else [()] * 4
