@@ -1,7 +1,7 @@
 """Audit inputs derived from the given tables, for Spark and as SQL common table expressions.
 
 Sources are suppliers, events their line items (unit = line number, time = ship date, weekly bins),
-the scorer is an exact integer one with five classes, and runs are slices of the embedding vectors.
+the scorer is an exact integer one with five classes, and runs are sums over the embedding vectors.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ CLASSES = 5
 LABEL_SEED = 17
 RUN_CLASSES = 10
 CONDITIONS = 5
+#: Values of a vector beyond those that the conditions take turns with; every condition adds them.
+REST = range(RUN_CLASSES * CONDITIONS, 64)
 STAGES = 7
 METRICS = 6
 
@@ -137,6 +139,7 @@ class Fixture:
                 F.get(e, F.lit(i)).cast("double")
                 + F.when(F.col("label") == i, 0.25).otherwise(0.0)
                 + (F.lit(0.125) if k else F.lit(0.0)) * F.get(e, F.lit(i + 10 * k)).cast("double")
+                + sum((F.lit(0.0625) * F.get(e, F.lit(j)).cast("double") for j in REST if j % RUN_CLASSES == i), F.lit(0.0))
                 for i in range(RUN_CLASSES)
             ]
             conditions.append(F.struct(F.lit(k).alias("condition"), F.array(*values).alias("scores")))
@@ -288,7 +291,8 @@ def _runs_select() -> str:
     for k in range(CONDITIONS):
         items = ", ".join(
             f"CAST(embedding[{i + 1}] AS DOUBLE) + (CASE WHEN label = {i} THEN 0.25e0 ELSE 0e0 END) + "
-            f"{'0.125e0' if k else '0e0'} * CAST(embedding[{i + 10 * k + 1}] AS DOUBLE)"
+            f"{'0.125e0' if k else '0e0'} * CAST(embedding[{i + 10 * k + 1}] AS DOUBLE) + "
+            + "(" + " + ".join(["0e0", *[f"0.0625e0 * CAST(embedding[{j + 1}] AS DOUBLE)" for j in REST if j % RUN_CLASSES == i]]) + ")"
             for i in range(RUN_CLASSES)
         )
         parts.append(
