@@ -3,7 +3,7 @@
 Level 1 holds the listed keys, level 2 the keys of the universe that level 1 takes wrongly, level 3 the listed
 keys that level 2 takes wrongly, and so on until no key is taken wrongly. The first level that does not
 take a key decides, and for every key of the universe the answer is exact. The filters are binary
-literals, so a URL is judged on its row: no join, no shuffle.
+literals, one for each level, so a URL is judged on its row: no join, no shuffle. The list is a table of any size.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from jostle.llm.common import free_name
 from jostle.plans.staging import stage
 
-#: A larger cascade is refused: it would be too much for each task. A list of 100 million keys fits.
-MOST_BYTES = 256 << 20
+#: A level of more bytes is refused, as every task gets it with its plan. A level takes 1.44 bits a key for each halving of its rate:
+#: about 100 million keys beside ten times as many others fit.
+MOST_BYTES = 64 << 20
 #: Fixed value: at this rate of wrong answers a filter and the next one together are smallest.
 LATER_RATE = 0.5
 
 BLOCK, ALLOW = "block", "allow"
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -34,11 +36,13 @@ class Level:
     seed: int
 
     def takes(self, key: Column) -> Column:
-        taken = F.lit(True)
-        for place in places(key, self.size, self.hashes, self.seed):
-            byte = F.conv(F.hex(F.substr(F.lit(bytearray(self.bits)), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10)
-            taken = taken & (F.getbit(byte.cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1)
-        return taken
+        bits = F.lit(bytearray(self.bits))  # one literal, whatever the number of hashes
+
+        def is_set(place: Column) -> Column:
+            byte = F.conv(F.hex(F.substr(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10)
+            return F.getbit(byte.cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1
+
+        return F.forall(F.array(*places(key, self.size, self.hashes, self.seed)), is_set)
 
 
 def places(key: Column, size: int, hashes: int, seed: int) -> list[Column]:
@@ -96,12 +100,11 @@ def build(universe: DataFrame, listed: DataFrame, most_bytes: int = MOST_BYTES)
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (ASCII capitals lower-cased) and path of a URL; both empty for null or without ``://``."""
-    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     at = F.coalesce(F.instr(url, "://"), F.lit(0))
     rest = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
     raw = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(F.substr(rest, F.length(raw) + 1), r"^[^?#]*", 0)
-    return F.translate(raw, capitals, small), path
+    return F.translate(raw, CAPITALS, SMALL), path
 
 
 def candidates(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
@@ -111,7 +114,7 @@ def candidates(host: Column, path: Column, labels: Sequence[int], lengths: Seque
     the counts and lengths that rules have; so their number does not grow with host or path.
     """
     parts = F.split(host, r"\.")
-    keys = []
+    keys = [F.lit(None).cast("string")]
     for n in labels:
         suffix = F.when(F.size(parts) >= n, F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
         for length in lengths:
@@ -123,11 +126,11 @@ def candidates(host: Column, path: Column, labels: Sequence[int], lengths: Seque
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "url", otherwise: str = ALLOW, most_bytes: int = MOST_BYTES,
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, url: str = "url", otherwise: str = ALLOW, most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """``pages`` with host, path, rule and verdict (appended in this order).
 
-    ``rules``: (action, host, path). A rule fits its host and all subdomains if the path starts with its path;
+    ``rules``: (action, host, path), as a sequence or a table with these columns. A rule fits its host and all subdomains if the path starts with its path;
     the longest decides, ties going to the smaller one. Block and allow rules each have a cascade over all keys of
     the corpus. A URL that no listed key fits gets ``otherwise``: the cascades prove it unlisted. Null urls,
     empty tables and repeated rows need no care: each row is judged on its own. If ``pages`` has columns
@@ -135,18 +138,18 @@ def judge_urls(
     """
     spark = pages.sparkSession
     own = {n: free_name(pages, n) for n in ("host", "path", "rule", "verdict", "keys")}
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([tuple(r) for r in rules], "action string, host string, path string")
+    small = F.translate("host", CAPITALS, SMALL)
+    rules = stage(rules.select("action", F.concat(small, "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length")), "rules")
+    # Few numbers: how many labels hosts of rules have, and how long their paths are.
+    distinct = lambda c: sorted((r[0] for r in rules.where(F.col(c).isNotNull()).select(c).distinct().collect()), reverse=True)
     host, path = host_and_path(F.col(url))
     split = pages.withColumns({own["host"]: host, own["path"]: path})
-    labels = sorted({h.count(".") + 1 for _, h, _ in rules}, reverse=True)
-    lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
-    split = split.withColumn(own["keys"], candidates(F.col(own["host"]), F.col(own["path"]), labels, lengths))
+    split = split.withColumn(own["keys"], candidates(F.col(own["host"]), F.col(own["path"]), distinct("labels"), distinct("length")))
     universe = stage(split.select(F.explode(own["keys"]).alias("key")).distinct(), "keys")
-    cascades = {}
-    for action in (BLOCK, ALLOW):
-        listed = [(h.lower() + p,) for a, h, p in rules if a == action]
-        cascades[action] = build(universe, spark.createDataFrame(listed, "key string"), most_bytes)
-    fitting = F.filter(own["keys"], lambda k: cascades[BLOCK].listed(k) | cascades[ALLOW].listed(k))
-    judged = split.withColumn(own["rule"], F.get(fitting, F.lit(0)))
-    rule = F.col(own["rule"])
-    verdict = F.when(rule.isNull(), F.lit(otherwise)).when(cascades[BLOCK].listed(rule), BLOCK).otherwise(ALLOW)
-    return judged.withColumn(own["verdict"], verdict).drop(own["keys"])
+    cascades = {action: build(universe, rules.where(F.col("action") == action).select("key"), most_bytes) for action in (BLOCK, ALLOW)}
+    # Each key is asked once; the first one that a rule has decides.
+    told = F.transform(own["keys"], lambda k: F.struct(k.alias("key"), F.when(cascades[BLOCK].listed(k), BLOCK).when(cascades[ALLOW].listed(k), ALLOW).alias("action")))
+    judged = split.withColumn(own["rule"], F.get(F.filter(told, lambda t: t["action"].isNotNull()), F.lit(0)))
+    return judged.withColumn(own["verdict"], F.coalesce(F.col(own["rule"])["action"], F.lit(otherwise))).withColumn(own["rule"], F.col(own["rule"])["key"]).drop(own["keys"])
