@@ -94,6 +94,11 @@ class Fixture:
         """Candidates with the score arrays of neighbor and source."""
         return SC.score_moves(self.cells, self.sources, SCORER)
 
+    @cached_property
+    def kept_scores(self) -> DataFrame:
+        """:attr:`scored` staged, for queries that read it several times."""
+        return stage(self.scored, "scored")
+
     @property
     def paired_moves(self) -> DataFrame:
         """Candidates with the prediction of the other move of their cell."""

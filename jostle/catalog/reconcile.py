@@ -192,19 +192,19 @@ def _points_sql() -> str:
 @query("compare_outputs", ("moves",), _points_sql())
 def _(x):
     """Fresh against stored outputs on all grains; traces, replacements and controls are off or absent for some candidates."""
-    patches = x.patches(x.scored)
+    patches = x.patches(x.kept_scores)
     stored_there = mod("cand", 90) != 13
     raised = lambda column, at, amount: F.transform(column, lambda v, i: v + F.when((i == 0) & at, amount).otherwise(0))
     fresh_patches = patches.where(mod("cand", 60) != 11).withColumn("patch_scores", raised("patch_scores", (F.col("stage") == 3) & (mod("cand", 70) == 5), 2))
-    fresh = R.output_cells(R.candidate_descriptors(x.scored), x.traces(x.moves), fresh_patches, controls=(0, 3, 6))
-    traces = x.traces(x.moves).where(stored_there & ((mod("cand", 80) != 9) | (F.col("stage") != 6) | (F.col("metric") != 0)))
+    fresh = R.output_cells(R.candidate_descriptors(x.kept_scores), x.traces(x.kept_scores.drop("scores", "clean_scores")), fresh_patches, controls=(0, 3, 6))
+    traces = x.traces(x.kept_scores.drop("scores", "clean_scores")).where(stored_there & ((mod("cand", 80) != 9) | (F.col("stage") != 6) | (F.col("metric") != 0)))
     fault = (mod("cand", 50) == 3) & (F.col("stage") == 2) & (F.col("metric") == 1)
     traces = traces.withColumn("value", F.col("value") + F.when(fault, 0.01).otherwise(0.0))
     kept = patches.where(stored_there).withColumns({
         "patch_scores": raised("patch_scores", (F.col("stage") == 1) & (mod("cand", 40) == 7), 1),
         "patch_prediction": F.col("patch_prediction") + F.when((F.col("stage") == 5) & (mod("cand", 30) == 4), 1).otherwise(0),
     })
-    stored = R.output_cells(R.candidate_descriptors(x.scored).where(stored_there), traces, kept)
+    stored = R.output_cells(R.candidate_descriptors(x.kept_scores).where(stored_there), traces, kept)
     judged = R.compare_outputs(fresh, stored, 1e-4, 1e-6)
     worst = [F.round(F.max(c), 6).alias(c) for c in ("max_score_difference", "max_trace_difference", "max_patch_difference", "max_control_difference")]
     return judged.groupBy("failed").agg(F.count(F.lit(1)).alias("candidates"), *worst)
@@ -286,13 +286,13 @@ CHECKS = (
 )
 def _(x):
     """The whole suite on a census with three planted faults."""
-    moves = x.scored.withColumn("multiplicity", F.when(mod("cand", 500) == 9, 0).otherwise(F.col("multiplicity")))
+    moves = x.kept_scores.withColumn("multiplicity", F.when(mod("cand", 500) == 9, 0).otherwise(F.col("multiplicity")))
     sources = x.sources.withColumn("input_count", F.col("input_count") + F.when(mod("source_id", 25) == 0, 1).otherwise(0))
-    patches = x.patches(x.scored)
+    patches = x.patches(x.kept_scores)
     fault = (F.col("stage") == 1) & (mod("cand", 20) == 0)
     patches = patches.withColumn("patch_prediction", F.when(fault, F.pmod(F.col("patch_prediction") + 1, F.lit(X.CLASSES))).otherwise(F.col("patch_prediction")))
     return R.census_invariants(
-        moves, x.cells, sources, x.traces(x.moves), patches, X.CLASSES, X.WIDTH, X.STAGES, X.METRICS, (0, 3, 6)
+        moves, x.cells, sources, x.traces(x.kept_scores.drop("scores", "clean_scores")), patches, X.CLASSES, X.WIDTH, X.STAGES, X.METRICS, (0, 3, 6)
     )
 
 

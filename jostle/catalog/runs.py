@@ -291,6 +291,7 @@ def _(x):
 # ---------------------------------------------------------------- contrasts
 
 
+# The pairs of conditions that are compared.
 PAIRS = [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (2, 4), (1, 4), (0, 2), (4, 0)]
 X.define(
     "paired_runs", ("run_labels",),
