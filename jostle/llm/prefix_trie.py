@@ -129,7 +129,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     steps = paths(turns)
     root = F.struct(F.lit(ROOT[0]).cast("long").alias("p"), F.lit(ROOT[1]).cast("long").alias("q"))
     inner = steps.groupBy("node").agg(
-        F.min("conv").alias("conv_id"), F.min("depth").cast("long").alias("depth"), F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n_convs"), F.max("words").cast("long").alias("words")
+        F.min("conv").alias("conv_id"), F.min("depth").cast("long").alias("depth"), F.struct(F.min("parent.p").alias("p"), F.min("parent.q").alias("q")).alias("parent"), F.count(F.lit(1)).alias("n_convs"), F.max("words").cast("long").alias("words")
     )
     top = convs.agg(F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0").select(
         root.alias("node"), "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("struct<p:bigint,q:bigint>").alias("parent"), "n_convs", F.lit(0).cast("long").alias("words")
@@ -138,7 +138,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     counts = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = stage(nodes.join(counts, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "nodes")
 
-    last = steps.groupBy("conv").agg(F.max_by("node", "depth").alias("node"))
+    last = steps.groupBy("conv").agg(F.struct(F.max_by("node.p", "depth").alias("p"), F.max_by("node.q", "depth").alias("q")).alias("node"))
     turnless = convs.select("conv").join(last, "conv", "left_anti").withColumn("node", root)
     ends = stage(id_digests(last.unionByName(turnless.select("conv", "node"))), "ends")
 
