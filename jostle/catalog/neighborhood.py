@@ -8,7 +8,6 @@ from jostle.catalog import fixtures as X
 from jostle.catalog.registry import query
 from jostle.functions import outcomes as O
 from jostle.functions import scores as S
-from jostle.functions.rng import draw
 from jostle.operators import census as C
 from jostle.operators import events as E
 from jostle.operators import moves as M

@@ -152,7 +152,7 @@ def _index(values: DataFrame, keys: Sequence[str], identity: str, **how) -> Data
 
 
 # Rows of a stratum that are packed into arrays of one row; larger strata are drawn by joins, with equal results.
-PACK_ROWS = 500_000
+PACK_ROWS = 200_000
 
 
 def _packed(values: DataFrame, groups: Sequence[str], columns: Sequence[str], identity: str, limit: int | None) -> DataFrame | None:
