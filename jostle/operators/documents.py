@@ -2,8 +2,8 @@
 
 A document (structs, arrays and maps of any depth) becomes one row for each of its nodes: its *shape*, which is its path
 with every list position written ``[*]``, the positions, and the value. A path such as ``a.b[3].c[k=v,m=w].d`` is compiled
-by column expressions to a shape with the positions that are fixed, and to one probe for each condition of a selector. So
-any number of paths meet any number of nodes in one join by shape, and nothing is looked up node by node.
+by column expressions to a shape with the positions that are fixed, and to the conditions of its selectors. So any number of
+paths meet any number of nodes in joins by shape, positions and value, and nothing is looked up node by node.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from jostle.operators.reconcile import NUMERIC
 from jostle.plans.ordering import running
-from jostle.plans.staging import staged
+from jostle.plans.staging import stage, staged
 
 NODE = "shape string, positions array<bigint>, kind string, text string, number double"
 
@@ -103,9 +103,47 @@ def compile_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def _follows(fixed: Column, positions: Column) -> Column:
-    """Whether positions agree with the fixed ones; a selector agrees with any."""
-    return F.forall(F.zip_with(fixed, F.slice(positions, 1, F.size(fixed)), lambda f, p: F.coalesce(f == p, F.lit(True))), lambda ok: ok)
+# What a node answers to: a condition asks for its value by equality, booleans without case.
+_ANSWER = {"null": lambda text: F.lit("null"), "boolean": lambda text: F.concat(F.lit("boolean:"), F.lower(text))}
+
+
+def _answer(kind: Column, text: Column) -> Column:
+    """The key under which a node is found by conditions; NULL for objects and lists."""
+    return F.when(kind == "null", _ANSWER["null"](text)).when(kind == "boolean", _ANSWER["boolean"](text)).otherwise(F.concat(F.lit("is:"), text))
+
+
+def _asked_for(want: Column) -> Column:
+    """The keys that satisfy a condition; a node has one of them at most."""
+    keys = F.array(F.concat(F.lit("is:"), want), _ANSWER["boolean"](want), F.when(F.lower(want).isin("null", "none"), _ANSWER["null"](want)))
+    return F.filter(keys, lambda k: k.isNotNull())
+
+
+def _parent(positions: Column) -> Column:
+    return F.slice(positions, F.lit(1), F.size(positions) - 1)
+
+
+def _satisfied(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """(list, parent, tests, at): the items of a list that satisfy all tests of a selector.
+
+    ``asked`` are distinct (list, parent, tests), ``answers`` distinct (shape, positions, key). The items come from the test that
+    fewest of them pass and are held to the others, so a common value costs nothing beside a rare one.
+    """
+    selector = ["list", "parent", "tests"]
+    tests = asked.select(*selector, F.posexplode("tests").alias("test", "t")).select(
+        *selector, "test", F.concat("list", F.lit("."), "t.key").alias("shape"), F.explode(_asked_for(F.col("t.want"))).alias("key")
+    )
+    single, several = tests.where(F.size("tests") == 1), tests.where(F.size("tests") > 1)
+    placed = answers.withColumn("parent", _parent(F.col("positions"))).withColumnRenamed("positions", "at")
+    counts = placed.groupBy("shape", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
+    sizes = several.join(counts, ["shape", "parent", "key"], "left").groupBy(*selector, "test").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    rarest = sizes.groupBy(*selector).agg(F.min(F.struct("n", "test")).alias("r")).select(*selector, F.col("r.test").alias("test"))
+    first = single.unionByName(several.join(rarest, [*selector, "test"], "left_semi"))
+    items = first.join(placed, ["shape", "parent", "key"]).select(*selector, "at").distinct()
+    held = items.where(F.size("tests") > 1).select(*selector, "at", F.posexplode("tests").alias("test", "t")).select(
+        *selector, "at", "test", F.concat("list", F.lit("."), "t.key").alias("shape"), F.explode(_asked_for(F.col("t.want"))).alias("key")
+    )
+    passed = held.join(answers.withColumnRenamed("positions", "at"), ["shape", "at", "key"]).groupBy(*selector, "at").agg(F.count_distinct("test").alias("met"))
+    return items.where(F.size("tests") == 1).unionByName(passed.where(F.col("met") == F.size("tests")).select(*selector, "at"))
 
 
 def resolve_paths(nodes: DataFrame, paths: DataFrame, path: str = "path") -> DataFrame:
@@ -115,48 +153,43 @@ def resolve_paths(nodes: DataFrame, paths: DataFrame, path: str = "path") -> Dat
     with their position. ``MISSING`` is a path that leads nowhere, ``AMBIGUOUS`` one with a selector that several items satisfy (or that
     several documents hold), ``INVALID`` one outside the language; ``matches`` counts the items or values. A selector must single out one
     item before the next one is looked at. Booleans are compared without case, and ``null`` asks for a null.
+
+    Nodes are met by shape, positions and value, never by shape alone: a path costs what it finds, not the length of the list.
     """
     asked = staged(compile_paths(paths, path), "paths")
-    probe = lambda role, level, of, test, shape, fixed, key, want: F.struct(
-        F.lit(role).alias("role"), level.cast("int").alias("level"), of.cast("int").alias("tests"), test.cast("int").alias("test"), shape.alias("shape"),
-        fixed.alias("fixed"), want.cast("string").alias("want"),
-    )
-    none, zero = F.lit(None), F.lit(0)
-    tests = F.flatten(F.transform("selectors", lambda s: F.transform(s["tests"], lambda t, i: probe(
-        "test", s["level"], F.size(s["tests"]), i, F.concat(s["shape"], F.lit("."), t["key"]), F.slice("fixed", F.lit(1), s["level"]), t["key"], t["want"]
-    ))))
-    values = F.array(
-        probe("value", zero, zero, zero, F.col("shape"), F.col("fixed"), none, none),
-        probe("item", zero, zero, zero, F.concat("shape", F.lit("[*]")), F.col("fixed"), none, none),
-    )
-    probes = asked.where("valid").select("path", F.explode(F.concat(tests, values)).alias("p")).select("path", "p.*")
-    hits = nodes.join(probes, "shape").where(_follows(F.col("fixed"), F.col("positions")))
-    same = F.when(F.col("kind") == "null", F.lower("want").isin("null", "none")).when(
-        F.col("kind") == "boolean", F.lower("want") == F.lower("text")
-    ).otherwise(F.col("want") == F.col("text"))
-    kept = staged(hits.where((F.col("role") != "test") | same).select("path", "role", "level", "tests", "test", "positions", "kind", "text", "number"), "hits")
-    matches = kept.where("role = 'test'").groupBy("path", "level", F.slice("positions", F.lit(1), F.col("level")).alias("at")).agg(
-        F.count_distinct("test").alias("met"), F.max("tests").alias("tests")
-    ).where("met = tests").select("path", "level", "at")
+    valid, zero = asked.where("valid"), F.lit(0)
+    tested = F.flatten(F.transform("selectors", lambda s: F.transform(s["tests"], lambda t: F.concat(s["shape"], F.lit("."), t["key"]))))
+    shapes = valid.select(F.explode(F.concat(tested, F.array(F.col("shape"), F.concat("shape", F.lit("[*]"))))).alias("shape")).distinct()
+    held = stage(nodes.join(shapes, "shape", "left_semi"), "nodes")
+    answers = held.select("shape", "positions", _answer(F.col("kind"), F.col("text")).alias("key")).where("key is not null").distinct()
 
     # Selector by selector: the items that satisfy it below what the ones before it singled out.
     chosen = asked.select("path", F.when(F.col("valid"), "FOUND").otherwise("INVALID").alias("status"), zero.cast("long").alias("matches"),
-                          F.array().cast("array<bigint>").alias("prefix"), F.transform("selectors", lambda s: s["level"]).alias("levels"))
+                          F.array().cast("array<bigint>").alias("prefix"), "shape", "fixed", "selectors")
+    # Positions up to bracket ``level``: what was singled out, then the fixed ones behind it.
+    upto = lambda level: F.concat("prefix", F.slice("fixed", F.size("prefix") + 1, F.greatest(level - F.size("prefix"), F.lit(0))))
     deepest = asked.agg(F.max(F.size("selectors"))).first()[0] or 0  # brackets in one path
     for k in range(deepest):
-        level = F.get("levels", F.lit(k))
-        here = chosen.withColumn("level", level)
-        met = here.join(matches, ["path", "level"]).where(F.slice("at", F.lit(1), F.size("prefix")) == F.col("prefix"))
-        found = met.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-        joined = here.join(found, "path", "left")
-        n, open_ = F.coalesce("n", F.lit(0)), (F.col("status") == "FOUND") & F.col("level").isNotNull()
+        selector = F.get("selectors", F.lit(k))
+        here = chosen.withColumns({"list": selector["shape"], "parent": upto(selector["level"] - 1), "tests": selector["tests"]})
+        open_ = (F.col("status") == "FOUND") & F.col("tests").isNotNull()
+        wanted = here.where(open_).select("list", "parent", "tests").distinct()
+        found = _satisfied(wanted, answers).groupBy("list", "parent", "tests").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+        joined = here.join(found, ["list", "parent", "tests"], "left")
+        n = F.coalesce("n", F.lit(0))
         chosen = joined.select(
             "path", F.when(open_ & (n == 0), "MISSING").when(open_ & (n > 1), "AMBIGUOUS").otherwise(F.col("status")).alias("status"),
-            F.when(open_, n).otherwise(F.col("matches")).alias("matches"), F.when(open_ & (n == 1), F.col("at")).otherwise(F.col("prefix")).alias("prefix"), "levels",
+            F.when(open_, n).otherwise(F.col("matches")).alias("matches"), F.when(open_ & (n == 1), F.col("at")).otherwise(F.col("prefix")).alias("prefix"),
+            "shape", "fixed", "selectors",
         )
     chosen = staged(chosen, "chosen")
-    reached = kept.where("role <> 'test'").join(chosen.where("status = 'FOUND'").select("path", "prefix"), "path").where(
-        F.slice("positions", F.lit(1), F.size("prefix")) == F.col("prefix")
+    ends = chosen.where("status = 'FOUND'").select("path", "shape", upto(F.size("fixed")).alias("place"))
+    value = ["kind", "text", "number"]
+    reached = ends.join(held.withColumnRenamed("positions", "place"), ["shape", "place"]).select(
+        "path", F.lit("value").alias("role"), F.lit(None).cast("long").alias("position"), *value
+    ).unionByName(
+        ends.withColumn("shape", F.concat("shape", F.lit("[*]"))).join(held.where("size(positions) > 0").withColumn("place", _parent(F.col("positions"))), ["shape", "place"])
+        .select("path", F.lit("item").alias("role"), F.element_at("positions", -1).alias("position"), *value)
     )
     counts = reached.where("role = 'value'").groupBy("path").agg(F.count(F.lit(1)).alias("values"), F.max("kind").alias("reached_kind"))
     judged = chosen.join(counts, "path", "left").select(
@@ -164,9 +197,7 @@ def resolve_paths(nodes: DataFrame, paths: DataFrame, path: str = "path") -> Dat
         .otherwise(F.col("status")).alias("status"),
         F.when(F.col("status") == "FOUND", F.coalesce("values", F.lit(0))).otherwise(F.col("matches")).alias("matches"), "reached_kind",
     )
-    seen = reached.where("role = 'value'").select("path", F.lit(None).cast("long").alias("position"), "kind", "text", "number").unionByName(
-        reached.where("role = 'item'").select("path", F.element_at("positions", -1).alias("position"), "kind", "text", "number")
-    )
+    seen = reached.select("path", "position", "kind", "text", "number")
     single = judged.where("status = 'FOUND'").join(seen, "path").where("position is null or reached_kind = 'list'").drop("reached_kind")
     others = judged.where("status <> 'FOUND'").select(
         "path", "status", "matches", F.lit(None).cast("long").alias("position"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("number")

@@ -1,7 +1,12 @@
 """Work that must not grow faster than the input, seen in plans and counts."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from jostle.catalog import fixtures as X
-from jostle.catalog.registry import QUERIES
+from jostle.catalog import load
+from jostle.operators import documents as D
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,5 +17,18 @@ def plan_of(df):
 
 def test_cells_of_outputs_are_not_shuffled(spark):
     X.forget()
-    above = plan_of(QUERIES["compare_outputs"](spark, SF)).split("Union")[0]
+    above = plan_of(load().QUERIES["compare_outputs"](spark, SF)).split("Union")[0]
     assert above.count("Exchange") == 1 and "Exchange hashpartitioning(failed" in above  # only the few kinds of failure
+
+
+def test_many_paths_into_a_long_list(spark):
+    """6,000 selectors of 6,000 items: 36 million pairs, of which 6,000 (and the half that shares a flag) must not be formed one by one."""
+    items = spark.range(6000).select(F.col("id"), (F.col("id") % 2 == 0).alias("even"), (F.col("id") * 3).alias("v"))
+    paths = items.select(F.explode(F.array(
+        F.format_string("rows[even=TRUE,id=%d].v", "id"), F.format_string("rows[%d].v", "id"), F.format_string("rows[id=%d].none", "id"),
+    )).alias("path"))
+    start = time.monotonic()
+    got = D.resolve_paths(D.document_nodes(items, "rows", ["id"]), paths).groupBy("status").agg(F.count(F.lit(1)), F.sum("number")).collect()
+    every = 3 * 6000 * 5999 // 2
+    assert {r[0]: (r[1], r[2]) for r in got} == {"FOUND": (9000, 3 * 3000 * 2999 + every), "MISSING": (9000, None)}
+    assert time.monotonic() - start < 150
