@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from jostle.catalog import fixtures as X
 from jostle.catalog import load
 from jostle.operators import documents as D
+from jostle.operators import scoring as SC
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,20 @@ def test_many_paths_into_a_long_list(spark):
     every = 3 * 6000 * 5999 // 2
     assert {r[0]: (r[1], r[2]) for r in got} == {"FOUND": (9000, 3 * 3000 * 2999 + every), "MISSING": (9000, None)}
     assert time.monotonic() - start < 150
+
+
+def test_gradients_come_by_span(rows):
+    """130 bins are 5 rows to shuffle at the ends of spans, not one or three a bin; repeated, absent and null cells as before."""
+    cells = [(1, t, 0, [float(t * t), None]) for t in range(130) if t != 70] + [(1, 64, 0, [0.0, None]), (1, 90, 0, None)]
+    gradients = rows("source_id long, t long, f long, g array<double>", [c for c in cells if c[1] != 90 or c[3] is None])
+    held = {r["span"]: len(r["bins"]) for r in SC.spans(gradients).collect()}
+    assert held == {0: 66, 1: 66, 2: 3, -1: 1}
+    ends = [(63, 64), (64, 63), (127, 128), (128, 127), (69, 70), (71, 70), (89, 90), (129, 130), (0, 1), (5, 7)]
+    moves = rows("source_id long, cand long, from_bin long, to_bin long, feature long", [(1, k, a, b, 0) for k, (a, b) in enumerate(ends)])
+    got = {r["cand"]: r["gains"] for r in SC.gradient_moves(moves, gradients).collect()}
+    assert {k: g and g[0] for k, g in got.items()} == {0: 127.0, 1: -127.0, 2: 255.0, 3: -255.0, 4: None, 5: None, 6: None, 7: None, 8: 1.0, 9: None}
+
+
+def test_files_are_read_in_parts_that_a_task_can_sort(spark):
+    load().QUERIES["canonical_hash"](spark, SF)
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= 16 * 1024 * 1024
