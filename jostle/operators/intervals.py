@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jostle.plans.joins import BROADCAST_BYTES, measured_bytes
-from jostle.plans.staging import staged
+from jostle.plans.joins import BROADCAST_BYTES, SALTS, measured_bytes
+from jostle.plans.staging import ROWS_PER_TASK, fan_out, staged
 
 #: Buckets that the span of the values is cut into; a range lies in at most so many.
 BUCKETS = 512
@@ -20,7 +20,7 @@ def interval_join(rows: DataFrame, value: str, ranges: DataFrame, lo: str = "lo"
 
     Both sides are cut by equal buckets of the values' span: a value lies in one, a range in those it touches, and they meet by equality
     on the bucket instead of each with each. A small table of ranges, which is measured, is broadcast with its buckets; otherwise both sides
-    are shuffled by bucket, and a bucket that holds much is split like any skewed key.
+    are shuffled by bucket, and a bucket that holds much is split by salt. Rows are spread over the tasks that their pairs need.
     """
     taken = {c.lower() for c in rows.columns} & {c.lower() for c in ranges.columns}
     if taken:
@@ -38,11 +38,20 @@ def interval_join(rows: DataFrame, value: str, ranges: DataFrame, lo: str = "lo"
     clipped = lambda v: F.greatest(F.least(v, F.lit(high)), F.lit(low))
     whole = F.col(lo).isNull() | F.col(hi).isNull() | (F.col(lo) <= F.col(hi))
     touched = ranges.where(whole).withColumn("__bucket", F.explode(F.sequence(bucket(clipped(start)), bucket(clipped(stop)))))
+    placed = rows.where(usable).withColumn("__bucket", bucket(clipped(number)))
+    # What a row meets decides how many tasks are needed, not how few files the rows are in.
+    counted = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).join(touched.groupBy("__bucket").agg(F.count(F.lit(1)).alias("m")), "__bucket")
+    pairs, most = counted.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)), F.coalesce(F.max(F.col("n") * F.col("m")), F.lit(0))).first()  # two numbers
+    on = ["__bucket"]
     if measured_bytes(touched) <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
-        touched = F.broadcast(touched)
+        touched, placed = F.broadcast(touched), fan_out(placed, pairs, "__row")
+    else:
+        salts = min(SALTS, max(1, -(-most // ROWS_PER_TASK)))
+        on = ["__bucket", "__salt"]
+        placed = fan_out(placed.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int")), pairs, *on)
+        touched = touched.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     holds = (F.col(lo).isNull() | (F.col(lo) <= F.col(value))) & (F.col(hi).isNull() | (F.col(value) <= F.col(hi)))
-    placed = rows.where(usable).withColumn("__bucket", bucket(clipped(number)))
-    met = staged(placed.join(touched, "__bucket").where(holds).drop("__bucket"), "met")
+    met = staged(placed.join(touched, on).where(holds).drop(*on), "met")
     lone = rows.join(met.select("__row").distinct(), "__row", "left_anti")
     empty = ranges.join(met.select("__range").distinct(), "__range", "left_anti")
     shown = [c for c in [*rows.columns, *ranges.columns] if not c.startswith("__")]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from jostle.catalog import fixtures as X
 from jostle.catalog import load
 from jostle.operators import documents as D
+from jostle.operators import intervals
 from jostle.operators import scoring as SC
+from jostle.plans import staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +52,17 @@ def test_gradients_come_by_span(rows):
 def test_files_are_read_in_parts_that_a_task_can_sort(spark):
     load().QUERIES["canonical_hash"](spark, SF)
     assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= 16 * 1024 * 1024
+
+
+def test_pairs_with_ranges_are_spread(spark, rows, monkeypatch):
+    """3,000 values in 100 ranges: one small file of values, but 300,000 pairs, which one task must not make."""
+    for where in (intervals, staging):
+        monkeypatch.setattr(where, "ROWS_PER_TASK", 10_000)
+    values = spark.range(3000).select(F.col("id"), (F.col("id") % 5).cast("double").alias("v")).coalesce(1)
+    ranges = spark.range(100).select(F.col("id").alias("r"), F.lit(None).cast("double").alias("lo"), F.lit(9.0).alias("hi")).coalesce(1)
+    for size in (None, 0):
+        made, staged_ = [], intervals.staged
+        monkeypatch.setattr(intervals, "staged", lambda df, name: made.append(name == "met" and df.select(F.spark_partition_id()).distinct().count()) or staged_(df, name))
+        out = intervals.interval_join(values, "v", ranges, broadcast_bytes=size)
+        monkeypatch.setattr(intervals, "staged", staged_)
+        assert out.count() == 300_000 and out.distinct().count() == 300_000 and max(made) > 4
