@@ -217,9 +217,9 @@ def _(x):
     return x.scored.select(
         "source_id", "cand", (F.get(s, clean) - F.get(c, clean)).alias("delta_clean_class_score"),
         (F.get(s, label) - F.get(c, label)).alias("delta_true_class_score"),
-        F.round(S.l2_change(s, c), 6).alias("score_l2_change"), S.linf_change(s, c).alias("score_linf_change"),
+        F.round(S.l2_change(s, c, X.CLASSES), 6).alias("score_l2_change"), S.linf_change(s, c, X.CLASSES).alias("score_linf_change"),
         # adding zero turns a rounded -0.0 into 0.0
-        (F.round(S.cosine_distance(s, c), 6) + 0.0).alias("score_cosine_distance"),
+        (F.round(S.cosine_distance(s, c, X.CLASSES), 6) + 0.0).alias("score_cosine_distance"),
     )
 
 
