@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules["jostle.llm"])
 #: The white space that separates words, as a Java regular expression: space and \t to \r.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Values of words that a Python worker keeps; beyond it the cache starts anew, so memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Rows in an Arrow batch: texts can be long, and a batch is held whole by a Python worker.
 BATCH_ROWS = 1000
 
@@ -74,6 +75,8 @@ class WordCache(dict):
 
 
 def texts(column) -> Iterator[str]:
-    """Python strings of an Arrow column, null as empty."""
+    """Python strings of an Arrow column, null as empty. At its end, memory of earlier batches goes back to the system:
+    an idle Python worker would keep it beside the executor."""
     for value in column:
         yield value.as_py() or ""
+    pa.default_memory_pool().release_unused()
