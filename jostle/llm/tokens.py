@@ -7,7 +7,7 @@ import numpy as np
 #: Words that are encoded in one call.
 CALL_WORDS = 500
 #: Words whose ids a Python worker keeps in each of two generations, about 200 bytes each.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Signs that end words. A run of them after a letter is a word of its own to the tokenizer.
 SIGNS = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~'
 #: Fixed value: a special token of the vocabulary file that stands between words in such a call.
@@ -44,6 +44,7 @@ class WordEncoder:
             raise ValueError(f"the vocabulary has no {BETWEEN}")
         self.limit = limit
         self.letters = _byte_letters()
+        self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}  # as in the texts, and those of the generation before
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}  # words without signs, and signs
@@ -55,14 +56,10 @@ class WordEncoder:
 
     def _merged(self, word: str) -> bytes:
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+        return b"".join([self.coded[t.id] for t in self.tokenizer.model.tokenize(spelled)])
 
     def _learn(self, words: list[str]) -> None:
-        """Encode parts that no generation holds."""
-        if self.direct:
-            plain = [w for w in words if w.isalpha() and max(w) < "\u0100" and w == w.lower()]
-            self.parts.update((w, self._merged(w)) for w in plain)
-            words = list(set(words).difference(plain))
+        """Encode parts that no generation holds by the whole tokenizer."""
         for at in range(0, len(words), CALL_WORDS):
             part = words[at : at + CALL_WORDS]
             ids = np.array(self.tokenizer.encode(BETWEEN.join(part), add_special_tokens=False).ids, "<u4")
@@ -72,39 +69,54 @@ class WordEncoder:
             for word, a, b in zip(part, starts, ends, strict=True):
                 self.parts[word] = raw[a:b]
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        if BETWEEN in word:
-            return (word,)
-        stem = word.rstrip(SIGNS)
-        # Beyond Latin-1, lower-casing may depend on context or compose; such words are encoded as they are.
-        if stem and stem.isalpha() and max(stem) < "\u0100":
-            return (stem.lower(), word[len(stem) :]) if len(stem) < len(word) else (stem.lower(),)
-        return (word,)
-
-    def _known(self, part: str) -> bool:
-        if part in self.parts:
-            return True
+    def _lacks(self, part: str) -> bool:
+        """Whether neither generation holds a part; one of the older generation moves to the newer."""
         value = self.older_parts.get(part)
         if value is not None:
             self.parts[part] = value
-        return value is not None
+        return value is None
 
     def _fill(self, new: set[str]) -> None:
-        split = {}
+        # Beyond Latin-1, lower-casing may depend on context or compose; such words are encoded as they are.
+        words, older, parts, lacks = self.words, self.older, self.parts, self._lacks
+        whole, wholes, split, lowers, tails = [], [], [], [], []  # columns: words and their only part, words and their two parts
+        stems, others = set(), set()
         for word in new:
-            value = self.older.get(word)
-            if value is None:
-                split[word] = self._parts(word)
+            if word in older:
+                words[word] = older[word]
+                continue
+            stem = word.rstrip(SIGNS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+                lower = stem.lower()
+                if lower not in parts and lacks(lower):
+                    stems.add(lower)
+                if len(stem) == len(word):
+                    whole.append(word)
+                    wholes.append(lower)
+                    continue
+                signs = word[len(stem) :]
+                split.append(word)
+                lowers.append(lower)
+                tails.append(signs)
+                if signs not in parts and lacks(signs):
+                    others.add(signs)
             else:
-                self.words[word] = value
-        unknown = [p for p in {p for parts in split.values() for p in parts} if not self._known(p)]
-        self._learn([p for p in unknown if BETWEEN not in p])
-        for p in unknown:
-            if BETWEEN in p:
-                self.parts[p] = self._whole(p)
-        for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+                whole.append(word)
+                wholes.append(word)
+                if word not in parts and lacks(word):
+                    others.add(word)
+        if self.direct:
+            for stem in stems:
+                parts[stem] = self._merged(stem)
+        else:
+            others |= stems
+        self._learn([p for p in others if BETWEEN not in p])
+        for part in others:
+            if BETWEEN in part:
+                parts[part] = self._whole(part)
+        words.update(zip(whole, map(parts.__getitem__, wholes), strict=True))
+        for word, lower, signs in zip(split, lowers, tails, strict=True):
+            words[word] = parts[lower] + parts[signs]
 
     def pack(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. New words are sought in all of them together."""
@@ -118,4 +130,4 @@ class WordEncoder:
             new.update(words)
         self._fill(new.difference(self.words))
         known = self.words
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
