@@ -263,10 +263,11 @@ def _(x):
 )
 def _(x):
     """Two fresh binnings against stored cells with every fiftieth bin's counts raised."""
-    a = E.bin_events(x.events, x.bounds, X.STEP)
+    expected = x.cells.count()
+    a = E.bin_events(x.events, x.bounds, X.STEP, cells=expected)
     stored = x.cells.withColumn("n", F.col("n") + F.when(F.pmod(F.col("t"), F.lit(50)) == 7, 1).otherwise(0))
     wrong = x.sources.withColumn("label", F.when(mod("source_id", 13) == 0, F.col("label") + 1).otherwise(F.col("label")))
-    return R.rebuild_check(a, E.bin_events_oracle(x.events, X.STEP), stored, x.sources, wrong)
+    return R.rebuild_check(a, E.bin_events_oracle(x.events, X.STEP, cells=expected), stored, x.sources, wrong)
 
 
 CHECKS = (

@@ -39,11 +39,15 @@ def event_bounds(events: DataFrame, step: int, source_list: DataFrame | None = N
     return bounds.withColumn("horizon", F.greatest(F.lit(1).cast("long"), div(length + (step - 1), step)))
 
 
-def bin_events(events: DataFrame, bounds: DataFrame, step: int, units_per_feature: int = 1, **how) -> DataFrame:
+CELL = ["source_id", "horizon", "t", "f"]
+
+
+def bin_events(events: DataFrame, bounds: DataFrame, step: int, units_per_feature: int = 1, cells: int | None = None, **how) -> DataFrame:
     """Counts per (source, bin, feature).
 
     The event table is joined to the staged bounds (broadcast when counted small, salted
     otherwise) and partially counted before the only shuffle, which is on the full cell key.
+    With an expected number of ``cells`` the events are dealt to as many tasks as these need and counted there.
     """
     placed = attach(
         events.select("source_id", "us", "unit"), bounds.select("source_id", "first_us", "horizon"),
@@ -51,14 +55,13 @@ def bin_events(events: DataFrame, bounds: DataFrame, step: int, units_per_featur
     )
     t = F.least(div(F.col("us") - F.col("first_us"), step), F.col("horizon") - 1)
     f = div(F.col("unit"), units_per_feature)
-    return (
-        placed.select("source_id", "horizon", t.alias("t"), f.alias("f"))
-        .groupBy("source_id", "horizon", "t", "f")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    placed = placed.select("source_id", "horizon", t.alias("t"), f.alias("f"))
+    if cells is not None:
+        placed = fan_out(placed, cells, *CELL)
+    return placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bin_events_oracle(events: DataFrame, step: int, units_per_feature: int = 1, **how) -> DataFrame:
+def bin_events_oracle(events: DataFrame, step: int, units_per_feature: int = 1, cells: int | None = None, **how) -> DataFrame:
     """A second route to the same cells, for cross-checks.
 
     Horizons come from quotient and remainder instead of a rounded-up quotient, an event is placed
@@ -73,11 +76,10 @@ def bin_events_oracle(events: DataFrame, step: int, units_per_feature: int = 1,
     full = div(since - F.pmod(since, F.lit(step)), step)
     t = F.when(full >= horizon, horizon - 1).otherwise(full)
     f = div(F.col("unit") - F.pmod(F.col("unit"), F.lit(units_per_feature)), units_per_feature)
-    return (
-        joined.select("source_id", horizon.alias("horizon"), t.alias("t"), f.alias("f"), F.lit(1).alias("one"))
-        .groupBy("source_id", "horizon", "t", "f")
-        .agg(F.sum("one").alias("n"))
-    )
+    placed = joined.select("source_id", horizon.alias("horizon"), t.alias("t"), f.alias("f"), F.lit(1).alias("one"))
+    if cells is not None:
+        placed = fan_out(placed, cells, *CELL)
+    return placed.groupBy(*CELL).agg(F.sum("one").alias("n"))
 
 
 def grid(sources: DataFrame, width: int) -> DataFrame:

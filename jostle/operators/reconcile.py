@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jostle.functions import scores as S
 from jostle.operators.moves import enumerate_moves
+from jostle.plans.staging import fan_out
 
 
 # ---------------------------------------------------------------- trees of values
@@ -365,13 +366,15 @@ def as_checks(row: DataFrame, names: Sequence[str]) -> DataFrame:
 def rebuild_check(a: DataFrame, b: DataFrame, stored: DataFrame, labels: DataFrame, stored_labels: DataFrame) -> DataFrame:
     """Two binnings and the stored cells are the same bag of rows; labels agree.
 
-    The three bags meet in one aggregation on the cell, instead of pairwise differences.
+    The three bags meet in one aggregation on the cell, instead of pairwise differences. They hardly shrink in it, so
+    they are dealt to a number of tasks that grows with the stored cells, and nothing is aggregated before.
     """
     key = ["source_id", "horizon", "t", "f", "n"]
     tagged = None
     for i, df in enumerate((a, b, stored)):
         part = df.select(*key, *[F.lit(1 if i == j else 0).alias(f"in{j}") for j in range(3)])
         tagged = part if tagged is None else tagged.unionByName(part)
+    tagged = fan_out(tagged, 3 * stored.count(), *key)
     cells = tagged.groupBy(*key).agg(*[F.sum(f"in{j}").alias(f"in{j}") for j in range(3)])
     row = cells.agg(
         F.count_if(F.col("in0") != F.col("in1")).alias("implementations_differ"),
