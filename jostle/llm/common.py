@@ -74,9 +74,11 @@ class WordCache(dict):
             self.clear()
 
 
-def texts(column) -> Iterator[str]:
-    """Python strings of an Arrow column, null as empty. At its end, memory of earlier batches goes back to the system:
-    an idle Python worker would keep it beside the executor."""
+def texts(column, cache: WordCache | None = None) -> Iterator[str]:
+    """Python strings of an Arrow column, null as empty; ``cache`` is trimmed before each. At its end, memory of earlier
+    batches goes back to the system: an idle Python worker would keep it beside the executor."""
     for value in column:
+        if cache is not None:
+            cache.trim()
         yield value.as_py() or ""
     pa.default_memory_pool().release_unused()

@@ -79,8 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, class, texts) of a task: at most two rows per bucket, so little is shuffled."""
     counts, cache = np.zeros((2, BUCKETS), np.int64), _features()
     for batch in batches:
-        cache.trim()
-        for text, label in zip(texts(batch.column("text")), batch.column("label").to_pylist(), strict=True):
+        for text, label in zip(texts(batch.column("text"), cache), batch.column("label").to_pylist(), strict=True):
             counts[label, indicators(text, cache)] += 1
     for label in (0, 1):
         at = np.nonzero(counts[label])[0]
@@ -202,8 +201,7 @@ def _margin(items: np.ndarray, ratio: np.ndarray, weights: np.ndarray, bias: flo
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _features()
     for batch in batches:
-        cache.trim()
-        found = [indicators(text, cache).astype(np.int32) for text in texts(batch.column("text"))]
+        found = [indicators(text, cache).astype(np.int32) for text in texts(batch.column("text"), cache)]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "items"])
 
 
@@ -215,8 +213,7 @@ def score(text: Column, model: Model) -> Column:
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache, ((ratio, weights), bias, slope, shift) = _features(), shared.value
         for column in batches:
-            cache.trim()
-            margins = np.array([_margin(indicators(t, cache), ratio, weights, bias) for t in texts(column)], dtype=float)
+            margins = np.array([_margin(indicators(t, cache), ratio, weights, bias) for t in texts(column, cache)], dtype=float)
             yield pa.array(1 / (1 + np.exp(-np.clip(slope * margins + shift, -500, 500))), pa.float64())
 
     return scores(text)

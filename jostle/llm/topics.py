@@ -43,8 +43,7 @@ def word_vectors(text: Column) -> Column:
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = WordCache(lambda w: zlib.crc32(w.lower().encode()) % DIMENSIONS if len(w) >= LEAST_LETTERS else -1)
         for column in batches:
-            cache.trim()
-            found = [_vector(t, cache) for t in texts(column)]
+            found = [_vector(t, cache) for t in texts(column, cache)]
             yield pa.StructArray.from_arrays(
                 [pa.array([n for n, _ in found], pa.int64()), pa.array([v for _, v in found], pa.binary())], names=["words", "vector"]
             )
