@@ -66,3 +66,9 @@ def test_pairs_with_ranges_are_spread(spark, rows, monkeypatch):
         out = intervals.interval_join(values, "v", ranges, broadcast_bytes=size)
         monkeypatch.setattr(intervals, "staged", staged_)
         assert out.count() == 300_000 and out.distinct().count() == 300_000 and max(made) > 4
+
+
+def test_witnesses_meet_after_both_sides_are_written(spark):
+    X.forget()
+    plan = plan_of(load().QUERIES["witness_check"](spark, SF))
+    assert "Window" not in plan and "/recorded-" in plan and "/recomputed-" in plan
